@@ -211,10 +211,8 @@ def flatten_replies(roots: DataFrame, key: str, comment: str, levels: int = 6) -
 
 
 def _tree_schema(levels: int) -> str:
-    below = "string" if levels == 1 else f"struct<{_tree_schema(levels - 1)}>".replace(" ", ":")
-    return f"content array<struct<text:string>>, replies array<{below}>".replace(", ", ",") if levels == 1 else (
-        f"content array<struct<text:string>>,replies array<{below}>"
-    )
+    below = "string" if levels == 1 else f"struct<{_tree_schema(levels - 1)}>"
+    return f"content array<struct<text: string>>, replies array<{below}>"
 
 
 def _tree_nodes(node: Column, path: Column, depth: int, levels: int) -> Column:

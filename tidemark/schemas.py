@@ -36,7 +36,6 @@ COMMENT = (
     "total_replies_count bigint, user_reputation bigint, additional_data string"
 )
 RAW_COMMENT = COMMENT.replace("time string", "time bigint, written_at bigint", 1)
-COMMENT_DAY = f"Date string, date string, comments array<struct<{COMMENT.replace(' string', ': string', 0)}>>"
 REPLY = "content array<struct<text: string>>, text string, replies array<string>"
 
 ARTICLE = (
