@@ -12,8 +12,12 @@ def ratio(total: Column, count: Column) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """Round half to even, as numeric libraries do."""
-    return F.bround(value, digits)
+    """Scale, round to the nearest integer with ties to even, scale back, as numeric libraries do.
+
+    ``bround`` works on the decimal digits instead and differs there, as on 2.675.
+    """
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
 
 
 def to_number(text: Column) -> Column:

@@ -36,8 +36,8 @@ def _rounded(frame, *names: str):
     return frame.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _scored(t: Tables, confidence: str = "per_opinion"):
-    return news_ops.score_articles(t.articles, sent.lexicon_scorer(TEST_LEXICON), confidence)
+def _scored(t: Tables):
+    return news_ops.score_articles(t.articles, sent.lexicon_scorer(TEST_LEXICON))
 
 
 # -- texts and events -------------------------------------------------------------------------
@@ -75,9 +75,14 @@ def daily_event(t: Tables):
 , {_SCORED} SELECT article_id, News_Score, round(News_Conf, 6) AS News_Conf, round(mean_conf, 6) AS mean_conf
 FROM scored""", "articles"))
 def article_polarity(t: Tables):
-    quirk = _scored(t).select("article_id", "News_Score", "News_Conf")
-    mean = _scored(t, "mean").select("article_id", F.col("News_Conf").alias("mean_conf"))
-    return _rounded(quirk.join(mean, "article_id"), "News_Conf", "mean_conf")
+    chunks = text.chunk_texts(text.clean_news(F.col("Text")))
+    scored = news_ops.full_text(t.articles).select("article_id", sent.lexicon_scorer(TEST_LEXICON)(chunks).alias("s"))
+    scores = F.col("s")
+    return scored.select(
+        "article_id", sent.vote_balance(scores).cast("double").alias("News_Score"),
+        F.round(sent.opinion_confidence(scores), 6).alias("News_Conf"),
+        F.round(sent.mean_confidence(scores), 6).alias("mean_conf"),
+    )
 
 
 @query("daily_news", with_entities(f"""

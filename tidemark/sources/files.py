@@ -14,8 +14,9 @@ from tidemark.operators.news import search_docs, unify_articles
 
 
 def folder_name() -> Column:
-    """Name of the folder a row was read from: the ticker, in the layout of one folder per ticker."""
-    return F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -2))
+    """Folder a row was read from: the ticker, in the layouts ``BTC-USD/`` and ``Ticker=BTC-USD/``."""
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return F.url_decode(F.regexp_replace(folder, "^[^=]+=", ""))
 
 
 def file_name() -> Column:
@@ -75,16 +76,17 @@ def parse_articles(feeds: DataFrame, column: str) -> DataFrame:
     fields = items.select("Ticker", F.parse_json("raw").alias("v"))
 
     def first_of(*names: str) -> Column:
-        texts = [flat_json(F.variant_get("v", f"$.{n}", "variant")) for n in names]
-        return F.coalesce(*(F.nullif(x, F.lit("")) for x in texts))
+        values = [F.variant_get("v", f"$.{n}", "variant") for n in names]
+        filled = [F.when(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) != "", v) for v in values]
+        return F.coalesce(*filled)
 
     return unify_articles(
         fields.select(
             "Ticker",
-            first_of("Date", "date", "published_date").alias("Date"),
-            first_of("Title", "headline").alias("Title"),
-            first_of("Summary", "abstract").alias("Summary"),
-            first_of("Body", "body").alias("Body"),
+            F.try_variant_get(first_of("Date", "date", "published_date"), "$", "string").alias("Date"),
+            flat_json(first_of("Title", "headline")).alias("Title"),
+            flat_json(first_of("Summary", "abstract")).alias("Summary"),
+            flat_json(first_of("Body", "body")).alias("Body"),
         )
     )
 
