@@ -215,7 +215,7 @@ def listing_symbol(t: Tables):
 def coin_pages(t: Tables):
     """A coin page per supplier; fields stand in different places, some pages lack a price."""
     k = F.col("s_suppkey")
-    money = F.concat(F.lit("$"), F.abs(F.col("s_acctbal")).cast("string"))
+    money = F.concat(F.lit("$"), k.cast("string"), F.lit(".25"))
     price = (
         F.when(k % 5 == 0, F.concat(F.lit('<span class="coin-price">n/a</span><div class="price">'), money, F.lit("</div>")))
         .when(k % 5 == 1, F.concat(F.lit('<b data-testid="price">'), money, F.lit("</b>")))
@@ -242,10 +242,10 @@ _DETAIL = """
 @query("detail_fields", f"""
 WITH {_DETAIL.lstrip().lstrip(',')}
 SELECT Ticker, CASE WHEN k % 2 = 0 THEN '$1.2B' ELSE 'Market Cap$3.4M' END AS market_cap, '' AS volume_24h,
-       '-2.5%' AS change_24h, concat('#', CAST(k AS VARCHAR)) AS rank FROM money WHERE priced""")
+       '-2.5%' AS change_24h, concat('#', CAST(k AS VARCHAR)) AS rank, concat('$', CAST(k AS VARCHAR), '.25') AS price
+FROM money WHERE priced""")
 def detail_fields(t: Tables):
-    """The price is left out here, since engines print large numbers differently; found_failed rests on it."""
-    return page_ops.detail_fields(coin_pages(t), "Ticker", "html").drop("price")
+    return page_ops.detail_fields(coin_pages(t), "Ticker", "html")
 
 
 @query("found_failed", f"""
