@@ -7,7 +7,7 @@ Unicode ``\\s`` and ``\\w`` cover and mean the same in Spark and in DuckDB.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,8 +45,8 @@ def strip_edges(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def drop_urls(text: Column, prefixes: str = "http") -> Column:
-    return F.regexp_replace(text, f"(?:{prefixes})[^{SPACE}]+", "")
+def drop_urls(text: Column, prefix: str = "http") -> Column:
+    return F.regexp_replace(text, f"{prefix}[^{SPACE}]+", "")
 
 
 def clean_social(text: Column) -> Column:
@@ -69,7 +69,7 @@ def to_ascii(text: Column) -> Column:
 
 def clean_forum(text: Column) -> Column:
     """Forum posts: as news, keeping ``, . ! ?``, after transliteration."""
-    bare = drop_urls(to_ascii(text), "http|www|https")
+    bare = drop_urls(to_ascii(text), "(?:http|www|https)")
     return collapse(F.regexp_replace(bare, f"[^{WORD}{SPACE},.!?]", ""))
 
 
@@ -110,9 +110,17 @@ def article_text(*parts: Column) -> Column:
     return F.concat(*pieces[1:])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Inside a lambda a Column is evaluated again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(clean: Column) -> Column:
     """Words of a cleaned text; no words for an empty one."""
-    return F.filter(F.split(clean, " "), lambda w: w != "")
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
 def chunk_starts(size: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -124,22 +132,32 @@ def chunk_starts(size: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK_
 
 
 def chunk_arrays(words: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Overlapping token windows: ``array<array<...>>`` in text order."""
-    return F.transform(
-        chunk_starts(F.size(words), length, overlap), lambda s: F.slice(words, s + 1, F.lit(length))
+    """Overlapping token windows: ``array<array<string>>`` in text order."""
+    return bind(
+        words,
+        lambda w: F.transform(
+            chunk_starts(F.size(w), length, overlap), lambda s: F.slice(w, s + 1, F.lit(length))
+        ),
     )
 
 
-def chunk_texts(clean: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
-    return F.transform(chunk_arrays(tokens(clean), length, overlap), lambda c: F.array_join(c, " "))
+def chunk_texts(chunks: Column) -> Column:
+    return F.transform(chunks, lambda c: F.array_join(c, " "))
 
 
-def word_weight(word: Column, lexicon: Mapping[str, float]) -> Column:
-    """Weight of a word, 0 for unknown ones: one hashed set lookup per distinct weight."""
+def weight_sum(words: Column, lexicon: Mapping[str, float]) -> Column:
+    """Summed weight of the words; unknown words weigh nothing.
+
+    One pass per distinct weight, each word one lookup in a hashed set.
+    """
     by_weight: dict[float, list[str]] = {}
     for entry, weight in lexicon.items():
         by_weight.setdefault(float(weight), []).append(entry)
-    found = F.lit(0.0)
-    for weight in sorted(by_weight):
-        found = F.when(word.isin(by_weight[weight]), F.lit(weight)).otherwise(found)
-    return found
+    total = F.lit(0.0)
+    for weight, entries in sorted(by_weight.items()):
+        total = total + count_in(words, entries) * F.lit(weight)
+    return total
+
+
+def count_in(words: Column, entries: Iterable[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(list(entries))))

@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.functions.text import clean_social, tokens, word_weight
+from tidemark.functions.text import bind, clean_social, tokens, weight_sum
 
 
 def lexicon_score(texts: DataFrame, key: str, text: str, lexicon: Mapping[str, float]) -> DataFrame:
     """Summed weight and mean weight per word of every text, within its row."""
-    weights = F.transform(tokens(F.lower(clean_social(F.col(text)))), lambda w: word_weight(w, lexicon))
-    scored = texts.select(key, weights.alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    words = tokens(F.lower(clean_social(F.col(text))))
+    scored = texts.select(key, bind(words, lambda w: F.struct(F.size(w).alias("n"), weight_sum(w, lexicon).alias("s"))).alias("_"))
     return scored.select(
-        key, F.size("w").alias("words"), total.alias("score"), ratio(total, F.size("w")).alias("mean_score")
+        key, F.col("_.n").alias("words"), F.col("_.s").alias("score"), ratio(F.col("_.s"), F.col("_.n")).alias("mean_score")
     )
 
 

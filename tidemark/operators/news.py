@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import lenient_day, offset_day
 from tidemark.functions.numbers import ratio
-from tidemark.functions.text import EVENT_KEYWORDS, article_text, chunk_texts, clean_news, event_flag, event_hits
+from tidemark.functions.text import EVENT_KEYWORDS, article_text, clean_news, event_flag, event_hits
 from tidemark.operators.common import keep_first, only_best
 from tidemark.operators.sentiment import Scorer, mean_confidence, opinion_confidence, vote_balance
 
@@ -88,7 +88,7 @@ def score_articles(articles: DataFrame, scorer: Scorer, confidence: str = "per_o
     ``per_opinion`` divides the summed confidence by the non-neutral chunks only; ``mean`` by all.
     """
     measure = {"per_opinion": opinion_confidence, "mean": mean_confidence}[confidence]
-    scored = full_text(articles).withColumn("_scores", scorer(chunk_texts(clean_news(F.col("Text")))))
+    scored = full_text(articles).withColumn("_scores", scorer.of_text(clean_news(F.col("Text"))))
     scores = F.col("_scores")
     return scored.select(
         *articles.columns,

@@ -1,59 +1,59 @@
 """Sentiment: chunk scores, text polarity and daily aggregates.
 
-A scorer is a function from a Column of chunk texts to a Column of ``array<struct<label, score>>``.
-Scores stay in the row of their text, so that no shuffle is needed to put chunks together.
+Chunks and their scores stay in the row of their text, so that no shuffle is needed to put them
+together again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.functions.text import chunk_texts, clean_social, tokens, word_weight
+from tidemark.functions.text import bind, chunk_arrays, chunk_texts, clean_social, tokens, weight_sum
 
-Scorer = Callable[[Column], Column]
 SCORES = "array<struct<label: string, score: double>>"
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """``score`` turns chunks (``array<array<string>>``) into ``array<struct<label, score>>``."""
+
+    score: Callable[[Column], Column]
+    fold_case: bool = False
+
+    def of_text(self, clean: Column) -> Column:
+        """Scores of the chunks of a cleaned text."""
+        return self.score(chunk_arrays(tokens(F.lower(clean) if self.fold_case else clean)))
+
+
 def lexicon_scorer(lexicon: Mapping[str, float]) -> Scorer:
     """Stand-in for a sentiment model: the sign of the summed word weights of a chunk.
 
     Score is the share of the weight that agrees with the label, one half where nothing speaks
     for either side. It says nothing about what a trained model would answer.
     """
-
-    def score(chunks: Column) -> Column:
-        return F.transform(chunks, lambda chunk: _lexicon_verdict(chunk, lexicon))
-
-    return score
-
-
-def _lexicon_verdict(chunk: Column, lexicon: Mapping[str, float]) -> Column:
-    weights = F.transform(tokens(F.lower(chunk)), lambda w: word_weight(w, lexicon))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-    return F.aggregate(
-        weights,
-        start,
-        lambda acc, w: F.struct(
-            (acc["up"] + F.greatest(w, F.lit(0.0))).alias("up"),
-            (acc["down"] - F.least(w, F.lit(0.0))).alias("down"),
-        ),
-        lambda acc: F.struct(
-            F.when(acc["up"] > acc["down"], "Positive")
-            .when(acc["down"] > acc["up"], "Negative")
-            .otherwise("Neutral")
-            .alias("label"),
-            F.coalesce(
-                ratio(F.greatest(acc["up"], acc["down"]), acc["up"] + acc["down"]), F.lit(0.5)
-            ).alias("score"),
+    up = {w: x for w, x in lexicon.items() if x > 0}
+    down = {w: -x for w, x in lexicon.items() if x < 0}
+    return Scorer(
+        lambda chunks: F.transform(
+            chunks, lambda c: bind(F.struct(weight_sum(c, up).alias("up"), weight_sum(c, down).alias("down")), _verdict)
         ),
+        fold_case=True,
     )
 
 
+def _verdict(sums: Column) -> Column:
+    up, down = sums["up"], sums["down"]
+    label = F.when(up > down, "Positive").when(down > up, "Negative").otherwise("Neutral")
+    agreeing = F.coalesce(ratio(F.greatest(up, down), up + down), F.lit(0.5))
+    return F.struct(label.alias("label"), agreeing.alias("score"))
+
+
 def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Scorer:
     """Scorer around a model: ``load()`` runs once per Python worker and returns ``texts -> verdicts``.
 
@@ -61,16 +61,16 @@ def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]
     """
 
     @F.pandas_udf(SCORES)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = load()
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
         for rows in batches:
             sizes = [len(chunks) for chunks in rows]
-            verdicts = iter(predict([text for chunks in rows for text in chunks]))
+            verdicts = iter(model([text for chunks in rows for text in chunks]))
             yield pd.Series(
                 [[dict(zip(("label", "score"), next(verdicts))) for _ in range(n)] for n in sizes]
             )
 
-    return score
+    return Scorer(lambda chunks: predict(chunk_texts(chunks)))
 
 
 def _votes(scores: Column, label: str) -> Column:
@@ -107,7 +107,7 @@ def opinion_confidence(scores: Column) -> Column:
 
 def score_snippets(snippets: DataFrame, scorer: Scorer, clean=clean_social) -> DataFrame:
     """Sentiment, Score and Confidence of every text; empty texts count as Positive with score 0."""
-    scored = snippets.withColumn("_scores", scorer(chunk_texts(clean(F.col("Text")))))
+    scored = snippets.withColumn("_scores", scorer.of_text(clean(F.col("Text"))))
     scores = F.col("_scores")
     return scored.select(
         *snippets.columns,

@@ -10,6 +10,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.common import spread_small
+
 
 def ticker(number: str) -> str:
     """SQL for one of five tickers."""
@@ -149,6 +151,10 @@ BASE = (
 )
 
 
+# Tables with heavy work per row.
+TEXTS = ("documents", "pages", "conversations")
+
+
 class _Names(dict):
     """Lets a text name a base table in braces; in DuckDB it is just the view."""
 
@@ -171,7 +177,8 @@ class Tables:
 
     @cache
     def _base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(scan) if name in TEXTS else scan
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
