@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 
+# Every character that Python counts as whitespace.
+BLANKS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # The event vocabulary used when no other one is given.
 EVENT_KEYWORDS = (
     "merger", "acquisition", "upgrade", "downgrade", "fork", "hack",
@@ -41,8 +47,13 @@ def collapse(text: Column) -> Column:
 
 
 def strip_edges(text: Column) -> Column:
-    """Remove all whitespace at both ends; ``trim`` knows only the blank."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Remove all whitespace at both ends; plain ``trim`` knows only the blank."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but whitespace; looks no further than the first other character."""
+    return ~text.rlike(f"[^{SPACE}]")
 
 
 def drop_urls(text: Column, prefix: str = "http") -> Column:

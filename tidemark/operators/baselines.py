@@ -20,21 +20,25 @@ def lexicon_score(texts: DataFrame, key: str, text: str, lexicon: Mapping[str, f
     )
 
 
-def tfidf(texts: DataFrame, key: str, text: str, salts: int = 16) -> DataFrame:
+def tfidf(texts: DataFrame, key: str, text: str, common_terms: int = 10_000) -> DataFrame:
     """tf * log((N + 1) / (df + 1)) of every term of every text.
 
-    Term counts collapse on the map side. A common term stands in nearly every text, so the join
-    with the document frequencies is salted: frequencies, one row per term, are repeated for each
-    salt, and the rows of a term spread over them.
+    Term counts collapse on the map side. A common term stands in nearly every text, so it must not
+    become one join key of a shuffle: terms that hold more than one ``common_terms``-th of all
+    counts, of which there can be no more than that many, are broadcast. The rest is joined by term.
     """
-    terms = texts.select(key, F.explode(tokens(F.lower(clean_social(F.col(text))))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = texts.select(key, F.explode(tokens(F.lower(clean_social(F.col(text))))).alias("term"))
+    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*")).scalar()
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    df = df.select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf"), salt)
-    tf = tf.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    return tf.join(df, ["term", "salt"]).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    idf = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)))
+    is_common = F.col("df") * common_terms > df.agg(F.sum("df")).scalar()
+    common = F.broadcast(idf.where(is_common).select("term", "idf"))
+    marked = tf.join(common, "term", "left")
+    rare = idf.where(~is_common).select("term", "idf")
+    near = marked.where(F.col("idf").isNotNull())
+    far = marked.where(F.col("idf").isNull()).drop("idf").join(rare, "term")
+    return near.unionByName(far).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def top_terms(weights: DataFrame, key: str, n: int = 5, digits: int = 6) -> DataFrame:

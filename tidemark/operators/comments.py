@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import epoch_day_text, strict_day
-from tidemark.functions.text import clean_forum, strip_edges, strip_tags
+from tidemark.functions.text import clean_forum, is_blank, strip_edges, strip_tags
 from tidemark.operators.common import keep_first
 from tidemark.schemas import REPLY
 
@@ -95,10 +95,10 @@ def time_coverage(frame: DataFrame, groups: Sequence[str], stamp: str) -> DataFr
 
 
 def representative_text(columns: Sequence[str]) -> Column:
-    """Text of the first content item, or the plain text field where there is no content; stripped."""
+    """Text of the first content item, or the plain text field where there is no content."""
     plain = F.col("text") if "text" in columns else F.lit(None).cast("string")
     first = F.when(F.size("content") > 0, F.get("content", F.lit(0))["text"]).otherwise(plain)
-    return strip_edges(F.coalesce(first, F.lit("")))
+    return F.coalesce(first, F.lit(""))
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -115,12 +115,12 @@ def merge_comments(sources: Sequence[DataFrame]) -> DataFrame:
     comments are left out.
     """
     rows = union_sources(sources)
-    rows = rows.withColumn("_text", representative_text(rows.columns))
-    rows = rows.where(F.col("Date").isNotNull() & (F.col("Date") != "") & (F.col("_text") != ""))
+    text = representative_text(rows.columns)
+    rows = rows.where(F.col("Date").isNotNull() & (F.col("Date") != "") & ~is_blank(text))
     # The digest keeps long texts out of the sort keys.
-    rows = rows.withColumn("_digest", F.sha2("_text", 256))
+    rows = rows.withColumn("_digest", F.sha2(strip_edges(text), 256))
     kept = keep_first(rows, ["Ticker", "Date", "_digest"], ["file", "idx"])
-    return kept.withColumn("Date", strict_day(F.col("Date"))).drop("_digest", "_text")
+    return kept.withColumn("Date", strict_day(F.col("Date"))).drop("_digest")
 
 
 def nest_by_day(comments: DataFrame, block: int = 1000) -> DataFrame:

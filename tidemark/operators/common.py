@@ -49,7 +49,7 @@ def require_columns(frame: DataFrame, columns: Sequence[str], what: str) -> None
 
 
 def spread_small(frame: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out to all of them.
+    """A plain scan with fewer splits than the cluster has cores, dealt out to all of them.
 
     For work that is heavy per row, as on texts. Only inputs of a few file blocks ever qualify, so
     the shuffle is small by construction; a large input has more splits than cores and is left alone.

@@ -57,22 +57,17 @@ def trades(weights: DataFrame) -> DataFrame:
 
 def net_returns(
     weights: DataFrame,
-    returns: DataFrame,
     slippage_bps: Mapping[str, float],
     fee_bps: float = sum(TAKER_BPS) / 2,
     default_slippage_bps: float = ILLIQUID_SLIPPAGE_BPS,
 ) -> DataFrame:
     """Gross return, cost and net return of every portfolio and day.
 
-    Cost is the traded weight times fee plus the asset's slippage.
+    ``weights`` carry the return ``r`` of their asset and day. Cost is the traded weight times fee
+    plus the asset's slippage.
     """
-    spark = weights.sparkSession
-    slippage = parameter_frame(spark, slippage_bps.items(), "Ticker string, bps double")
-    gross = (
-        weights.join(returns.select("Ticker", "Date", "r"), ["Ticker", "Date"])
-        .groupBy("K", "Date")
-        .agg(F.sum(F.col("w") * F.col("r")).alias("gross"))
-    )
+    slippage = parameter_frame(weights.sparkSession, slippage_bps.items(), "Ticker string, bps double")
+    gross = weights.groupBy("K", "Date").agg(F.sum(F.col("w") * F.col("r")).alias("gross"))
     bps = F.coalesce("bps", F.lit(default_slippage_bps)) + F.lit(fee_bps)
     costs = (
         trades(weights)
@@ -80,8 +75,7 @@ def net_returns(
         .groupBy("K", "Date")
         .agg(F.sum(F.abs("dw") * bps / 1e4).alias("cost"))
     )
-    joined = gross.join(costs, ["K", "Date"])
-    return joined.withColumn("net", F.col("gross") - F.col("cost"))
+    return gross.join(costs, ["K", "Date"]).withColumn("net", F.col("gross") - F.col("cost"))
 
 
 def reward_sweep(returns: DataFrame, lambdas: Sequence[float]) -> DataFrame:

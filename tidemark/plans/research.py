@@ -165,8 +165,7 @@ def _weights(t: Tables):
 
 
 def _net(t: Tables):
-    weights = _weights(t)
-    return portfolio.net_returns(weights.drop("r"), bars_ops.daily_returns(t.bars_long), SLIPPAGE)
+    return portfolio.net_returns(_weights(t), SLIPPAGE)
 
 
 @query("topk_portfolio", with_entities(f"""

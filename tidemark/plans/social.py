@@ -355,9 +355,8 @@ kept AS (SELECT * FROM sources WHERE txt <> ''
     "comment_rows", "scored_snippets"))
 def comments_merge(t: Tables):
     kept = comment_ops.merge_comments(_two_sources(t))
-    return kept.select(
-        "Ticker", "Date", "file", "idx", comment_ops.representative_text(kept.columns).alias("first_text")
-    )
+    first = text.strip_edges(comment_ops.representative_text(kept.columns))
+    return kept.select("Ticker", "Date", "file", "idx", first.alias("first_text"))
 
 
 @query("comment_days", with_entities(f"""

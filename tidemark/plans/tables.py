@@ -152,7 +152,7 @@ BASE = (
 
 
 # Tables with heavy work per row.
-TEXTS = ("documents", "pages", "conversations")
+TEXTS = ("documents", "pages", "conversations", "part")
 
 
 class _Names(dict):
