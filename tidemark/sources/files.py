@@ -48,6 +48,11 @@ def read_comments(spark: SparkSession, folders: str, raw: bool = False) -> DataF
     return rows.select("Ticker", "file", F.col("idx").cast("bigint").alias("idx"), "c.*")
 
 
+def read_comment_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Comments as the library writes them: JSON lines in a folder per ticker, with file and position."""
+    return spark.read.schema(f"Ticker string, file string, idx bigint, {schemas.COMMENT}").json(path)
+
+
 def read_comment_days(spark: SparkSession, folders: str) -> DataFrame:
     """Merged comments: Ticker, Date and the comments of the day."""
     files = _whole_files(spark, folders, "*_merge_comments.json")
