@@ -14,7 +14,7 @@ def ratio(total: Column, count: Column) -> Column:
 def half_even(value: Column, digits: int) -> Column:
     """Scale, round to the nearest integer with ties to even, scale back, as numeric libraries do.
 
-    ``bround`` works on the decimal digits instead and differs there, as on 2.675.
+    ``bround`` works on the decimal digits instead and differs there, as on 0.575.
     """
     scale = float(10**digits)
     return F.rint(value * scale) / scale

@@ -152,10 +152,6 @@ def chunk_arrays(words: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK
     )
 
 
-def chunk_texts(chunks: Column) -> Column:
-    return F.transform(chunks, lambda c: F.array_join(c, " "))
-
-
 def weight_sum(words: Column, lexicon: Mapping[str, float]) -> Column:
     """Summed weight of the words; unknown words weigh nothing.
 

@@ -153,7 +153,7 @@ def reply_texts(reply: Column) -> Column:
     """
     parsed = F.from_json(reply, REPLY)
     listed = F.transform(parsed["content"], lambda c: c["text"])
-    is_object = F.ltrim(reply).startswith("{") & parsed.isNotNull()
+    is_object = F.ltrim(reply).startswith("{") & parsed["_corrupt_record"].isNull()
     return (
         F.when(is_object & parsed["content"].isNotNull(), listed)
         .when(is_object, F.array(parsed["text"]))
@@ -175,8 +175,10 @@ def comment_snippets(comments: DataFrame, source: str = "Merged") -> DataFrame:
 
 
 def unnest_days(days: DataFrame) -> DataFrame:
-    """Comments of day-nested rows."""
-    return days.select("Ticker", "Date", F.explode("comments").alias("c")).select("Ticker", "Date", "c.*")
+    """Comments of day-nested rows, under the date of their day."""
+    each = days.select("Ticker", "Date", F.explode("comments").alias("c"))
+    own = [f for f in each.schema["c"].dataType.fieldNames() if f not in ("Ticker", "Date", "time")]
+    return each.select("Ticker", "Date", *(F.col(f"c.{f}") for f in own))
 
 
 # -- reply trees ------------------------------------------------------------------------------

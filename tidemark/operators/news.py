@@ -88,7 +88,7 @@ def score_articles(articles: DataFrame, scorer: Scorer, confidence: str = "per_o
     ``per_opinion`` divides the summed confidence by the non-neutral chunks only; ``mean`` by all.
     """
     measure = {"per_opinion": opinion_confidence, "mean": mean_confidence}[confidence]
-    scored = full_text(articles).withColumn("_scores", scorer.of_text(clean_news(F.col("Text"))))
+    scored = full_text(articles).withColumn("_scores", scorer(clean_news(F.col("Text"))))
     scores = F.col("_scores")
     return scored.select(
         *articles.columns,

@@ -7,31 +7,20 @@ together again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.functions.text import bind, chunk_arrays, chunk_texts, clean_social, tokens, weight_sum
+from tidemark.functions.text import CHUNK_OVERLAP, CHUNK_TOKENS, bind, chunk_arrays, clean_social, tokens, weight_sum
 
+# From a cleaned text to ``array<struct<label, score>>``, one entry per chunk.
+Scorer = Callable[[Column], Column]
 SCORES = "array<struct<label: string, score: double>>"
 
 
-@dataclass(frozen=True)
-class Scorer:
-    """``score`` turns chunks (``array<array<string>>``) into ``array<struct<label, score>>``."""
-
-    score: Callable[[Column], Column]
-    fold_case: bool = False
-
-    def of_text(self, clean: Column) -> Column:
-        """Scores of the chunks of a cleaned text."""
-        return self.score(chunk_arrays(tokens(F.lower(clean) if self.fold_case else clean)))
-
-
-def lexicon_scorer(lexicon: Mapping[str, float]) -> Scorer:
+def lexicon_scorer(lexicon: Mapping[str, float], length: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Scorer:
     """Stand-in for a sentiment model: the sign of the summed word weights of a chunk.
 
     Score is the share of the weight that agrees with the label, one half where nothing speaks
@@ -39,12 +28,12 @@ def lexicon_scorer(lexicon: Mapping[str, float]) -> Scorer:
     """
     up = {w: x for w, x in lexicon.items() if x > 0}
     down = {w: -x for w, x in lexicon.items() if x < 0}
-    return Scorer(
-        lambda chunks: F.transform(
-            chunks, lambda c: bind(F.struct(weight_sum(c, up).alias("up"), weight_sum(c, down).alias("down")), _verdict)
-        ),
-        fold_case=True,
-    )
+
+    def chunk_verdict(chunk: Column) -> Column:
+        sums = F.struct(weight_sum(chunk, up).alias("up"), weight_sum(chunk, down).alias("down"))
+        return bind(sums, _verdict)
+
+    return lambda clean: F.transform(chunk_arrays(tokens(F.lower(clean)), length, overlap), chunk_verdict)
 
 
 def _verdict(sums: Column) -> Column:
@@ -54,23 +43,28 @@ def _verdict(sums: Column) -> Column:
     return F.struct(label.alias("label"), agreeing.alias("score"))
 
 
-def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Scorer:
+def model_scorer(
+    load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
+    length: int = CHUNK_TOKENS,
+    overlap: int = CHUNK_OVERLAP,
+) -> Scorer:
     """Scorer around a model: ``load()`` runs once per Python worker and returns ``texts -> verdicts``.
 
-    All chunks of an Arrow batch go to the model in one call.
+    All chunks of an Arrow batch go to the model in one call. The texts are cut in Python, so that
+    the overlaps are not sent twice; Spark 4.1 also mishandles nested lambdas in UDF arguments.
     """
 
     @F.pandas_udf(SCORES)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for rows in batches:
-            sizes = [len(chunks) for chunks in rows]
-            verdicts = iter(model([text for chunks in rows for text in chunks]))
-            yield pd.Series(
-                [[dict(zip(("label", "score"), next(verdicts))) for _ in range(n)] for n in sizes]
-            )
+        for texts in batches:
+            words = [text.split() for text in texts]
+            starts = [range(0, len(w), length - overlap) for w in words]
+            chunks = [" ".join(w[s : s + length]) for w, ss in zip(words, starts) for s in ss]
+            verdicts = iter(model(chunks) if chunks else [])
+            yield pd.Series([[dict(zip(("label", "score"), next(verdicts))) for _ in ss] for ss in starts])
 
-    return Scorer(lambda chunks: predict(chunk_texts(chunks)))
+    return predict
 
 
 def _votes(scores: Column, label: str) -> Column:
@@ -107,7 +101,7 @@ def opinion_confidence(scores: Column) -> Column:
 
 def score_snippets(snippets: DataFrame, scorer: Scorer, clean=clean_social) -> DataFrame:
     """Sentiment, Score and Confidence of every text; empty texts count as Positive with score 0."""
-    scored = snippets.withColumn("_scores", scorer.of_text(clean(F.col("Text"))))
+    scored = snippets.withColumn("_scores", scorer(clean(F.col("Text"))))
     scores = F.col("_scores")
     return scored.select(
         *snippets.columns,

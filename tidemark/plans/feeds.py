@@ -95,11 +95,7 @@ def comment_days_scan(t: Tables):
     rows = raw_comments(t).withColumn("file", F.lit("a")).withColumn("idx", F.col("conv_id") * 100 + F.col("turn"))
     sinks.write_json_lines(comment_ops.nest_by_day(rows.drop("conv_id", "turn")), path)
     schema = f"Ticker string, Date date, file string, block bigint, comments array<struct<idx bigint, {schemas.COMMENT}>>"
-    days = t.spark.read.schema(schema).json(path).drop("file", "block")
-    comments = days.select("Ticker", F.col("Date").alias("day"), F.explode("comments").alias("c"))
-    return comment_ops.comment_snippets(
-        comments.select("Ticker", F.col("day").alias("Date"), "c.content", "c.replies")
-    )
+    return comment_ops.comment_snippets(comment_ops.unnest_days(t.spark.read.schema(schema).json(path)))
 
 
 @query("daily_sentiment_stream", with_entities(f"""

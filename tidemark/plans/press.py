@@ -75,7 +75,7 @@ def daily_event(t: Tables):
 , {_SCORED} SELECT article_id, News_Score, round(News_Conf, 6) AS News_Conf, round(mean_conf, 6) AS mean_conf
 FROM scored""", "articles"))
 def article_polarity(t: Tables):
-    verdicts = sent.lexicon_scorer(TEST_LEXICON).of_text(text.clean_news(F.col("Text")))
+    verdicts = sent.lexicon_scorer(TEST_LEXICON)(text.clean_news(F.col("Text")))
     scored = news_ops.full_text(t.articles).select("article_id", verdicts.alias("s"))
     scores = F.col("s")
     return scored.select(

@@ -36,7 +36,7 @@ COMMENT = (
     "total_replies_count bigint, user_reputation bigint, additional_data string"
 )
 RAW_COMMENT = COMMENT.replace("time string", "time bigint, written_at bigint", 1)
-REPLY = "content array<struct<text: string>>, text string, replies array<string>"
+REPLY = "content array<struct<text: string>>, text string, _corrupt_record string"
 
 ARTICLE = (
     "Date string, Title string, Summary string, Body string, published_date string, "
