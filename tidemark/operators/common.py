@@ -36,10 +36,11 @@ def overwrite_columns(frame: DataFrame, other: DataFrame, keys: Sequence[str]) -
     return frame.drop(*stale).join(other, list(keys), "left")
 
 
-def known_and_unknown(frame: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is in ``known``, and those whose key is not."""
-    ids = known.select(key).distinct()
-    return frame.join(ids, key, "left_semi"), frame.join(ids, key, "left_anti")
+def mark_known(frame: DataFrame, known: DataFrame, key: str, yes: str, no: str) -> DataFrame:
+    """``status`` tells whether the key of a row is in ``known``; one join, one pass over the rows."""
+    ids = known.select(key).distinct().withColumn("_known", F.lit(True))
+    status = F.when(F.col("_known"), yes).otherwise(no)
+    return frame.join(ids, key, "left").withColumn("status", status).drop("_known")
 
 
 def require_columns(frame: DataFrame, columns: Sequence[str], what: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.listing import plain_symbol
-from tidemark.operators.common import known_and_unknown
+from tidemark.operators.common import mark_known
 from tidemark.schemas import CATEGORY_COLUMNS
 
 # The categories that are listed.
@@ -63,14 +63,12 @@ def split_categories(frame: DataFrame, column: str = "Category") -> tuple[DataFr
 
 def found_and_failed(universe: DataFrame, found: DataFrame) -> DataFrame:
     """Every asset with status ``found`` or ``failed``."""
-    hit, miss = known_and_unknown(universe, found, "Ticker")
-    return hit.withColumn("status", F.lit("found")).unionByName(miss.withColumn("status", F.lit("failed")))
+    return mark_known(universe, found, "Ticker", "found", "failed")
 
 
 def route_feeds(feeds: DataFrame, known: DataFrame) -> DataFrame:
     """Feed rows of known tickers as ``routed``, the others as ``unknown``."""
-    hit, miss = known_and_unknown(feeds, known, "Ticker")
-    return hit.withColumn("status", F.lit("routed")).unionByName(miss.withColumn("status", F.lit("unknown")))
+    return mark_known(feeds, known, "Ticker", "routed", "unknown")
 
 
 def completeness(frame: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -323,28 +323,29 @@ def reddit_clean(t: Tables):
     )
 
 
-def _two_sources(t: Tables):
-    """The same threads seen by two crawls, and the labelled texts as a third source."""
-    one = raw_comments(t).where("turn = 0").select(
-        "Ticker", F.date_format("Date", "yyyy-MM-dd").alias("time"), F.lit("a_comments.json").alias("file"),
-        F.col("conv_id").alias("idx"), "content", "replies", F.lit("crawl").alias("source"),
+def _sources(t: Tables):
+    """The same turns seen by two crawls, one of them with blanks around, and the labelled texts."""
+    body = F.array(F.struct(F.col("Text").alias("text"))).alias("content")
+    day = F.date_format("Date", "yyyy-MM-dd")
+    turn = F.col("conv_id") * 100 + F.col("turn")
+    one = t.comment_rows.select(
+        "Ticker", day.alias("time"), F.lit("a_comments.json").alias("file"), turn.alias("idx"), body,
+        F.lit("crawl").alias("source"),
     )
-    again = t.comment_rows.where("turn <= 1").select(
-        "Ticker", F.date_format("Date", "yyyy-MM-dd").alias("Date"), F.lit("b_comments.json").alias("file"),
-        (F.col("conv_id") * 10 + F.col("turn")).alias("idx"),
+    again = t.comment_rows.select(
+        "Ticker", day.alias("Date"), F.lit("b_comments.json").alias("file"), turn.alias("idx"),
         F.concat(F.lit(" "), "Text", F.lit("\n")).alias("text"),
-    )
+    ).withColumn("content", F.lit(None).cast("array<struct<text:string>>"))
     texts = t.scored_snippets.select(
-        "Ticker", F.date_format("Date", "yyyy-MM-dd").alias("time"), F.lit("c_comments.json").alias("file"),
-        F.col("text_id").alias("idx"), F.array(F.struct(F.col("Text").alias("text"))).alias("content"),
+        "Ticker", day.alias("time"), F.lit("c_comments.json").alias("file"), F.col("text_id").alias("idx"), body
     )
     return [one, again, texts]
 
 
 _MERGED = f"""
 , sources AS (
-  SELECT Ticker, Date, 'a_comments.json' AS file, conv_id AS idx, {strip_sql('Text')} AS txt FROM comment_rows WHERE turn = 0
-  UNION ALL SELECT Ticker, Date, 'b_comments.json', conv_id * 10 + turn, {strip_sql('Text')} FROM comment_rows WHERE turn <= 1
+  SELECT Ticker, Date, 'a_comments.json' AS file, conv_id * 100 + turn AS idx, {strip_sql('Text')} AS txt FROM comment_rows
+  UNION ALL SELECT Ticker, Date, 'b_comments.json', conv_id * 100 + turn, {strip_sql('Text')} FROM comment_rows
   UNION ALL SELECT Ticker, Date, 'c_comments.json', text_id, {strip_sql('Text')} FROM scored_snippets),
 kept AS (SELECT * FROM sources WHERE txt <> ''
   QUALIFY row_number() OVER (PARTITION BY Ticker, Date, txt ORDER BY file, idx) = 1)"""
@@ -354,7 +355,7 @@ kept AS (SELECT * FROM sources WHERE txt <> ''
 {_MERGED} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, file, idx, txt AS first_text FROM kept""",
     "comment_rows", "scored_snippets"))
 def comments_merge(t: Tables):
-    kept = comment_ops.merge_comments(_two_sources(t))
+    kept = comment_ops.merge_comments(_sources(t))
     first = text.strip_edges(comment_ops.representative_text(kept.columns))
     return kept.select("Ticker", "Date", "file", "idx", first.alias("first_text"))
 
@@ -364,7 +365,7 @@ def comments_merge(t: Tables):
   CAST(count(*) AS INTEGER) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS ids
 FROM kept GROUP BY Ticker, Date, file, idx // 100""", "comment_rows", "scored_snippets"))
 def comment_days(t: Tables):
-    days = comment_ops.nest_by_day(comment_ops.merge_comments(_two_sources(t)), block=100)
+    days = comment_ops.nest_by_day(comment_ops.merge_comments(_sources(t)), block=100)
     ids = F.array_join(F.transform("comments", lambda c: c["idx"].cast("string")), ",")
     return comment_ops.newest_days_first(days).select(
         "Ticker", "Date", "file", "block", F.size("comments").alias("n"), ids.alias("ids")
