@@ -103,6 +103,22 @@ def test_refresh_without_news_gives_zeros(spark):
     assert {r.News_Score for r in master.refresh_news(stale, none, flags).collect()} == {0.0}
 
 
+def test_one_pass_gives_the_same_days(spark):
+    rows = [("A", "d1", "hack", None, "good bad good"), ("A", "d1", "x", "y", "bad"), ("A", "d2", None, None, "Ban"), ("A", None, "a", "b", "c")]
+    articles = spark.createDataFrame(rows, "Ticker string, Date string, Title string, Summary string, Body string")
+    scorer = sentiment.lexicon_scorer({"good": 1.0, "bad": -1.0})
+    apart = news.daily_news(news.score_articles(articles, scorer)).join(news.daily_events(articles), ["Ticker", "Date"])
+    together = news.daily_features(articles, scorer)
+    columns = sorted(apart.columns)
+    read = lambda f: sorted(map(tuple, f.select(columns).collect()))
+    assert read(apart) == read(together) and {r.Event_Flag for r in together.collect()} == {1}
+
+
+def test_undated_rows_are_counted(spark):
+    raw = spark.createDataFrame([("2024-01-01",), ("",), (None,), ("soon",)], "Date string")
+    assert tuple(news.undated(raw).first()) == (2, 1)
+
+
 def hit(ticker, pass_, page, pos, url, section, desk="x"):
     return (ticker, pass_, page, pos, url, section, desk)
 

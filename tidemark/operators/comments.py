@@ -192,15 +192,14 @@ def flatten_replies(roots: DataFrame, key: str, comment: str, levels: int = 6) -
     ``comment`` is raw JSON. The first ``levels`` levels are parsed by one nested schema in the
     row, without a shuffle. Deeper subtrees are rare; they go through Python, so none is lost.
     """
-    parsed = roots.select(key, F.from_json(comment, _tree_schema(levels)).alias("tree"))
-    nodes = parsed.select(key, F.explode(_tree_nodes(F.col("tree"), F.lit("0"), 0, levels)).alias("n"))
-    shallow = nodes.select(key, "n.path", "n.depth", "n.texts").select(
-        key, "path", "depth", F.explode("texts").alias("text")
-    )
+    nodes = _parsed_nodes(roots, key, comment, levels)
+    shallow = nodes.select(key, "path", "depth", F.explode("texts").alias("text"))
+    # Every level has a replies field, so a comment with few of them cannot be deep.
+    maybe_deep = roots.where(F.regexp_count(comment, F.lit('"replies"')) >= levels)
+    rest = _parsed_nodes(maybe_deep, key, comment, levels).where(F.size("rest") > 0)
     key_type = roots.schema[key].dataType.simpleString()
     deep = (
-        nodes.where(F.size("n.rest") > 0)
-        .select(key, F.posexplode("n.rest").alias("pos", "comment"), "n.path", "n.depth")
+        rest.select(key, F.posexplode("rest").alias("pos", "comment"), "path", "depth")
         .select(
             key,
             F.concat_ws(".", "path", F.col("pos").cast("string")).alias("path"),
@@ -212,6 +211,11 @@ def flatten_replies(roots: DataFrame, key: str, comment: str, levels: int = 6) -
     return shallow.unionByName(deep).withColumn("text", strip_tags(F.col("text")))
 
 
+def _parsed_nodes(roots: DataFrame, key: str, comment: str, levels: int) -> DataFrame:
+    tree = roots.select(key, F.from_json(comment, _tree_schema(levels)).alias("tree"))
+    return tree.select(key, F.inline(_tree_nodes(F.col("tree"), F.lit("0"), 0, levels)))
+
+
 def _tree_schema(levels: int) -> str:
     below = "string" if levels == 1 else f"struct<{_tree_schema(levels - 1)}>"
     return f"content array<struct<text: string>>, replies array<{below}>"

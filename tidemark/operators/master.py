@@ -20,9 +20,14 @@ def master_with_sentiment(bars: DataFrame, daily: DataFrame) -> DataFrame:
     return bars.join(heard, "Ticker", "left_semi").join(daily, list(KEYS), "left")
 
 
-def refresh_news(master: DataFrame, news: DataFrame, events: DataFrame) -> DataFrame:
-    """Replace the news and event columns; days without articles get 0. Running it twice changes nothing."""
-    fresh = overwrite_columns(overwrite_columns(master, news, KEYS), events, KEYS)
+def refresh_news(master: DataFrame, *daily: DataFrame) -> DataFrame:
+    """Replace the news and event columns by those of the daily frames; days without articles get 0.
+
+    Running it twice changes nothing.
+    """
+    fresh = master
+    for frame in daily:
+        fresh = overwrite_columns(fresh, frame, KEYS)
     for name in NEWS_FEATURES:
         if name not in fresh.columns:
             fresh = fresh.withColumn(name, F.lit(0))

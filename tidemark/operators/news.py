@@ -78,6 +78,15 @@ def unify_articles(raw: DataFrame) -> DataFrame:
     )
 
 
+def undated(raw: DataFrame, column: str = "Date") -> DataFrame:
+    """How many rows carry no date, and how many one that no known layout fits; for the job's report."""
+    text = F.nullif(F.trim(column), F.lit(""))
+    return raw.agg(
+        F.count_if(text.isNull()).alias("missing"),
+        F.count_if(text.isNotNull() & lenient_day(text).isNull()).alias("unreadable"),
+    )
+
+
 def full_text(articles: DataFrame) -> DataFrame:
     return articles.withColumn("Text", article_text(F.col("Title"), F.col("Summary"), F.col("Body")))
 
@@ -97,8 +106,21 @@ def score_articles(articles: DataFrame, scorer: Scorer, confidence: str = "per_o
     )
 
 
+def daily_features(
+    articles: DataFrame, scorer: Scorer, words: Iterable[str] = EVENT_KEYWORDS, confidence: str = "per_opinion"
+) -> DataFrame:
+    """News columns and event flag of every ticker and day, out of one pass over the articles."""
+    flag = event_flag(article_text(F.col("Title"), F.col("Summary"), F.col("Body")), words)
+    scored = score_articles(articles.withColumn("Event_Flag", flag), scorer, confidence)
+    return _daily(scored, F.max("Event_Flag").alias("Event_Flag"))
+
+
 def daily_news(scored: DataFrame) -> DataFrame:
     """Per ticker and day: summed score, articles, mean confidence and score per article."""
+    return _daily(scored)
+
+
+def _daily(scored: DataFrame, *more: Column) -> DataFrame:
     daily = (
         scored.where(F.col("Date").isNotNull())
         .groupBy("Ticker", "Date")
@@ -106,6 +128,7 @@ def daily_news(scored: DataFrame) -> DataFrame:
             F.sum("News_Score").alias("News_Score"),
             F.count("News_Score").alias("News_Cnt"),
             F.avg("News_Conf").alias("News_Conf"),
+            *more,
         )
     )
     return daily.withColumn("News_Norm", ratio(F.col("News_Score"), F.col("News_Cnt")))

@@ -8,10 +8,9 @@ from tidemark.functions.dates import day_epoch
 from tidemark.operators import bars as bars_ops
 from tidemark.operators import comments as comment_ops
 from tidemark.operators import master as master_ops
-from tidemark.operators import news as news_ops
 from tidemark.operators import universe as universe_ops
 from tidemark.operators import sentiment as sent
-from tidemark.plans.press import _DAILY, _FLAGS, _SCORED, TEST_KEYWORDS, _scored
+from tidemark.plans.press import _DAILY, _FLAGS, _SCORED, press_features
 from tidemark.plans.registry import query
 from tidemark.plans.social import TEST_LEXICON, raw_comments, social_sql, verdicts_sql
 from tidemark.plans.tables import Tables, with_entities
@@ -68,8 +67,7 @@ def master_publish(t: Tables):
     """The master is published, read, refreshed, published as the next version and read again."""
     base = shared_dir(t.spark, "master")
     sinks.publish_master(t.bars.select("Ticker", "Date", "Close"), base)
-    news, events = news_ops.daily_news(_scored(t)), news_ops.daily_events(t.articles, TEST_KEYWORDS)
-    sinks.publish_master(master_ops.refresh_news(sinks.read_master(t.spark, base), news, events), base)
+    sinks.publish_master(master_ops.refresh_news(sinks.read_master(t.spark, base), press_features(t)), base)
     latest = sinks.read_master(t.spark, base)
     return latest.withColumns({c: F.round(c, 6) for c in ("News_Conf", "News_Norm")})
 

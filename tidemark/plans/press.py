@@ -40,6 +40,10 @@ def _scored(t: Tables):
     return news_ops.score_articles(t.articles, sent.lexicon_scorer(TEST_LEXICON))
 
 
+def press_features(t: Tables):
+    return news_ops.daily_features(t.articles, sent.lexicon_scorer(TEST_LEXICON), TEST_KEYWORDS)
+
+
 # -- texts and events -------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from tidemark.plans.press import _DAILY as NEWS_DAILY
 from tidemark.plans.press import _FLAGS as NEWS_FLAGS
 from tidemark.plans.press import _SCORED as NEWS_SCORED
 from tidemark.plans.press import TEST_KEYWORDS
-from tidemark.plans.press import _scored as scored_articles
+from tidemark.plans.press import press_features
 from tidemark.plans.reference_data import _FILLED as MACRO_FILLED
 from tidemark.plans.reference_data import TEST_SERIES
 from tidemark.plans.registry import query
@@ -97,9 +97,7 @@ WHERE b.Ticker IN (SELECT Ticker FROM daily)""", "bars", "scored_snippets", "art
 def feature_row(t: Tables):
     """History, sentiment, news and macro values of an asset and day as one vector."""
     master = master_ops.master_with_sentiment(t.bars, daily_sentiment(t))
-    master = master_ops.refresh_news(
-        master, news_ops.daily_news(scored_articles(t)), news_ops.daily_events(t.articles, TEST_KEYWORDS)
-    )
+    master = master_ops.refresh_news(master, press_features(t))
     full = macro_ops.as_of(master, t.macro_long, TEST_SERIES)
     blocks = {
         "hist": ["Close", "Volume"], "sent": ["Sent_CumScore", "Sent_Confidence"],
