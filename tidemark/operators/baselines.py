@@ -24,21 +24,25 @@ def tfidf(texts: DataFrame, key: str, text: str, common_terms: int = 10_000) ->
     """tf * log((N + 1) / (df + 1)) of every term of every text.
 
     Term counts collapse on the map side. A common term stands in nearly every text, so it must not
-    become one join key of a shuffle: terms that hold more than one ``common_terms``-th of all
-    counts, of which there can be no more than that many, are broadcast. The rest is joined by term.
+    become one join key of a shuffle: terms that make up more than one ``common_terms``-th of all
+    words, of which there can be no more than that many, are broadcast. The rest is joined by term.
+
+    Every branch reads the same columns of the term counts, so that Spark computes them once.
     """
     words = texts.select(key, F.explode(tokens(F.lower(clean_social(F.col(text))))).alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = words.where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
     n = texts.agg(F.count("*")).scalar()
-    idf = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)))
-    is_common = F.col("df") * common_terms > df.agg(F.sum("df")).scalar()
-    common = F.broadcast(idf.where(is_common).select("term", "idf"))
-    marked = tf.join(common, "term", "left")
-    rare = idf.where(~is_common).select("term", "idf")
-    near = marked.where(F.col("idf").isNotNull())
-    far = marked.where(F.col("idf").isNull()).drop("idf").join(rare, "term")
-    return near.unionByName(far).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    is_common = F.col("uses") * common_terms > terms.agg(F.sum("uses")).scalar()
+    idf = F.log((n + 1) / (F.col("df") + 1)).alias("idf")
+    common = F.broadcast(terms.where(is_common).select(F.col("term").alias("_common"), idf))
+    rare = terms.where(~is_common).select(F.col("term").alias("_key"), idf.alias("rare_idf"))
+    # Rows that are served already are spread over keys that match nothing.
+    marked = tf.join(common, F.col("term") == F.col("_common"), "left")
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(997)))
+    keyed = marked.withColumn("_key", F.when(F.col("idf").isNull(), F.col("term")).otherwise(spread))
+    joined = keyed.join(rare, "_key", "left").withColumn("idf", F.coalesce("idf", "rare_idf"))
+    return joined.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def top_terms(weights: DataFrame, key: str, n: int = 5, digits: int = 6) -> DataFrame:
