@@ -53,3 +53,12 @@ def test_chunking_cleans_a_text_once(spark):
     text = plan(entry.queries()["text_chunks"](spark, FOLDER))
     lambda_parts = re.findall(r"lambdafunction\((.*)", text)
     assert lambda_parts and not any("slice(" in p and "regexp_replace" in p.split("slice(")[1] for p in lambda_parts)
+
+
+def test_scratch_space_is_the_shared_folder(spark):
+    from tidemark.session import parameter_frame, shared_dir
+
+    one, two = (shared_dir(spark, "x") for _ in range(2))
+    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
+    with pytest.raises(ValueError, match="parameter rows"):
+        parameter_frame(spark, ((i,) for i in range(10_001)), "i int")

@@ -57,6 +57,15 @@ def test_model_sees_the_same_chunks(spark, n, chunks):
     assert [(s.label, s.score) for s in row.s] == [(f"w{i * 462}", min(512, n - i * 462)) for i in range(chunks)]
 
 
+def test_model_may_bring_its_tokeniser(spark):
+    frame = spark.createDataFrame([("abcde",)], "t string")
+    letters = sentiment.model_scorer(
+        lambda: lambda texts: [(t, 1.0) for t in texts], length=3, overlap=1, cut=list, glue="".join
+    )
+    (row,) = frame.select(letters(F.col("t")).alias("s")).collect()
+    assert [s.label for s in row.s] == ["abc", "cde", "e"]
+
+
 def test_daily_drops_undated_and_adds_up(spark):
     rows = [("T", "2024-01-01", 1, 0.5, "x"), ("T", "2024-01-01", -1, 0.7, "y"), ("T", None, 1, 0.9, "z")]
     scored = spark.createDataFrame(rows, "Ticker string, Date string, Score int, Confidence double, Text string")

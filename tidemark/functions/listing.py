@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: a ticker in a name.
 SYMBOL = r"\(([A-Z]{2,10})\)"
 
 

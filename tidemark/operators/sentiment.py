@@ -47,10 +47,13 @@ def model_scorer(
     load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
     length: int = CHUNK_TOKENS,
     overlap: int = CHUNK_OVERLAP,
+    cut: Callable[[str], list] = str.split,
+    glue: Callable[[list], str] = " ".join,
 ) -> Scorer:
     """Scorer around a model: ``load()`` runs once per Python worker and returns ``texts -> verdicts``.
 
-    All chunks of an Arrow batch go to the model in one call. The texts are cut in Python, so that
+    ``cut`` and ``glue`` are a tokeniser's encoding and decoding; whitespace words by default. All
+    chunks of an Arrow batch go to the model in one call. The texts are cut in Python, so that
     the overlaps are not sent twice; Spark 4.1 also mishandles nested lambdas in UDF arguments.
     """
 
@@ -58,9 +61,9 @@ def model_scorer(
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            words = [text.split() for text in texts]
-            starts = [range(0, len(w), length - overlap) for w in words]
-            chunks = [" ".join(w[s : s + length]) for w, ss in zip(words, starts) for s in ss]
+            cuts = [cut(text) for text in texts]
+            starts = [range(0, len(c), length - overlap) for c in cuts]
+            chunks = [glue(c[s : s + length]) for c, ss in zip(cuts, starts) for s in ss]
             verdicts = iter(model(chunks) if chunks else [])
             yield pd.Series([[dict(zip(("label", "score"), next(verdicts))) for _ in ss] for ss in starts])
 

@@ -30,13 +30,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder named by ``spark.checkpoint.dir``.
+    """A new path under the folder named by ``spark.checkpoint.dir``, which all executors must see.
 
-    All executors must see it. Only where the cluster names none (tests, local mode) does the
-    session get a temporary folder of its own.
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster it is an
+    error, since a folder of the driver's machine would not do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
