@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions.dates import day_epoch
 from tidemark.operators import bars as bars_ops
 from tidemark.operators import comments as comment_ops
 from tidemark.operators import master as master_ops
 from tidemark.operators import universe as universe_ops
 from tidemark.operators import sentiment as sent
-from tidemark.plans.press import _DAILY, _FLAGS, _SCORED, press_features
+from tidemark.plans.press import NEWS_DAILY, NEWS_FLAGS, NEWS_SCORED, press_features
 from tidemark.plans.registry import query
 from tidemark.plans.social import TEST_LEXICON, raw_comments, social_sql, verdicts_sql
 from tidemark.plans.tables import Tables, with_entities
@@ -57,7 +58,7 @@ def comments_scan(t: Tables):
 
 
 @query("master_publish", with_entities(f"""
-, {_SCORED}, {_DAILY}, {_FLAGS}
+, {NEWS_SCORED}, {NEWS_DAILY}, {NEWS_FLAGS}
 SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, coalesce(News_Score, 0) AS News_Score,
   CAST(coalesce(News_Cnt, 0) AS BIGINT) AS News_Cnt, round(coalesce(News_Conf, 0), 6) AS News_Conf,
   round(coalesce(News_Norm, 0), 6) AS News_Norm, coalesce(Event_Flag, 0) AS Event_Flag
@@ -87,8 +88,6 @@ SELECT Ticker, CAST(Date AS VARCHAR) AS Date, Text, Type, 'Merged' AS Source FRO
     "comment_rows"))
 def comment_days_scan(t: Tables):
     """Comments nested by day, written, read back and unnested to snippets."""
-    from tidemark import schemas
-
     path = shared_dir(t.spark, "days")
     rows = raw_comments(t).withColumn("file", F.lit("a")).withColumn("idx", F.col("conv_id") * 100 + F.col("turn"))
     sinks.write_json_lines(comment_ops.nest_by_day(rows.drop("conv_id", "turn")), path)

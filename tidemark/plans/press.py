@@ -18,17 +18,17 @@ from tidemark.sources import files
 TEST_KEYWORDS = (*text.EVENT_KEYWORDS, "that", "für", "pour", "sich")
 _ANY_KEYWORD = "(?i)(^|[^\\p{L}\\p{N}_])(" + "|".join(TEST_KEYWORDS) + ")([^\\p{L}\\p{N}_]|$)"
 
-_TEXTS = """texts AS (SELECT *, concat(coalesce(Title, ''), ' ', coalesce(Summary, ''), ' ', coalesce(Body, '')) AS Text
+ARTICLE_TEXTS = """texts AS (SELECT *, concat(coalesce(Title, ''), ' ', coalesce(Summary, ''), ' ', coalesce(Body, '')) AS Text
   FROM articles)"""
-_SCORED = f"""{_TEXTS}, {verdicts_sql('texts', 'article_id', news_sql('Text'))},
+NEWS_SCORED = f"""{ARTICLE_TEXTS}, {verdicts_sql('texts', 'article_id', news_sql('Text'))},
 votes AS (SELECT article_id, count(*) FILTER (label = 'Positive') AS p, count(*) FILTER (label = 'Negative') AS n,
           sum(score) AS conf, count(*) AS chunks FROM verdicts GROUP BY article_id),
 scored AS (SELECT a.article_id, Ticker, Date, CAST(coalesce(p - n, 0) AS DOUBLE) AS News_Score,
    coalesce(conf / greatest(p + n, 1), 0) AS News_Conf, coalesce(conf / chunks, 0) AS mean_conf
    FROM articles a LEFT JOIN votes v ON a.article_id = v.article_id)"""
-_DAILY = """daily AS (SELECT Ticker, Date, sum(News_Score) AS News_Score, count(News_Score) AS News_Cnt,
+NEWS_DAILY = """daily AS (SELECT Ticker, Date, sum(News_Score) AS News_Score, count(News_Score) AS News_Cnt,
    avg(News_Conf) AS News_Conf, sum(News_Score) / count(News_Score) AS News_Norm FROM scored GROUP BY Ticker, Date)"""
-_FLAGS = f"""flags AS (SELECT Ticker, Date, max(CAST(regexp_matches(Text, '{_ANY_KEYWORD}') AS INTEGER)) AS Event_Flag
+NEWS_FLAGS = f"""flags AS (SELECT Ticker, Date, max(CAST(regexp_matches(Text, '{_ANY_KEYWORD}') AS INTEGER)) AS Event_Flag
    FROM texts GROUP BY Ticker, Date)"""
 
 
@@ -36,7 +36,7 @@ def _rounded(frame, *names: str):
     return frame.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _scored(t: Tables):
+def scored_articles(t: Tables):
     return news_ops.score_articles(t.articles, sent.lexicon_scorer(TEST_LEXICON))
 
 
@@ -47,13 +47,13 @@ def press_features(t: Tables):
 # -- texts and events -------------------------------------------------------------------------
 
 
-@query("article_text", with_entities(f", {_TEXTS} SELECT article_id, Text FROM texts", "articles"))
+@query("article_text", with_entities(f", {ARTICLE_TEXTS} SELECT article_id, Text FROM texts", "articles"))
 def article_text(t: Tables):
     return news_ops.full_text(t.articles).select("article_id", "Text")
 
 
 @query("event_flag", with_entities(f"""
-, {_TEXTS} SELECT article_id, CAST(regexp_matches(Text, '{_ANY_KEYWORD}') AS INTEGER) AS Event_Flag FROM texts""",
+, {ARTICLE_TEXTS} SELECT article_id, CAST(regexp_matches(Text, '{_ANY_KEYWORD}') AS INTEGER) AS Event_Flag FROM texts""",
     "articles"))
 def event_flag(t: Tables):
     flag = text.event_flag(F.col("Text"), TEST_KEYWORDS)
@@ -61,7 +61,7 @@ def event_flag(t: Tables):
 
 
 @query("event_keyword_counts", with_entities(f"""
-, {_TEXTS}, vocabulary AS (SELECT unnest([{', '.join(f"'{k}'" for k in TEST_KEYWORDS)}]) AS keyword)
+, {ARTICLE_TEXTS}, vocabulary AS (SELECT unnest([{', '.join(f"'{k}'" for k in TEST_KEYWORDS)}]) AS keyword)
 SELECT Ticker, keyword, count(*) AS articles FROM texts JOIN vocabulary
   ON regexp_matches(Text, concat('(?i)(^|[^\\p{{L}}\\p{{N}}_])', keyword, '([^\\p{{L}}\\p{{N}}_]|$)'))
 GROUP BY Ticker, keyword""", "articles"))
@@ -70,13 +70,13 @@ def event_keyword_counts(t: Tables):
 
 
 @query("daily_event", with_entities(f"""
-, {_TEXTS}, {_FLAGS} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, Event_Flag FROM flags""", "articles"))
+, {ARTICLE_TEXTS}, {NEWS_FLAGS} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, Event_Flag FROM flags""", "articles"))
 def daily_event(t: Tables):
     return news_ops.daily_events(t.articles, TEST_KEYWORDS)
 
 
 @query("article_polarity", with_entities(f"""
-, {_SCORED} SELECT article_id, News_Score, round(News_Conf, 6) AS News_Conf, round(mean_conf, 6) AS mean_conf
+, {NEWS_SCORED} SELECT article_id, News_Score, round(News_Conf, 6) AS News_Conf, round(mean_conf, 6) AS mean_conf
 FROM scored""", "articles"))
 def article_polarity(t: Tables):
     verdicts = sent.lexicon_scorer(TEST_LEXICON)(text.clean_news(F.col("Text")))
@@ -90,14 +90,14 @@ def article_polarity(t: Tables):
 
 
 @query("daily_news", with_entities(f"""
-, {_SCORED}, {_DAILY} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, News_Score, News_Cnt,
+, {NEWS_SCORED}, {NEWS_DAILY} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, News_Score, News_Cnt,
   round(News_Conf, 6) AS News_Conf, round(News_Norm, 6) AS News_Norm FROM daily""", "articles"))
 def daily_news(t: Tables):
-    return _rounded(news_ops.daily_news(_scored(t)), "News_Conf", "News_Norm")
+    return _rounded(news_ops.daily_news(scored_articles(t)), "News_Conf", "News_Norm")
 
 
 @query("master_refresh", with_entities(f"""
-, {_SCORED}, {_DAILY}, {_FLAGS}
+, {NEWS_SCORED}, {NEWS_DAILY}, {NEWS_FLAGS}
 SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, coalesce(News_Score, 0) AS News_Score,
   CAST(coalesce(News_Cnt, 0) AS BIGINT) AS News_Cnt, round(coalesce(News_Conf, 0), 6) AS News_Conf,
   round(coalesce(News_Norm, 0), 6) AS News_Norm, coalesce(Event_Flag, 0) AS Event_Flag
@@ -106,7 +106,7 @@ FROM bars b LEFT JOIN daily d ON b.Ticker = d.Ticker AND b.Date = d.Date
 def master_refresh(t: Tables):
     """Refreshed twice over a master that holds stale columns: the second run changes nothing."""
     stale = t.bars.select("Ticker", "Date", "Close", F.lit(9.0).alias("News_Score"), F.lit(0.5).alias("FwdRet_7d"))
-    news, events = news_ops.daily_news(_scored(t)), news_ops.daily_events(t.articles, TEST_KEYWORDS)
+    news, events = news_ops.daily_news(scored_articles(t)), news_ops.daily_events(t.articles, TEST_KEYWORDS)
     once = master_ops.refresh_news(stale, news, events)
     return _rounded(master_ops.refresh_news(once, news, events), "News_Conf", "News_Norm")
 

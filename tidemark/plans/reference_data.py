@@ -10,7 +10,7 @@ from tidemark.operators import pages as page_ops
 from tidemark.operators import universe as universe_ops
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
-from tidemark.schemas import CATEGORY_COLUMNS, SCREENER_COLUMNS
+from tidemark.schemas import SCREENER_COLUMNS
 from tidemark.sources import files
 
 # The test series under published names, so that every rounding rule occurs.
@@ -37,7 +37,7 @@ def macro_long(t: Tables):
 
 
 _WIDE = ", ".join(f"max(value) FILTER (series_id = '{i}') AS {n}" for n, i in TEST_SERIES.items())
-_FILLED = f"""
+MACRO_FILLED = f"""
 wide AS (SELECT date, {_WIDE} FROM macro_long GROUP BY date),
 filled AS (SELECT date, {', '.join(f'last_value({n} IGNORE NULLS) OVER w AS {n}' for n in TEST_SERIES)}
   FROM wide WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
@@ -54,13 +54,13 @@ def macro_wide(t: Tables):
 
 
 @query("macro_ffill", with_entities(f"""
-, {_FILLED} SELECT strftime(date, '%m/%d/%Y') AS Date, {_ROUNDED} FROM filled""", "macro_long"))
+, {MACRO_FILLED} SELECT strftime(date, '%m/%d/%Y') AS Date, {_ROUNDED} FROM filled""", "macro_long"))
 def macro_ffill(t: Tables):
     return macro_ops.monthly_table(t.macro_long, TEST_SERIES)
 
 
 @query("macro_asof", with_entities(f"""
-, {_FILLED} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(f.date AS VARCHAR) AS macro_date, {', '.join(TEST_SERIES)}
+, {MACRO_FILLED} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(f.date AS VARCHAR) AS macro_date, {', '.join(TEST_SERIES)}
 FROM bars_long b ASOF LEFT JOIN filled f ON b.Date >= f.date + 10""", "bars_long", "macro_long"))
 def macro_asof(t: Tables):
     bars = t.bars_long.select("Ticker", "Date", "Close")
@@ -121,8 +121,8 @@ def category_summary(t: Tables):
 
 
 @query("category_filter", with_entities("""
-SELECT Category, lower(Category) IN ('chain', 'currency', 'meme') AS ok, count(*) AS rows
-FROM universe GROUP BY Category""", "universe").replace("AS ok", "AS is_listed"))
+SELECT Category, lower(Category) IN ('chain', 'currency', 'meme') AS is_listed, count(*) AS rows
+FROM universe GROUP BY Category""", "universe"))
 def category_filter(t: Tables):
     listed, invalid = universe_ops.split_categories(t.universe)
     counted = listed.groupBy("Category").agg(F.count("*").alias("rows"))

@@ -10,17 +10,10 @@ from tidemark.operators import macro as macro_ops
 from tidemark.operators import master as master_ops
 from tidemark.operators import news as news_ops
 from tidemark.operators import portfolio
-from tidemark.plans.press import _DAILY as NEWS_DAILY
-from tidemark.plans.press import _FLAGS as NEWS_FLAGS
-from tidemark.plans.press import _SCORED as NEWS_SCORED
-from tidemark.plans.press import TEST_KEYWORDS
-from tidemark.plans.press import press_features
-from tidemark.plans.reference_data import _FILLED as MACRO_FILLED
-from tidemark.plans.reference_data import TEST_SERIES
+from tidemark.plans.press import ARTICLE_TEXTS, NEWS_DAILY, NEWS_FLAGS, NEWS_SCORED, TEST_KEYWORDS, press_features
+from tidemark.plans.reference_data import MACRO_FILLED, TEST_SERIES
 from tidemark.plans.registry import query
-from tidemark.plans.social import _DAILY as SOCIAL_DAILY
-from tidemark.plans.social import DOWN, TEST_LEXICON, UP, social_sql
-from tidemark.plans.social import _daily as daily_sentiment
+from tidemark.plans.social import DOWN, SOCIAL_DAILY, TEST_LEXICON, UP, labelled_days, social_sql
 from tidemark.plans.tables import Tables, with_entities
 
 RETURNS = """returns AS (SELECT * FROM (SELECT Ticker, Date,
@@ -96,7 +89,7 @@ FROM bars b LEFT JOIN daily d ON b.Ticker = d.Ticker AND b.Date = d.Date
 WHERE b.Ticker IN (SELECT Ticker FROM daily)""", "bars", "scored_snippets", "articles", "macro_long"))
 def feature_row(t: Tables):
     """History, sentiment, news and macro values of an asset and day as one vector."""
-    master = master_ops.master_with_sentiment(t.bars, daily_sentiment(t))
+    master = master_ops.master_with_sentiment(t.bars, labelled_days(t))
     master = master_ops.refresh_news(master, press_features(t))
     full = macro_ops.as_of(master, t.macro_long, TEST_SERIES)
     blocks = {
@@ -232,8 +225,7 @@ def regime_metrics(t: Tables):
 
 
 @query("event_study", with_entities(f"""
-, {SHORT}, texts AS (SELECT *, concat(coalesce(Title, ''), ' ', coalesce(Summary, ''), ' ', coalesce(Body, '')) AS Text
-  FROM articles), {NEWS_FLAGS}
+, {SHORT}, {ARTICLE_TEXTS}, {NEWS_FLAGS}
 SELECT f.Ticker, CAST(k AS INTEGER) AS day_offset, count(*) AS n, round(avg(r), 6) AS mean_r
 FROM flags f JOIN (SELECT unnest(range(-3, 4)) AS k) ON true JOIN returns x ON x.Ticker = f.Ticker AND x.Date = f.Date + CAST(k AS INTEGER)
 WHERE Event_Flag = 1 GROUP BY f.Ticker, k""", "bars", "articles"))

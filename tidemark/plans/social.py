@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.functions.numbers import polarity
 from tidemark.operators import bars as bars_ops
 from tidemark.operators import comments as comment_ops
 from tidemark.operators import master as master_ops
 from tidemark.operators import sentiment as sent
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
+from tidemark.schemas import RAW_COMMENT
 
 # Classes of the text rules, spelled out once more for the SQL side.
 S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
@@ -105,16 +107,18 @@ def clean_unicode(t: Tables):
     return t.documents.select("doc_id", text.clean_news(F.col("text")).alias("clean"))
 
 
-_ASCII = "text"
-for _letter, _pair in (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe")):
-    _ASCII = f"replace({_ASCII}, '{_letter}', '{_pair}')"
-_ASCII = f"translate({_ASCII}, '{text.ACCENTED}', '{text.PLAIN}')"
+def forum_sql(column: str) -> str:
+    plain = column
+    for letter, pair in (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe")):
+        plain = f"replace({plain}, '{letter}', '{pair}')"
+    plain = f"translate({plain}, '{text.ACCENTED}', '{text.PLAIN}')"
+    return (
+        f"trim(regexp_replace(regexp_replace(regexp_replace({plain}, "
+        f"'(?:http|www|https)[^{S}]+', '', 'g'), '[^{WD}{S},.!?]', '', 'g'), '[{S}]+', ' ', 'g'))"
+    )
 
 
-@query("clean_reddit", f"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({_ASCII},
-  '(?:http|www|https)[^{S}]+', '', 'g'), '[^{WD}{S},.!?]', '', 'g'), '[{S}]+', ' ', 'g')) AS clean
-FROM documents""")
+@query("clean_reddit", f"SELECT doc_id, {forum_sql('text')} AS clean FROM documents")
 def clean_reddit(t: Tables):
     return t.documents.select("doc_id", text.clean_forum(F.col("text")).alias("clean"))
 
@@ -166,14 +170,12 @@ def text_polarity(t: Tables):
     )
 
 
-_DAILY = """
+SOCIAL_DAILY = """
 daily AS (SELECT Ticker, Date, sum(CASE Sentiment WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END) AS cum,
                  avg(Confidence) AS conf, count(Text) AS n FROM scored_snippets GROUP BY Ticker, Date)"""
 
 
-def _daily(t: Tables):
-    from tidemark.functions.numbers import polarity
-
+def labelled_days(t: Tables):
     scored = t.scored_snippets.withColumn("Score", polarity(F.col("Sentiment")))
     return sent.daily_sentiment(scored)
 
@@ -183,21 +185,21 @@ def _rounded(frame, *names: str):
 
 
 @query("daily_sentiment", with_entities(f"""
-, {_DAILY} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, CAST(cum AS BIGINT) AS Sent_CumScore,
+, {SOCIAL_DAILY} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, CAST(cum AS BIGINT) AS Sent_CumScore,
   round(conf, 6) AS Sent_Confidence, n AS Sent_TextCount, round(cum / n, 6) AS Sent_NormScore FROM daily""",
     "scored_snippets"))
 def daily_sentiment(t: Tables):
-    return _rounded(_daily(t), "Sent_Confidence", "Sent_NormScore")
+    return _rounded(labelled_days(t), "Sent_Confidence", "Sent_NormScore")
 
 
 @query("master_sentiment", with_entities(f"""
-, {_DAILY} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Open, High, Low, Close, Volume,
+, {SOCIAL_DAILY} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Open, High, Low, Close, Volume,
   CAST(cum AS BIGINT) AS Sent_CumScore, round(conf, 6) AS Sent_Confidence, n AS Sent_TextCount,
   round(cum / n, 6) AS Sent_NormScore
 FROM bars b LEFT JOIN daily d ON b.Ticker = d.Ticker AND b.Date = d.Date
 WHERE b.Ticker IN (SELECT Ticker FROM daily)""", "bars", "scored_snippets"))
 def master_sentiment(t: Tables):
-    return _rounded(master_ops.master_with_sentiment(t.bars, _daily(t)), "Sent_Confidence", "Sent_NormScore")
+    return _rounded(master_ops.master_with_sentiment(t.bars, labelled_days(t)), "Sent_Confidence", "Sent_NormScore")
 
 
 @query("comment_sentiment", with_entities(f"""
@@ -276,8 +278,6 @@ SELECT event_id, strftime(to_timestamp(event_id * 8641) AT TIME ZONE 'UTC', '%Y-
 FROM events""")
 def comment_project(t: Tables):
     """Events as crawled comments with gaps: odd ones lack a rank, all lack reputation and replies."""
-    from tidemark.schemas import RAW_COMMENT
-
     raw = F.to_json(F.struct(
         (F.col("event_id") * 8641).alias("time"),
         F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").alias("ranks_up"))).alias("rank"),
@@ -297,13 +297,11 @@ def comment_project(t: Tables):
 
 
 @query("reddit_clean", f"""
-WITH posts AS (SELECT d.*, string_split(text, chr(10)) AS lines FROM documents d),
-cleaned AS (SELECT doc_id, n_chars, lang, {'{expr}'.format(expr="trim(regexp_replace(regexp_replace(regexp_replace(@, '(?:http|www|https)[^" + S + "]+', '', 'g'), '[^" + WD + S + ",.!?]', '', 'g'), '[" + S + "]+', ' ', 'g'))").replace('@', _ASCII.replace('(text', '(lines[1]'))} AS title,
-  len(list_filter(lines, lambda x: trim(regexp_replace(regexp_replace(regexp_replace({_ASCII.replace('(text', '(x')},
-   '(?:http|www|https)[^{S}]+', '', 'g'), '[^{WD}{S},.!?]', '', 'g'), '[{S}]+', ' ', 'g')) <> '')) AS n FROM posts)
+WITH posts AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents),
+cleaned AS (SELECT *, {forum_sql('lines[1]')} AS title,
+  CAST(len(list_filter(lines, lambda x: {forum_sql('x')} <> '')) AS BIGINT) AS n FROM posts)
 SELECT doc_id AS idx, CAST(DATE '1970-01-01' + CAST(doc_id AS INTEGER) AS VARCHAR) AS time, title,
-       CAST(n AS BIGINT) AS replies_count, CAST(n AS BIGINT) AS total_replies_count,
-       n_chars AS best_score, n_chars AS ranked_by_current_user,
+       n AS replies_count, n AS total_replies_count, n_chars AS best_score, n_chars AS ranked_by_current_user,
        CAST(CASE WHEN lang = 'en' THEN 7 ELSE 0 END AS BIGINT) AS user_reputation
 FROM cleaned""")
 def reddit_clean(t: Tables):
