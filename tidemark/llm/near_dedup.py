@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, sliced
+from tidemark.llm.common import cut, free_name, sliced
 
 WIDTH = 5
 BANDS = 26
@@ -85,8 +85,13 @@ class Sketch:
         return _mixed(keys + np.arange(self.bands, dtype=np.uint64) * self.weights[self.rows]).view(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """Digest of a text; an empty one for null, so that keys join by plain equality."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
 def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands`` of every row; no key and no bands without words."""
+    """``doc_id, text_key, n_shingles, set_key, bands`` of every row; no set and no bands without words."""
 
     def run(batches):
         hashes, sketch = _WordHashes(), Sketch(bands, rows)
@@ -99,12 +104,12 @@ def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width:
                 # A text of fewer words than a shingle can only be equal to another, which the key tells.
                 found.append(sketch.bands_of(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    return documents.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text"))).mapInArrow(
+        run, "doc_id long, text_key string, n_shingles long, set_key binary, bands array<long>"
     )
 
 
@@ -216,8 +221,8 @@ def link_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return every
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``documents`` (``doc_id``, ``text``).
+def classified(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, kept`` of every row of ``documents`` (``doc_id``, ``text``).
 
     A-Z are lower-cased, words are runs of other characters than space and \\x09-\\x0D. Documents of
     fewer words than a shingle are one shingle; those without words (null and empty texts too) are
@@ -242,7 +247,37 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     named = classes.join(names, "class_key").select(F.col("id").alias("set_key"), "name")
     return base.join(named, "set_key", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
         F.when(F.col("set_key").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("name"))).alias("kept"),
     )
+
+
+def near_duplicates(documents: DataFrame, **options: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` as told at :func:`classified`."""
+    return classified(documents, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_copies(documents: DataFrame, **options: int) -> DataFrame:
+    """``documents`` with one row of each class: that of the smallest ``doc_id``; all its columns.
+
+    Equal rows, and rows that differ in other columns than ``doc_id`` and ``text`` only, leave one row,
+    whichever. Rows without words all stay.
+    """
+    verdicts = classified(documents, **options)
+    status = F.when(~F.min("kept"), "drop").when((F.count("*") > 1) & (F.max("n_shingles") > 0), "first")
+    flags = cut(
+        verdicts.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(status.alias("s")).where("s is not null")
+    )
+    names = {c: free_name(c, documents.columns) for c in ("d", "k", "s")}
+    flags = flags.select(*(F.col(c).alias(n) for c, n in names.items()))
+    d, k, s = (flags[n] for n in names.values())
+    keyed = documents.join(
+        flags, (documents["doc_id"].cast("long").eqNullSafe(d)) & (text_key(documents["text"]) == k), "left"
+    )
+    single = keyed.where(s.isNull()).select(*(documents[f"`{c}`"] for c in documents.columns))
+    if flags.where(F.col(names["s"]) == "first").isEmpty():
+        return single
+    several = keyed.where(s == "first").dropDuplicates([names["d"], names["k"]])
+    return single.union(several.select(*(documents[f"`{c}`"] for c in documents.columns)))
