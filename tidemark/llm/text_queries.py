@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, quality
 from tidemark.llm.registry import query, table
 
 
@@ -13,3 +13,9 @@ from tidemark.llm.registry import query, table
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
     return bpe.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, base rules and the label model's verdict on every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
