@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, near_dedup
+from tidemark.llm import decontaminate, near_dedup, sharding
 from tidemark.llm.registry import query, table
 
 # Shingles as text, all pairs that share one, their overlap, and reachability over the links.
@@ -57,3 +57,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a ten-word window of a benchmark item."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document under 16 shards, its place there, and its shard under 17."""
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
