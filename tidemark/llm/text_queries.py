@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality
+from tidemark.llm import bpe, quality, secret_scan
 from tidemark.llm.registry import query, table
 
 
@@ -19,3 +19,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, base rules and the label model's verdict on every document."""
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: spans of the base patterns and those the network adds."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
