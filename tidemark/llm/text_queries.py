@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, secret_scan
+from tidemark.llm import bpe, licenses, quality, secret_scan
 from tidemark.llm.registry import query, table
 
 
@@ -25,3 +25,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: spans of the base patterns and those the network adds."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of every document and the licences they stand for."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
