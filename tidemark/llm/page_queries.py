@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import warc
+from tidemark.llm import html_main, warc
 from tidemark.llm.registry import query, table
 
 WARC_SQL = """
@@ -22,3 +22,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to seekable WARC bundles and read back."""
     stored, _ = warc.bundles(table(spark, sf_dir, "pages"))
     return warc.read_bundles(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_html_main")
+def op2_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"))
