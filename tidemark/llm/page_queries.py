@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_main, warc
+from tidemark.llm import html_main, url_filter, warc
 from tidemark.llm.registry import query, table
 
 WARC_SQL = """
@@ -28,3 +28,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
