@@ -9,7 +9,11 @@ from tidemark.llm.common import written
 from tidemark.llm.registry import table
 
 STAGES = [
+    ("quality_rules", stages.of_quality),
     ("near_dedup", stages.dedup),
+    ("benchmark_decontamination", stages.without_benchmark),
+    ("secret_scan", stages.without_secrets),
+    ("bpe", stages.tokens),
 ]
 
 # Label models and trained scanners have no SQL; tests compare run() with a version in plain Python.

@@ -1,12 +1,34 @@
-"""Stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame`` with the columns of ``documents``."""
+"""Stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame``; all but the last keep the columns of ``docs``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dedup
+from tidemark.llm import bpe, decontaminate, near_dedup, quality, secret_scan
+from tidemark.llm.registry import table
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the label model reject go."""
+    return quality.of_quality(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return near_dedup.without_copies(docs, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item stands go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; all documents stay."""
+    return secret_scan.masked(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, with their number and the digests of ids and decoded text."""
+    return bpe.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
