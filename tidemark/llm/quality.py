@@ -156,7 +156,8 @@ def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> dict
     votes = sorted({(rule, vote) for p in patterns for rule, vote in enumerate(p) if vote != NO_VOTE})
     with_vote = {(rule, vote): [p for p in patterns if p[rule] == vote] for rule, vote in votes}
     fault = {key: BELIEF.get(key[1], 0.1) for key in votes}
-    share, good = 0.8, {}
+    clean = sum(n for p, n in counts.items() if BAD not in p) / total  # the belief about the share of good documents
+    share, good = min(max(clean, 0.01), 0.99), {}
     for _ in range(rounds):
         prior = _logit(share)
         weight = {}
@@ -166,7 +167,8 @@ def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> dict
         for p in patterns:
             score = prior + sum(weight[rule, vote] for rule, vote in enumerate(p) if vote != NO_VOTE)
             good[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, score))))
-        share = min(max(sum(counts[p] * good[p] for p in patterns) / total, 0.01), 0.99)
+        seen_good = sum(counts[p] * good[p] for p in patterns) / total
+        share = min(max((seen_good + BELIEF_WEIGHT * clean) / (1 + BELIEF_WEIGHT), 0.01), 0.99)
         for key, having in with_vote.items():
             seen = sum(counts[p] for p in having)
             bad = sum(counts[p] * (1 - good[p]) for p in having) / seen
