@@ -40,14 +40,6 @@ def test_scans_read_only_what_they_need(spark):
     assert "GreaterThanOrEqual(ts" in text and "LessThan" in text
 
 
-def test_large_scans_are_not_dealt_out(spark):
-    from tidemark.operators.common import spread_small
-
-    many = spark.range(100, numPartitions=64)
-    assert spread_small(many) is many
-    assert Tables(spark, FOLDER).documents.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_chunking_cleans_a_text_once(spark):
     """A plan that repeats the cleaning inside the chunk lambda costs one cleaning per chunk."""
     text = plan(entry.queries()["text_chunks"](spark, FOLDER))

@@ -7,20 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The date layouts the feeds use, tried in this order.
+from tidemark.functions.text import bind
+
+# Layouts of a day, tried in this order. A day comes first only where the month-first layout can't be.
 FEED_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm:ssXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM-dd-yyyy",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "M/d/yyyy",
+    "M-d-yyyy",
+    "d/M/yyyy",
+    "d-M-yyyy",
     "MMMM d, yyyy",
     "MMM d, yyyy",
+    "MMMM d yyyy",
+    "MMM d yyyy",
+    "d MMMM yyyy",
     "d MMM yyyy",
 )
 
+# A weekday in front, the dot of a shortened month, and a time with or without an offset behind.
+WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+MONTH_DOT = r"(?i)\b(jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\."
+TIME_BEHIND = r"(?i)(?:,?\s+(?:at\s+)?|T)\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[ap]\.?m\.?)?(?:\s*(?:Z|[A-Z]{2,5}|(?:GMT|UTC)?[+-]\d{2}:?\d{2}))?$"
+
 OFFSET_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -38,6 +48,11 @@ def day_epoch(day: Column) -> Column:
     return F.unix_date(day).cast("long") * 86400
 
 
+def stamp_epoch(stamp: Column) -> Column:
+    """Epoch seconds, rounded down, of a timestamp without zone that is meant in UTC."""
+    return F.unix_date(F.to_date(stamp)).cast("long") * 86400 + F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)
+
+
 def offset_day(stamp: Column) -> Column:
     """Day of an ISO stamp in the offset it carries; '' for a missing one, NULL for a malformed one."""
     return F.when(F.coalesce(stamp, F.lit("")) == "", F.lit("")).when(
@@ -47,15 +62,13 @@ def offset_day(stamp: Column) -> Column:
 
 
 def lenient_day(text: Column, formats: Sequence[str] = FEED_FORMATS) -> Column:
-    """First layout that fits gives the day; a time or offset behind it is ignored, else NULL.
+    """The day as it is written, by the first layout that fits, else NULL.
 
-    ISO stamps are cut to their date part first, so that an offset never moves the day.
+    A weekday in front and a time or offset behind are cut off first, so that an offset never moves the day.
     """
-    iso = F.try_to_date(F.regexp_extract(text, r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1))
-    rest = [
-        F.try_to_date(F.trim(text), fmt) for fmt in formats if not fmt.startswith("yyyy-MM-dd")
-    ]
-    return F.coalesce(iso, *rest)
+    day = F.regexp_replace(F.regexp_replace(F.trim(text), WEEKDAY, ""), TIME_BEHIND, "")
+    day = F.regexp_replace(F.regexp_replace(day, r"(?i)\bsept\.? ", "Sep "), MONTH_DOT, "$1")
+    return bind(day, lambda d: F.coalesce(*(F.try_to_date(d, fmt) for fmt in formats)))
 
 
 def strict_day(text: Column) -> Column:

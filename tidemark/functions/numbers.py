@@ -28,10 +28,3 @@ def to_number(text: Column) -> Column:
 def polarity(label: Column) -> Column:
     """Positive 1, Negative -1, anything else 0."""
     return F.when(label == "Positive", 1).when(label == "Negative", -1).otherwise(0)
-
-
-def correlation(a: str, b: str, window=None) -> Column:
-    """Pearson coefficient; NULL where one side is constant (``corr`` raises there)."""
-    over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
-    spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
-    return F.try_divide(over(F.covar_pop(a, b)), F.nullif(spread, F.lit(0.0)))

@@ -103,12 +103,18 @@ def keyword_pattern(words: Iterable[str]) -> str:
 
 
 def event_flag(text: Column, words: Iterable[str] = EVENT_KEYWORDS) -> Column:
-    """1 if any keyword occurs in the raw text, else 0."""
+    """1 if any usable keyword occurs in the raw text, else 0; 0 for all texts without any."""
+    words = keyword_list(words)
+    if not words:
+        return F.lit(0)
     return F.coalesce(text.rlike(keyword_pattern(words)).cast("int"), F.lit(0))
 
 
 def event_hits(text: Column, words: Iterable[str] = EVENT_KEYWORDS) -> Column:
-    """Distinct keywords that occur in the text."""
+    """Distinct usable keywords that occur in the text."""
+    words = keyword_list(words)
+    if not words:
+        return F.array().cast("array<string>")
     hits = F.regexp_extract_all(text, F.lit(keyword_pattern(words)), F.lit(1))
     return F.array_distinct(F.transform(hits, F.lower))
 

@@ -49,15 +49,5 @@ def require_columns(frame: DataFrame, columns: Sequence[str], what: str) -> None
         raise ValueError(f"{what}: missing columns {missing}")
 
 
-def spread_small(frame: DataFrame) -> DataFrame:
-    """A plain scan with fewer splits than the cluster has cores, dealt out to all of them.
-
-    For work that is heavy per row, as on texts. Only inputs of a few file blocks ever qualify, so
-    the shuffle is small by construction; a large input has more splits than cores and is left alone.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def _name(column: str) -> Column:
     return F.col(f"`{column}`")

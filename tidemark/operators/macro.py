@@ -56,13 +56,22 @@ def usable_observations(raw: DataFrame) -> DataFrame:
 def widen(long: DataFrame, names: Mapping[str, str], keys: Sequence[str] = ("date",)) -> DataFrame:
     """One column per series (column name to series id), one row per date any series has.
 
+    Of several values for one date the largest counts; :func:`latest_vintage` picks the newest before, where the
+    feed says which that is.
+
     One aggregation stands for the chain of outer joins; the fixed list saves a job to find it.
     """
     ids = list(names.values())
-    wide = long.groupBy(*keys).pivot("series_id", ids).agg(F.first("value", ignorenulls=True))
+    wide = long.groupBy(*keys).pivot("series_id", ids).agg(F.max("value"))
     return wide.select(*keys, *(F.col(f"`{i}`").alias(n) for n, i in names.items()))
 
 
+def latest_vintage(long: DataFrame, vintage: str) -> DataFrame:
+    """One value per series and date: that of the newest ``vintage``, the larger of two equally new ones."""
+    newest = F.max(F.struct(F.col(vintage), F.col("value"))).alias("newest")
+    return long.groupBy("series_id", "date").agg(newest).select("series_id", "date", F.col("newest.value").alias("value"))
+
+
 def forward_fill(long: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Every series on every date of any series, gaps filled from before; ``next_date`` ends a row's validity.
 
@@ -70,7 +79,8 @@ def forward_fill(long: DataFrame, ids: Sequence[str]) -> DataFrame:
     """
     spine = long.select("date").distinct().withColumn("series_id", F.explode(F.array(*map(F.lit, ids))))
     by_date = Window.partitionBy("series_id").orderBy("date")
-    known = spine.join(long, ["series_id", "date"], "left")
+    single = long.groupBy("series_id", "date").agg(F.max("value").alias("value"))
+    known = spine.join(single, ["series_id", "date"], "left")
     return known.select(
         "series_id",
         "date",

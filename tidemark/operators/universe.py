@@ -20,14 +20,15 @@ LISTED_CATEGORIES = (
 
 
 def audit_universe(universe: DataFrame) -> DataFrame:
-    """Assets whose ids contradict each other, with what is wrong (1) or right (0)."""
+    """Assets whose ids contradict each other or are missing, with what is wrong (1) or right (0)."""
+    missing = F.col("X-Spot-Id").isNull() | F.col("X-Post-Id").isNull()
     joined = F.concat_ws("_", "X-Spot-Id", "X-Post-Id")
     post_symbol = F.regexp_extract("X-Post-Id", r"\$(.*)\$", 1)
     checked = universe.select(
         "Ticker",
         post_symbol.alias("post_symbol"),
-        (joined != F.col("Conversation Id")).cast("int").alias("bad_conversation"),
-        (post_symbol != plain_symbol(F.col("Ticker"))).cast("int").alias("bad_post"),
+        (missing | ~joined.eqNullSafe(F.col("Conversation Id"))).cast("int").alias("bad_conversation"),
+        (~post_symbol.eqNullSafe(plain_symbol(F.col("Ticker")))).cast("int").alias("bad_post"),
     )
     return checked.where((F.col("bad_conversation") == 1) | (F.col("bad_post") == 1))
 

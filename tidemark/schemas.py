@@ -38,10 +38,6 @@ COMMENT = (
 RAW_COMMENT = COMMENT.replace("time string", "time bigint, written_at bigint", 1)
 REPLY = "content array<struct<text: string>>, text string, _corrupt_record string"
 
-ARTICLE = (
-    "Date string, Title string, Summary string, Body string, published_date string, "
-    "headline string, abstract string, body string, url string, section string"
-)
 SEARCH_PAGE = (
     "response struct<docs: array<struct<web_url: string, pub_date: string, section_name: string, "
     "news_desk: string, headline: struct<main: string>, abstract: string, snippet: string>>>"
