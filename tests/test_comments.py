@@ -71,14 +71,24 @@ def walk(node, path="0", depth=0):
         yield from walk(r, f"{path}.{i}", depth + 1)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 4, 9])
-def test_reply_trees_of_any_depth(spark, levels):
+def test_reply_trees_of_any_depth(spark):
     root = tree(5, 2)
     frame = spark.createDataFrame([("k", json.dumps(root))], "id string, c string")
-    got = {(r.path, r.depth, r.text) for r in ops.flatten_replies(frame, "id", "c", levels).collect()}
+    got = {(r.path, r.depth, r.text) for r in ops.flatten_replies(frame, "id", "c").collect()}
     assert got == set(walk(root))
 
 
+def test_replies_of_every_shape(spark):
+    root = {"content": [{"text": "<i>a</i>"}, {}], "replies": ["plain <b>b</b>", {"text": "c", "replies": [{"content": [], "replies": ["d"]}]}, 7, {"content": 3}]}
+    rows = [("k", json.dumps(root)), ("none", None), ("bad", "{"), ("deep", json.dumps(tree(60)))]
+    frame = spark.createDataFrame(rows, "id string, c string")
+    got = [(r.id, r.path, r.depth, r.text) for r in ops.flatten_replies(frame, "id", "c").collect() if r.id != "deep"]
+    assert sorted(got) == [("k", "0", 0, ""), ("k", "0", 0, "a"), ("k", "0.0", 1, "plain b"), ("k", "0.1", 1, "c"), ("k", "0.1.0.0", 3, "d")]
+    assert ops.flatten_replies(frame, "id", "c").where("id = 'deep'").count() == 61
+    bad = [(r.id, r.path) for r in ops.unreadable_replies(frame, "id", "c").collect()]
+    assert sorted(bad) == [("bad", "0"), ("k", "0.2"), ("k", "0.3")]
+
+
 def test_range_ends_at_midnight(spark):
     frame = spark.sql(
         "SELECT explode(array(timestamp_ntz'2025-06-01 00:00:00', timestamp_ntz'2025-06-01 00:00:01', timestamp_ntz'2025-05-31 23:59:59')) AS t"

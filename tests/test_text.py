@@ -138,3 +138,38 @@ def test_record_map(value):
 @pytest.mark.parametrize("raw, symbol", [("Apple Inc NASDAQ: AAPL", "AAPL"), ("BTC-USD", "BTC"), ("ETH", "ETH"), ("X-USD-Y", "X-USD-Y")])
 def test_plain_symbol(value, raw, symbol):
     assert value(listing.plain_symbol(F.lit(raw))) == symbol
+
+
+def test_no_usable_keyword_flags_nothing(value):
+    assert value(text.event_flag(F.lit("the case of c3po in it"), [])) == 0
+    assert value(text.event_flag(F.lit("c3po in it"), ["c3po", "in", "it"])) == 0
+
+
+@pytest.mark.parametrize("raw", [
+    "Mon, 05 Aug 2024 10:00:00 GMT", "08/05/2024 10:00", "Aug. 5, 2024", "5 August 2024", "August 5, 2024 10:00 AM", "20240805", "2024/08/05",
+    "2024-08-05T23:30:00-0500", "2024-08-05 10:00:00.123", "Monday, August 5, 2024", "Aug 5, 2024", " 2024-8-5 ", "05 Aug 2024 10:00 +0200",
+])
+def test_usual_spellings_of_a_day(value, raw):
+    from tidemark.functions.dates import lenient_day
+
+    assert str(value(lenient_day(F.lit(raw)))) == "2024-08-05"
+
+
+def test_day_first_where_the_month_cannot_be(value):
+    from tidemark.functions.dates import lenient_day
+
+    assert str(value(lenient_day(F.lit("13/02/2024")))) == "2024-02-13"
+    assert str(value(lenient_day(F.lit("02/13/2024")))) == "2024-02-13"
+    assert value(lenient_day(F.lit("31/31/2024"))) is None and value(lenient_day(F.lit("soon"))) is None
+
+
+def test_ten_thousand_weights(value):
+    lexicon = {f"w{i}": i / 7 for i in range(10_000)}
+    words = F.array(*(F.lit(w) for w in ("w3", "w9999", "unknown", "w3")))
+    assert value(text.weight_sum(words, lexicon)) == pytest.approx((3 + 9999 + 3) / 7)
+    assert value(text.weight_sum(words, {})) == 0.0
+
+
+def test_nested_json_at_any_depth(value):
+    deep = '{"a": ' * 40 + '[1, 2.50, null, [], "x", {"b": true}]' + "}" * 40
+    assert value(flat_json(F.parse_json(F.lit(deep)))) == "1 2.5   x true"

@@ -6,7 +6,9 @@ Unicode ``\\s`` and ``\\w`` cover and mean the same in Spark and in DuckDB.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
@@ -161,16 +163,19 @@ def chunk_arrays(words: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK
 def weight_sum(words: Column, lexicon: Mapping[str, float]) -> Column:
     """Summed weight of the words; unknown words weigh nothing.
 
-    One pass per distinct weight, each word one lookup in a hashed set.
+    The lexicon is one constant: entries in buckets by their checksum, so that a word is looked up in the few
+    entries of its bucket, however many there are.
     """
-    by_weight: dict[float, list[str]] = {}
-    for entry, weight in lexicon.items():
-        by_weight.setdefault(float(weight), []).append(entry)
-    total = F.lit(0.0)
-    for weight, entries in sorted(by_weight.items()):
-        total = total + count_in(words, entries) * F.lit(weight)
-    return total
-
-
-def count_in(words: Column, entries: Iterable[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(list(entries))))
+    if not lexicon:
+        return F.lit(0.0)
+    size = 2 * len(lexicon)
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for entry, weight in sorted(lexicon.items()):
+        buckets[zlib.crc32(entry.encode("utf-8")) % size].append({"w": entry, "x": float(weight)})
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w: string, x: double>>>")
+
+    def weight(word: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(size)).cast("int"))
+        return F.aggregate(bucket, F.lit(0.0), lambda s, e: s + F.when(e["w"] == word, e["x"]).otherwise(0.0))
+
+    return F.aggregate(words, F.lit(0.0), lambda s, word: s + F.coalesce(weight(word), F.lit(0.0)))

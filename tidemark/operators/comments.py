@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.functions.dates import epoch_day_text, strict_day
 from tidemark.functions.text import clean_forum, is_blank, strip_edges, strip_tags
@@ -181,80 +184,64 @@ def unnest_days(days: DataFrame) -> DataFrame:
 
 # -- reply trees ------------------------------------------------------------------------------
 
-NODE = "path string, depth int, text string"
+NODES = "path string, depth int, text string, error string"
 
 
-def flatten_replies(roots: DataFrame, key: str, comment: str, levels: int = 6) -> DataFrame:
-    """All texts of a comment tree, with the position path of their node and its depth.
+def reply_nodes(comment: str | None) -> Iterator[tuple[str, int, str | None, str | None]]:
+    """Path, depth and text of every node of a comment tree, in order, or the reason why a node has none.
 
-    ``comment`` is raw JSON. The first ``levels`` levels are parsed by one nested schema in the
-    row, without a shuffle. Deeper subtrees are rare; they go through Python, so none is lost.
+    A node is an object with ``content`` (a text per entry) or ``text`` or both, or a plain string, and an object
+    may have ``replies``; this holds at every depth. NULL has no nodes.
     """
-    nodes = _parsed_nodes(roots, key, comment, levels)
-    shallow = nodes.select(key, "path", "depth", F.explode("texts").alias("text"))
-    # Every level has a replies field, so a comment with few of them cannot be deep.
-    maybe_deep = roots.where(F.regexp_count(comment, F.lit('"replies"')) >= levels)
-    rest = _parsed_nodes(maybe_deep, key, comment, levels).where(F.size("rest") > 0)
-    key_type = roots.schema[key].dataType.simpleString()
-    deep = (
-        rest.select(key, F.posexplode("rest").alias("pos", "comment"), "path", "depth")
-        .select(
-            key,
-            F.concat_ws(".", "path", F.col("pos").cast("string")).alias("path"),
-            (F.col("depth") + 1).alias("depth"),
-            "comment",
-        )
-        .mapInPandas(_walk_deep(key), f"{key} {key_type}, {NODE}")
-    )
-    return shallow.unionByName(deep).withColumn("text", strip_tags(F.col("text")))
-
-
-def _parsed_nodes(roots: DataFrame, key: str, comment: str, levels: int) -> DataFrame:
-    tree = roots.select(key, F.from_json(comment, _tree_schema(levels)).alias("tree"))
-    return tree.select(key, F.inline(_tree_nodes(F.col("tree"), F.lit("0"), 0, levels)))
+    if comment is None:
+        return
+    try:
+        waiting = [("0", 0, json.loads(comment))]
+    except (ValueError, RecursionError):
+        yield "0", 0, None, "unreadable"
+        return
+    while waiting:
+        path, depth, node = waiting.pop()
+        if isinstance(node, str):
+            yield path, depth, node, None
+            continue
+        if not isinstance(node, dict):
+            yield path, depth, None, "neither object nor text"
+            continue
+        content, replies = node.get("content") or [], node.get("replies") or []
+        if not isinstance(content, list) or not isinstance(replies, list):
+            yield path, depth, None, "content or replies are no list"
+            continue
+        texts = [c.get("text") if isinstance(c, dict) else c for c in content]
+        texts += [node["text"]] if isinstance(node.get("text"), str) else []
+        for text in texts:
+            yield path, depth, text if isinstance(text, str) else "", None
+        waiting += [(f"{path}.{i}", depth + 1, r) for i, r in reversed(list(enumerate(replies)))]
+
+
+def _all_nodes(roots: DataFrame, key: str, comment: str) -> DataFrame:
+    schema = StructType([roots.schema[key], *StructType.fromDDL(NODES).fields])
+    layout = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = ((k, *n) for k, c in zip(*(x.to_pylist() for x in batch.columns)) for n in reply_nodes(c))
+            while rows := list(islice(nodes, 5000)):
+                columns = [pa.array(v, f.type) for v, f in zip(zip(*rows), layout)]
+                yield pa.RecordBatch.from_arrays(columns, schema=layout)
 
+    return roots.select(key, comment).mapInArrow(walk, schema)
 
-def _tree_schema(levels: int) -> str:
-    below = "string" if levels == 1 else f"struct<{_tree_schema(levels - 1)}>"
-    return f"content array<struct<text: string>>, replies array<{below}>"
 
+def flatten_replies(roots: DataFrame, key: str, comment: str) -> DataFrame:
+    """All texts of a comment tree (raw JSON), tags stripped, with the position path and depth of their node.
 
-def _tree_nodes(node: Column, path: Column, depth: int, levels: int) -> Column:
-    texts = F.transform(node["content"], lambda c: F.coalesce(c["text"], F.lit("")))
-    last = levels == 1
-    own = F.array(
-        F.struct(
-            path.alias("path"),
-            F.lit(depth).alias("depth"),
-            F.coalesce(texts, F.array().cast("array<string>")).alias("texts"),
-            (node["replies"] if last else F.array().cast("array<string>")).alias("rest"),
-        )
-    )
-    if last:
-        return own
-    below = F.flatten(
-        F.transform(
-            node["replies"],
-            lambda r, i: _tree_nodes(r, F.concat(path, F.lit("."), i.cast("string")), depth + 1, levels - 1),
-        )
-    )
-    return F.concat(own, F.coalesce(below, F.slice(own, 1, 0)))
+    A tree is parsed once, whatever its depth. What is no node is in :func:`unreadable_replies`.
+    """
+    nodes = _all_nodes(roots, key, comment).where("error is null")
+    return nodes.select(key, "path", "depth", strip_tags(F.col("text")).alias("text"))
 
 
-def _walk_deep(key: str):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                todo = [(row.path, row.depth, json.loads(row.comment))]
-                while todo:
-                    path, depth, node = todo.pop()
-                    found += [
-                        (getattr(row, key), path, depth, c.get("text") or "") for c in node.get("content") or []
-                    ]
-                    todo += [
-                        (f"{path}.{i}", depth + 1, r) for i, r in enumerate(node.get("replies") or [])
-                    ]
-            yield pd.DataFrame(found, columns=[key, "path", "depth", "text"])
-
-    return walk
+def unreadable_replies(roots: DataFrame, key: str, comment: str) -> DataFrame:
+    """Key, path, depth and reason of everything in the trees that :func:`flatten_replies` leaves out."""
+    return _all_nodes(roots, key, comment).where("error is not null").drop("text")

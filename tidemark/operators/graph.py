@@ -12,50 +12,20 @@ WINDOW_DAYS = 7
 EDGE_THRESHOLD = 0.2
 
 
-def standardised_windows(returns: DataFrame, n: int = WINDOW_DAYS) -> DataFrame:
-    """Last ``n`` returns of an asset, centred and scaled to unit length; full windows only.
+def rolling_correlation(returns: DataFrame, n: int = WINDOW_DAYS) -> DataFrame:
+    """Correlation of every two assets over the last ``n`` days on which both have a return.
 
-    The scalar product of two such vectors is the Pearson coefficient. A constant window gets NULL.
+    Both sides of the join are the same columns, so their exchange is made once. A window holds the
+    days of one pair, which the calendar bounds. NULL where one side is constant. Callers filter right behind.
     """
-    window = Window.partitionBy("Ticker").orderBy("Date").rowsBetween(1 - n, 0)
-    full = returns.select(
-        "Ticker",
-        "Date",
-        "r",
-        F.collect_list("r").over(window).alias("rs"),
-        F.collect_list("Date").over(window).alias("days"),
-    ).where(F.size("rs") == n)
-    mean = F.aggregate("rs", F.lit(0.0), lambda s, x: s + x) / n
-    centred = full.withColumn("_m", mean).withColumn("_c", F.transform("rs", lambda x: x - F.col("_m")))
-    length = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))
-    varies = F.array_max("rs") > F.array_min("rs")
-    scaled = centred.withColumn("_l", F.when(varies, length))
-    return scaled.select(
-        "Ticker", "Date", "days", "r",
-        F.when(varies, F.transform("_c", lambda x: x / F.col("_l"))).alias("z"),
-    )
-
-
-def rolling_correlation(returns: DataFrame, n: int = WINDOW_DAYS, splits: int = 8) -> DataFrame:
-    """Correlation of every two assets whose last ``n`` return dates are the same days.
-
-    Windows are formed per asset before pairing, so the shuffle carries one row per asset and day
-    and no window runs over pairs. The left side is split by asset and the right side repeated, so
-    that the pairs of a day are formed by ``splits`` tasks. Callers filter right behind the join.
-    """
-    z = standardised_windows(returns, n)
-    split = F.pmod(F.xxhash64("Ticker"), F.lit(splits)).cast("int")
-    left = z.select(
-        F.col("Ticker").alias("a"), "Date", "days", F.col("z").alias("za"), F.col("r").alias("ra"), split.alias("split")
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-    right = z.select(
-        F.col("Ticker").alias("b"), "Date", "days", F.col("z").alias("zb"), F.col("r").alias("rb"), every.alias("split")
-    )
-    pairs = left.join(right, ["Date", "days", "split"]).where(F.col("a") < F.col("b"))
-    product = F.aggregate(F.zip_with("za", "zb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rho = F.greatest(F.least(product, F.lit(1.0)), F.lit(-1.0))
-    return pairs.select("a", "b", "Date", F.when(product.isNotNull(), rho).alias("rho"), "ra", "rb")
+    left = returns.select(F.col("Ticker").alias("a"), "Date", F.col("r").alias("ra"))
+    right = returns.select(F.col("Ticker").alias("b"), "Date", F.col("r").alias("rb"))
+    pairs = left.join(right, "Date").where(F.col("a") < F.col("b"))
+    window = Window.partitionBy("a", "b").orderBy("Date").rowsBetween(1 - n, 0)
+    spread = F.stddev_pop("ra").over(window) * F.stddev_pop("rb").over(window)
+    rho = ratio(F.covar_pop("ra", "rb").over(window), spread)
+    full = pairs.select("a", "b", "Date", "ra", "rb", rho.alias("rho"), F.count("*").over(window).alias("n")).where(F.col("n") == n)
+    return full.select("a", "b", "Date", F.when(F.col("rho").isNotNull(), F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))).alias("rho"), "ra", "rb")
 
 
 def edges(correlations: DataFrame, threshold: float = EDGE_THRESHOLD) -> DataFrame:

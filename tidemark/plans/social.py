@@ -245,9 +245,6 @@ def snippets(t: Tables):
     return comment_ops.comment_snippets(raw_comments(t))
 
 
-_TREE_LEVELS = 3
-
-
 @query("reply_flatten", f"""
 WITH lines AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
 nodes AS (SELECT conv_id, turn, l, unnest(range(0, len(l))) AS depth FROM lines)
@@ -266,7 +263,7 @@ def reply_flatten(t: Tables):
         ),
     )
     roots = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("root_id"), tree.alias("comment"))
-    return comment_ops.flatten_replies(roots, "root_id", "comment", levels=_TREE_LEVELS)
+    return comment_ops.flatten_replies(roots, "root_id", "comment")
 
 
 @query("comment_project", """
