@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,23 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the session was started from.
+
+    On a cluster it is sent to them as an archive; local workers find it through their path.
+    """
+    root = Path(__file__).resolve().parent
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark"), "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+    elif str(root.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), os.environ.get("PYTHONPATH", "")]))
+        spark.sparkContext.environment["PYTHONPATH"] = os.environ["PYTHONPATH"]
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
