@@ -3,12 +3,14 @@
 A document is the set of its five-word shingles. Equal sets collapse first, by a 128-bit digest of the
 set, so copies never meet in a bucket. Each distinct set is hashed once; the hashes fall into bins, every
 bin keeps its smallest, and an empty bin borrows from the first filled bin in an order of its own, the
-same for all documents. Bands of bins name buckets. Inside a bucket every document is compared with a
-few centres only (a star), never with all others. Links are confirmed on the full sets.
-
-Stars alone could miss a chain of links, so the buckets are worked off in rounds: a centre that has been
-compared with everybody leaves its bucket, a bucket whose documents are in one component is finished, and
-the others get new centres. Nothing is capped; the rounds end when no bucket holds two components.
+same for all documents. Bands of bins name buckets, and sets that buckets connect form a family.
+
+A set most of whose shingles nobody else in the families has can't be linked and is left out. In
+the others every set is compared with a few centres of its family (a star), never with all others, and links are confirmed
+on the full sets. Stars alone could miss a chain of links, so there are rounds: a centre that has been compared
+with everybody leaves, a family whose sets are in one component is finished, the others get more centres. Nothing
+is capped; the rounds end when no family has two components left. Pairs whose 1024-bit sketches differ by over
+four standard deviations more than those of linked sets do are dropped in the join, before the full sets are fetched.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, free_name, sliced
@@ -27,7 +29,9 @@ WIDTH = 5
 BANDS = 26
 ROWS = 5
 CACHED_WORDS = 200_000
-CENTRES = (1, 4, 16)  # per bucket in the first, second and every later round
+CENTRES = 64  # times as many centres of a family in each further round
+BITS = 1024  # of a sketch; one bit of each of so many MinHashes
+MARGIN = 0.07  # of similarity below the wanted one down to which sketches let a pair pass: 4.2 standard deviations
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -114,107 +118,133 @@ def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width:
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id, shingles`` of the documents with a wanted ``doc_id`` (null too): digest and sorted hashes as bytes."""
+    """``id, n, shingles, bits`` of the wanted sets: sorted hashes, and one bit of each of ``BITS`` MinHashes.
+
+    ``wanted`` has ``id``, ``set_key`` and the ``doc_id`` (null too) of a document with that set.
+    """
 
     def run(batches):
         hashes = _WordHashes()
+        draw = np.random.default_rng(21)
+        factors = draw.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
         for batch in sliced(batches):
-            sets = [shingle_set(text.as_py(), hashes, width).tobytes() for text in batch.column(0)]
-            keys = [hashlib.md5(x).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            keys, sets, bits = [], [], []
+            for text in batch.column(0):
+                shingles = shingle_set(text.as_py(), hashes, width)
+                lowest = np.array([(shingles * f).min() for f in factors]) if len(shingles) else np.zeros(BITS, np.uint64)
+                keys.append(hashlib.md5(shingles.tobytes()).digest())
+                sets.append(shingles.view(np.int64))
+                bits.append(np.packbits((_mixed(lowest) >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["set_key", "shingles", "bits"],
+            )
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("d"), "text").alias("t")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("d"), "text")
     chosen = chosen.join(wanted.select("doc_id").distinct(), F.expr("d <=> doc_id"), "left_semi").select("text")
-    return chosen.mapInArrow(run, "id binary, shingles binary").dropDuplicates(["id"])
+    made = chosen.mapInArrow(run, "set_key binary, shingles array<long>, bits array<long>").dropDuplicates(["set_key"])
+    return made.join(wanted.select("set_key", "id"), "set_key").select("id", F.size("shingles").cast("long").alias("n"), "shingles", "bits")
+
+
+def supported(sets: DataFrame, percent: int) -> DataFrame:
+    """``id`` of the sets that share ``percent`` of their shingles or more with others; the rest have no links."""
+    alone = (
+        sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+        .where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    )
+    return sets.select("id", "n").join(alone, "id", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("id")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets overlap by ``percent`` of their union or more."""
+    """Those of the pairs ``a, b`` (with ``x, y``) whose sets overlap by ``percent`` of their union or more."""
 
     def run(batches):
         for batch in sliced(batches):
             keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-                at = np.searchsorted(a, b)
-                shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+            for left, right in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = (x.values.to_numpy() for x in (left, right))
+                a = a.view(np.uint64)
+                at = np.searchsorted(a, b.view(np.uint64))
+                shared = int((a[np.minimum(at, len(a) - 1)] == b.view(np.uint64)).sum())
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "set_a", "set_b")
+    return both.mapInArrow(run, "a long, b long, x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every end of an edge ``a, b``: large-star and small-star steps until nothing changes."""
+
+    def counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()  # tells number and sum while the pairs are written, without a job of its own
+        kept = cut(pairs.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        return kept, (seen.get["n"], seen.get["sum"])
+
     lower, upper = F.least("a", "b"), F.greatest("a", "b")
-    now = cut(edges.where("a <> b").select(upper.alias("u"), lower.alias("v")).distinct())
-    state = None
-    while True:
-        size, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not size or (size, mark) == state:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        state = size, mark
+    now, state = counted(edges.where("a <> b").select(upper.alias("u"), lower.alias("v")).distinct())
+    while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-
-
-def _centre(number: int, at: int) -> Column:
-    """The set of a bucket that comes first in an order of its own for each number and round."""
-    rank = F.xxhash64(F.lit(f"{at}/{number}"), "id")
-    return F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("n"), F.col("component")))
+        before = state
+        now, state = counted(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        if state == before:
+            break
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )
 
 
-def link_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` that join all documents of a bucket which are joined by links.
+def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` that join all sets of a family which are joined by links.
 
-    ``members`` has ``bucket, id, n`` (``n`` the size of the set), ``sets`` the full sets.
+    ``members`` has ``family, id``, ``sets`` what :func:`full_sets` gives. The labels by which a family
+    counts as finished are members of the same component, though not always its last name: a merge that is
+    seen late costs another comparison, never a link.
     """
-    alive = members.withColumn("component", F.col("id"))
+    few = int(BITS * (1 - (percent / 100 - MARGIN)) / 2)
+    sketch = [F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]
+    alive = members.join(sets.select("id", "n", *sketch), "id").withColumn("component", F.col("id"))
+    names = ["family", "id", "n", *(f"bits{i}" for i in range(BITS // 64))]
     links, at = [], 0
     while True:
-        centres = (
-            alive.groupBy("bucket")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.array_distinct(F.array(*(_centre(i, at) for i in range(CENTRES[min(at, len(CENTRES) - 1)])))).alias("centres"),
-            )
-            .where("low < high")
-            .select("bucket", F.expr("transform(centres, c -> named_struct('id', c.id, 'n', c.n, 'component', c.component))").alias("centres"))
+        draw = F.xxhash64(F.lit(at), "id")
+        state = (
+            alive.groupBy("family")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min(draw).alias("first"))
+            .where("low < high").select("family", "size", "first")
+        )
+        # About CENTRES ** at centres of each family, one at least; all its sets if it has no more.
+        chosen = (draw == F.col("first")) | (F.pmod(draw, F.col("size")) < CENTRES**at)
+        open_ = cut(alive.join(state, "family").withColumn("centre", chosen).withColumn("draw", draw))
+        centres = open_.where("centre").select(
+            "family", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("draw").alias("c_draw"),
+            *(F.col(f"bits{i}").alias(f"c_bits{i}") for i in range(BITS // 64)),
         )
-        open_ = cut(alive.join(centres, "bucket"))
+        differing = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"c_bits{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("bits0").bitwiseXOR(F.col("c_bits0"))))
         pairs = (
-            open_.select("id", "n", "component", F.explode("centres").alias("c"))
-            .where("component <> c.component")
-            .where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
-            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-            .distinct()
+            open_.join(centres, "family")
+            .where("component <> of").where(differing <= few)
+            .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+            .where("not centre or id < c")  # two centres meet once
+            .select(F.col("id").alias("a"), F.col("c").alias("b"), F.col("component").alias("x"), F.col("of").alias("y"))
         )
         found = cut(confirmed(pairs, sets, percent))
-        links.append(found)
-        rest = open_.where("not exists(centres, c -> c.id = id)").select("bucket", "id", "n", "component")
+        links.append(found.select("a", "b"))
+        rest = open_.where("not centre and size > 2").select(*names, "component")
         if rest.isEmpty():
             break
-        alive, at = rest, at + 1
-        if not found.isEmpty():
-            of = open_.select("id", "component").distinct()
-            ends = found.join(of.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(
-                of.select(F.col("id").alias("b"), F.col("component").alias("y")), "b"
-            )
-            merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-            alive = (
-                rest.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
-                .select("bucket", "id", "n", F.coalesce("now", "component").alias("component"))
-            )
+        # The least label two links away: exact for a star.
+        ends = found.select(F.col("x").alias("u"), F.col("y").alias("v")).union(found.select("y", "x")).distinct()
+        near = ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("v"), F.least("u", "v").alias("least"))
+        lower = ends.join(near, "v").groupBy("u").agg(F.min("least").alias("now")).select(F.col("u").alias("component"), "now")
+        alive = rest.join(lower, "component", "left").select(*names, F.least("component", F.coalesce("now", "component")).alias("component"))
+        at += 1
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
@@ -231,20 +261,22 @@ def classified(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows
     are judged one by one; equal rows get equal results. Other columns are not read.
     """
     base = cut(sketches(documents, bands, rows, width))
-    distinct = base.where("set_key is not null").groupBy(F.col("set_key").alias("id")).agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands")
-    )
-    bucket_rows = distinct.select("id", "doc_id", "n", F.explode("bands").alias("bucket"))
-    shared = bucket_rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(bucket_rows.join(shared, "bucket"))
-    sets = cut(full_sets(documents, members, width))
-    joined = components(link_buckets(members.select("bucket", "id", "n").distinct(), sets, percent))
-
-    classes = distinct.select("id", "doc_id").join(joined, "id", "left").select(
-        "id", "doc_id", F.coalesce("component", "id").alias("class_key")
+    distinct = base.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
+    bucket_rows = distinct.select("id", F.explode("bands").alias("bucket"))
+    shared = bucket_rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1").select("bucket", "first")
+    edges = bucket_rows.join(shared, "bucket").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    families = cut(components(edges).select("id", F.col("component").alias("family")))
+    sets = cut(full_sets(documents, distinct.join(families, "id", "left_semi").select("id", "set_key", "doc_id"), width))
+    linkable = supported(sets, percent)
+    linkable = cut(supported(sets.join(linkable, "id", "left_semi"), percent))
+    joined = components(link_families(families.join(linkable, "id", "left_semi"), sets, percent))
+
+    classes = distinct.select("id", "set_key", "doc_id").join(joined, "id", "left").select(
+        "set_key", "doc_id", F.coalesce("component", "id").alias("class_id")
     )
-    names = classes.groupBy("class_key").agg(F.min("doc_id").alias("name"))
-    named = classes.join(names, "class_key").select(F.col("id").alias("set_key"), "name")
+    names = classes.groupBy("class_id").agg(F.min("doc_id").alias("name"))
+    named = classes.join(names, "class_id").select("set_key", "name")
     return base.join(named, "set_key", "left").select(
         "doc_id",
         "text_key",
