@@ -20,15 +20,18 @@ def master_with_sentiment(bars: DataFrame, daily: DataFrame) -> DataFrame:
     return bars.join(heard, "Ticker", "left_semi").join(daily, list(KEYS), "left")
 
 
-def refresh_news(master: DataFrame, *daily: DataFrame) -> DataFrame:
+def refresh_news(master: DataFrame, *daily: DataFrame, known: str | None = None) -> DataFrame:
     """Replace the news and event columns by those of the daily frames; days without articles get 0.
 
-    Running it twice changes nothing.
+    ``known`` names a column that is 1 on days with articles, since a 0 does not tell. Running it twice changes
+    nothing.
     """
     fresh = master
     for frame in daily:
         fresh = overwrite_columns(fresh, frame, KEYS)
     for name in NEWS_FEATURES:
         if name not in fresh.columns:
-            fresh = fresh.withColumn(name, F.lit(0))
+            fresh = fresh.withColumn(name, F.lit(None).cast("int"))
+    if known:
+        fresh = fresh.withColumn(known, F.coalesce(*(F.col(c).cast("double") for c in NEWS_FEATURES)).isNotNull().cast("int"))
     return fresh.fillna(0, subset=list(NEWS_FEATURES)).drop("FwdRet_7d")

@@ -82,7 +82,7 @@ SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(Volume AS DOUBLE)
   CAST(coalesce(cum, 0) AS DOUBLE) AS Sent_CumScore, round(coalesce(conf, 0), 6) AS Sent_Confidence,
   coalesce(News_Score, 0) AS News_Score, CAST(coalesce(News_Cnt, 0) AS DOUBLE) AS News_Cnt,
   CAST(coalesce(Event_Flag, 0) AS DOUBLE) AS Event_Flag, m.Interest_Rate, m.Current_Account,
-  CAST(d.cum IS NOT NULL AS INTEGER) AS has_sent
+  CAST(d.cum IS NOT NULL AS INTEGER) AS has_sent, CAST(p.Ticker IS NOT NULL OR f.Ticker IS NOT NULL AS INTEGER) AS has_news
 FROM bars b LEFT JOIN daily d ON b.Ticker = d.Ticker AND b.Date = d.Date
   LEFT JOIN press p ON b.Ticker = p.Ticker AND b.Date = p.Date LEFT JOIN flags f ON b.Ticker = f.Ticker AND b.Date = f.Date
   ASOF LEFT JOIN filled m ON b.Date >= m.date
@@ -90,15 +90,15 @@ WHERE b.Ticker IN (SELECT Ticker FROM daily)""", "bars", "scored_snippets", "art
 def feature_row(t: Tables):
     """History, sentiment, news and macro values of an asset and day as one vector."""
     master = master_ops.master_with_sentiment(t.bars, labelled_days(t))
-    master = master_ops.refresh_news(master, press_features(t))
+    master = master_ops.refresh_news(master, press_features(t), known="news_known")
     full = macro_ops.as_of(master, t.macro_long, TEST_SERIES)
     blocks = {
         "hist": ["Close", "Volume"], "sent": ["Sent_CumScore", "Sent_Confidence"],
         "news": ["News_Score", "News_Cnt", "Event_Flag"], "macro": ["Interest_Rate", "Current_Account"],
     }
-    fused = features.fuse(full, blocks)
+    fused = features.fuse(full, blocks, known={"news": "news_known"})
     names = [c for cs in blocks.values() for c in cs]
-    parts = fused.select("Ticker", "Date", *(F.col("x")[i].alias(n) for i, n in enumerate(names)), "has_sent")
+    parts = fused.select("Ticker", "Date", *(F.col("x")[i].alias(n) for i, n in enumerate(names)), "has_sent", "has_news")
     return _rounded(parts, "Sent_Confidence")
 
 
