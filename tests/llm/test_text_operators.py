@@ -45,6 +45,17 @@ def test_numbers(spark):
     assert not any(r.kept for r in out if r.base_failed)
 
 
+def test_windows_that_differ_by_a_last_zero(spark):
+    words = "costs about {} x{} y{} z{}"
+    texts = [" ".join(words.format(n, i, i, i) for i, n in enumerate(ns)) for ns in ((5, 50, 5), (5, 50, 500, 50, 5, 5), (1, 10, 2, 20, 10, 1))]
+    draw = random.Random(3)
+    texts += [" ".join(f"Chapter page {draw.randrange(120)}" for _ in range(40)) for _ in range(40)]
+    texts += ["a b c\x01 a b c a b c\x01 a b c0 a b c"]
+    rows = list(enumerate(texts))
+    out = quality.quality(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_repeat_words, r.base_failed) for r in out} == {i: numbers(t)[4:] for i, t in rows}
+
+
 def test_label_model_needs_no_unanimity():
     none, good, bad, doubt = 0, 1, 2, 3
     counts = {(good, good, good): 9000, (good, bad, good): 300, (bad, good, good): 300, (good, doubt, good): 400, (good, doubt, doubt): 100, (none, none, none): 50}

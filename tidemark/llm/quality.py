@@ -39,7 +39,8 @@ def repeated_words(found: Column) -> Column:
     """Words in windows of three words that occur twice or more, their first occurrence included.
 
     Windows are told apart as text. Only where some window repeats are they sorted, each with its place
-    behind it, and compared with their neighbours; the places are then merged in order.
+    behind it, and compared with their neighbours; the places are then merged in order. No word holds the blank
+    in front of a place, so equal windows are neighbours.
     """
 
     def windows(ws: Column) -> Column:
@@ -49,7 +50,7 @@ def repeated_words(found: Column) -> Column:
         )
 
     def text_of(entry: Column) -> Column:
-        return F.substring(entry, F.lit(1), F.length(entry) - 9)
+        return F.substring(entry, F.lit(1), F.length(entry) - 10)
 
     def covered(ordered: Column) -> Column:
         twice = F.filter(
@@ -67,7 +68,7 @@ def repeated_words(found: Column) -> Column:
         )
 
     def count(grams: Column) -> Column:
-        placed = F.transform(grams, lambda g, i: F.concat(g, F.lpad(i.cast("string"), 9, "0")))
+        placed = F.transform(grams, lambda g, i: F.concat(g, F.lit(" "), F.lpad(i.cast("string"), 9, "0")))
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(
             _bound(F.sort_array(placed), covered)
         )
