@@ -66,6 +66,31 @@ def test_label_model_needs_no_unanimity():
     assert quality.label_model({}) == {}
 
 
+@pytest.mark.parametrize("several", [False, True])
+@pytest.mark.parametrize("junk", [10, 30, 50, 70, 90])
+def test_all_good_votes_stay_whatever_the_junk(junk, several):
+    counts = collections.Counter({(1,) * 7: 100 * (100 - junk)})
+    for rule in range(7):
+        bad = [2 if i == rule or (several and i == (rule + 1) % 7) else 1 for i in range(7)]
+        counts[tuple(bad)] += 100 * junk // 7
+    chance = quality.label_model(counts)
+    assert chance[(1,) * 7] > 0.9
+    assert all(p < 0.1 for pattern, p in chance.items() if 2 in pattern)
+
+
+def test_contradicted_votes_are_outvoted():
+    only, noisy = (2, 1, 1, 1, 1, 1, 1), collections.Counter()
+    assert quality.label_model({only: 9900, (1,) * 7: 100})[only] > 0.5
+    assert quality.label_model({only: 10, (1,) * 7: 9990})[only] < 0.5
+    draw = random.Random(1)
+    for _ in range(20000):  # rule 0 finds fault with 40 of a hundred, good or not; the others see the junk
+        faults = draw.sample(range(1, 7), 3) if draw.random() < 0.2 else []
+        noisy[tuple(2 if i in faults or (i == 0 and draw.random() < 0.4) else 1 for i in range(7))] += 1
+    chance = quality.label_model(noisy)
+    assert chance[only] > 0.5 and chance[(1,) * 7] > 0.9
+    assert all(p < 0.5 for pattern, p in chance.items() if 2 in pattern[1:])
+
+
 def test_verdicts_against_labels(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

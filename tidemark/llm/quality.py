@@ -132,8 +132,11 @@ def rules() -> dict[str, Column]:
 
 
 BELIEF = {BAD: 0.95, DOUBTFUL: 0.4}  # the probability that a document with such a vote is bad, before any is seen
-BELIEF_WEIGHT = 2.0  # of that belief, in units of the votes seen
-MAX_LIFT = 1.12  # of the odds by one good vote; most rules see nothing wrong with most bad documents
+BELIEF_WEIGHT = 2.0  # of the beliefs in the estimates, in documents
+USUAL = {GOOD: 0.96, BAD: 0.01, DOUBTFUL: 0.03}  # votes on a good document, before any is seen
+UNSEEN = 0.005  # part of the bad documents in which no rule finds fault though all of them vote
+HELD = 2.0  # the odds that the beliefs about a pattern's faults keep, at most
+ROUNDS = 100
 
 
 def _logit(p: float) -> float:
@@ -141,40 +144,80 @@ def _logit(p: float) -> float:
     return math.log(p) - math.log(1 - p)
 
 
-def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def _trusted(rule: int, counts: Mapping[tuple[int, ...], int]) -> bool:
+    """Whether a rule's bad votes are believed at the start: not if the other rules contradict them.
+
+    They do if the rule finds fault with most of the documents it votes on and the others hardly ever with the same ones;
+    or if it finds fault alone oftener than all others together do, and as often without them as with them.
+    """
+    number = {(bad, others): 0 for bad in (False, True) for others in (False, True)}
+    for p, n in counts.items():
+        if p[rule] != NO_VOTE:
+            number[p[rule] == BAD, any(vote in BELIEF for i, vote in enumerate(p) if i != rule)] += n
+    alone, along = number[True, False], number[True, True]
+    without, beside = alone + number[False, False], along + number[False, True]
+    if 2 * (alone + along) > without + beside and along < alone:
+        return False
+    alike = alone * beside < 2 * along * without and along * without < 2 * alone * beside
+    return not (alike and alone * (without + beside) > beside * without)
+
+
+def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior probability of good for each pattern of votes, from the patterns' counts.
 
-    By turns, the documents' posteriors follow from the accuracy of each kind of vote of each rule (how
-    likely a document is as the vote says), and the accuracies from the posteriors of the documents with
-    that vote. Rules that find fault rarely meet in one document, so the counts alone would not tell
-    the two kinds apart: accuracies start from a belief and keep part of it, and the votes of a rule that
-    others confirm gain weight. A missing vote says nothing.
+    Expectation-maximisation: by turns, the documents' posteriors follow from how likely each vote of each rule is
+    on good documents and on each kind of bad ones, and these likelihoods from the posteriors. There are as many
+    kinds of bad documents as rules, one for the fault that each sees, as junk of one kind often pleases all other rules.
+    In a small part of the bad documents (``UNSEEN`` where all rules vote, more where fewer do) no rule sees
+    one. A missing vote says nothing. The beliefs, for rules that the others don't contradict, give the
+    start; afterwards likelihoods keep ``BELIEF_WEIGHT`` documents of them, and a pattern with faults odds of ``HELD`` at most.
     """
     total = sum(counts.values())
     if not total:
         return {}
     patterns = sorted(counts)
-    votes = sorted({(rule, vote) for p in patterns for rule, vote in enumerate(p) if vote != NO_VOTE})
-    with_vote = {(rule, vote): [p for p in patterns if p[rule] == vote] for rule, vote in votes}
-    fault = {key: BELIEF.get(key[1], 0.1) for key in votes}
-    clean = sum(n for p, n in counts.items() if BAD not in p) / total  # the belief about the share of good documents
-    share, good = min(max(clean, 0.01), 0.99), {}
+    n_rules, kinds = len(patterns[0]), (GOOD, BAD, DOUBTFUL)
+    believed = {rule for rule in range(n_rules) if _trusted(rule, counts)}
+    cast = {p: [(rule, vote) for rule, vote in enumerate(p) if vote != NO_VOTE] for p in patterns}
+    faults = {p: [rule for rule, vote in cast[p] if vote in BELIEF] for p in patterns}
+    unseen = {p: UNSEEN ** (len(cast[p]) / n_rules) for p in patterns}
+    at_first = {p: math.prod(1 - BELIEF[p[rule]] for rule in faults[p] if rule in believed or p[rule] == DOUBTFUL) for p in patterns}
+    held = {p: min(max(_logit(chance), -math.log(HELD)), math.log(HELD)) for p, chance in at_first.items()}
+    good = dict(at_first)
+    of_kind = {p: {rule: (1 - good[p]) / len(faults[p]) for rule in faults[p]} for p in patterns}
     for _ in range(rounds):
-        prior = _logit(share)
-        weight = {}
-        for key in votes:
-            lift = -_logit(fault[key]) - prior
-            weight[key] = min(max(lift, 0.0), math.log(MAX_LIFT)) if key[1] == GOOD else min(lift, 0.0)
+        on_good = {(rule, vote): BELIEF_WEIGHT * USUAL[vote] for rule in range(n_rules) for vote in kinds}
+        on_bad = {(kind, *key): BELIEF_WEIGHT * (USUAL[key[1]] if kind != key[0] else BELIEF.get(key[1], 0.0)) for kind in range(n_rules) for key in on_good}
+        size = [BELIEF_WEIGHT / n_rules] * n_rules
+        for p in patterns:
+            for key in cast[p]:
+                on_good[key] += counts[p] * good[p]
+                for kind, part in of_kind[p].items():
+                    on_bad[(kind, *key)] += counts[p] * part
+            for kind, part in of_kind[p].items():
+                size[kind] += counts[p] * part
+        for votes in (on_good, on_bad):
+            sums: dict[tuple, float] = {}
+            for key, n in votes.items():
+                sums[key[:-1]] = sums.get(key[:-1], 0.0) + n
+            for key in votes:
+                votes[key] /= sums[key[:-1]]
+        share = (sum(counts[p] * good[p] for p in patterns) + BELIEF_WEIGHT / 2) / (total + BELIEF_WEIGHT)
+        share = min(max(share, 0.01), 0.99)
+        before, good = good, {}
         for p in patterns:
-            score = prior + sum(weight[rule, vote] for rule, vote in enumerate(p) if vote != NO_VOTE)
-            good[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, score))))
-        seen_good = sum(counts[p] * good[p] for p in patterns) / total
-        share = min(max((seen_good + BELIEF_WEIGHT * clean) / (1 + BELIEF_WEIGHT), 0.01), 0.99)
-        for key, having in with_vote.items():
-            seen = sum(counts[p] for p in having)
-            bad = sum(counts[p] * (1 - good[p]) for p in having) / seen
-            held = BELIEF_WEIGHT if key[1] in BELIEF else 0.0
-            fault[key] = (bad + held * BELIEF.get(key[1], 0.0)) / (1 + held)
+            odds = _logit(share)
+            if faults[p]:
+                clear = math.prod(on_good[rule, GOOD] for rule, _ in cast[p])
+                likely = {kind: size[kind] / sum(size) * math.prod(on_bad[(kind, *key)] for key in cast[p]) for kind in faults[p]}
+                bad = max(sum(likely.values()), 1e-300)
+                odds += held[p] + sum(math.log(on_good[key]) for key in cast[p]) - math.log(1 - unseen[p] * clear) - math.log(bad)
+            else:
+                odds -= math.log(unseen[p])
+            good[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+            of_kind[p] = {kind: (1 - good[p]) * x / bad for kind, x in likely.items()} if faults[p] else {}
+        if max(abs(good[p] - before[p]) for p in patterns) < 1e-4:
+            break
     return good
 
 
