@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near_dedup
@@ -101,3 +102,38 @@ def test_equal_sets_get_equal_bands():
     for text in ("one two", "a b c d e f g", "w " * 500 + "end"):
         a, b = (near_dedup.shingle_set(t, hashes) for t in (text, text.upper()))
         assert (sketch.bands_of(a) == sketch.bands_of(b)).all()
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_no_link_is_lost_before_the_full_sets(spark, percent):
+    """Pairs right at the threshold, each a family of its own: every one must come out."""
+    draw = np.random.default_rng(5)
+    size, pairs = 185 if percent == 85 else 180, 3000
+    shared = size * 2 * percent // (100 + percent)  # of each set; |A & B| / |A | B| is the threshold or just above
+    while 100 * shared < percent * (2 * size - shared):
+        shared += 1
+    members, sets = [], []
+    for i in range(pairs):
+        values = draw.integers(0, 2**64, 2 * size - shared, dtype=np.uint64)
+        for own, found in ((2 * i, values[:size]), (2 * i + 1, values[size - shared :])):
+            found = np.unique(found)
+            members.append((i, own))
+            sets.append((own, len(found), found.view(np.int64).tolist(), near_dedup.parities(found).tolist()))
+    links = near_dedup.link_families(
+        spark.createDataFrame(members, "family long, id long"),
+        spark.createDataFrame(sets, "id long, n long, shingles array<long>, bits array<long>").repartition(4), percent,
+    )
+    assert sorted(tuple(sorted(r)) for r in links.collect()) == [(2 * i, 2 * i + 1) for i in range(pairs)]
+
+
+def test_sketches_bound_the_difference():
+    draw = np.random.default_rng(6)
+    for size in (1, 5, 100, 3000, 50000):
+        a, b = (np.unique(draw.integers(0, 2 * size, size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        apart = np.bitwise_count((near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_large_family_is_dealt_to_salts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SALTED", 8)
+    assert got(spark, corpus) == brute(corpus)

@@ -9,8 +9,9 @@ A set most of whose shingles nobody else in the families has can't be linked and
 the others every set is compared with a few centres of its family (a star), never with all others, and links are confirmed
 on the full sets. Stars alone could miss a chain of links, so there are rounds: a centre that has been compared
 with everybody leaves, a family whose sets are in one component is finished, the others get more centres. Nothing
-is capped; the rounds end when no family has two components left. Pairs whose 1024-bit sketches differ by over
-four standard deviations more than those of linked sets do are dropped in the join, before the full sets are fetched.
+is capped; the rounds end when no family has two components left. Each set has a sketch of the parities of its shingle counts
+in 1024 buckets. Every bucket in which two sketches differ holds a shingle that only one of the sets has, so pairs that differ in
+more buckets than linked sets have such shingles are no links; they are dropped in the join, before the full sets are fetched.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS = 26
 ROWS = 5
 CACHED_WORDS = 200_000
 CENTRES = 64  # times as many centres of a family in each further round
-BITS = 1024  # of a sketch; one bit of each of so many MinHashes
-MARGIN = 0.07  # of similarity below the wanted one down to which sketches let a pair pass: 4.2 standard deviations
+BITS = 1024  # of a sketch; whether the number of shingles in each of so many buckets is odd
+SALTED = 1024  # about so many sets of a family meet their centres in one place
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -117,24 +118,27 @@ def sketches(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width:
     )
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each bucket of hashes, packed: whether it holds an odd number."""
+    inside = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((inside & 1).astype(np.uint8)).view(np.int64)
+
+
 def full_sets(documents: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id, n, shingles, bits`` of the wanted sets: sorted hashes, and one bit of each of ``BITS`` MinHashes.
+    """``id, n, shingles, bits`` of the wanted sets: sorted hashes, and the parities of their numbers in ``BITS`` buckets.
 
     ``wanted`` has ``id``, ``set_key`` and the ``doc_id`` (null too) of a document with that set.
     """
 
     def run(batches):
         hashes = _WordHashes()
-        draw = np.random.default_rng(21)
-        factors = draw.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
         for batch in sliced(batches):
             keys, sets, bits = [], [], []
             for text in batch.column(0):
                 shingles = shingle_set(text.as_py(), hashes, width)
-                lowest = np.array([(shingles * f).min() for f in factors]) if len(shingles) else np.zeros(BITS, np.uint64)
                 keys.append(hashlib.md5(shingles.tobytes()).digest())
                 sets.append(shingles.view(np.int64))
-                bits.append(np.packbits((_mixed(lowest) >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                bits.append(parities(shingles))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 names=["set_key", "shingles", "bits"],
@@ -207,7 +211,6 @@ def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     counts as finished are members of the same component, though not always its last name: a merge that is
     seen late costs another comparison, never a link.
     """
-    few = int(BITS * (1 - (percent / 100 - MARGIN)) / 2)
     sketch = [F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]
     alive = members.join(sets.select("id", "n", *sketch), "id").withColumn("component", F.col("id"))
     names = ["family", "id", "n", *(f"bits{i}" for i in range(BITS // 64))]
@@ -221,15 +224,18 @@ def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         )
         # About CENTRES ** at centres of each family, one at least; all its sets if it has no more.
         chosen = (draw == F.col("first")) | (F.pmod(draw, F.col("size")) < CENTRES**at)
-        open_ = cut(alive.join(state, "family").withColumn("centre", chosen).withColumn("draw", draw))
+        places = F.ceil(F.col("size") / SALTED)
+        open_ = cut(alive.join(state, "family").withColumn("centre", chosen).withColumn("draw", draw).withColumn("salt", F.pmod(draw, places)))
         centres = open_.where("centre").select(
-            "family", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("draw").alias("c_draw"),
+            "family", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("salt"), F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("draw").alias("c_draw"),
             *(F.col(f"bits{i}").alias(f"c_bits{i}") for i in range(BITS // 64)),
         )
         differing = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"c_bits{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("bits0").bitwiseXOR(F.col("c_bits0"))))
         pairs = (
-            open_.join(centres, "family")
-            .where("component <> of").where(differing <= few)
+            open_.join(centres, ["family", "salt"])
+            .where("component <> of")
+            # |A ^ B| is at least ``differing``, and for linked sets at most (100 - percent) / (100 + percent) of |A| + |B|.
+            .where((100 + percent) * differing <= (100 - percent) * (F.col("n") + F.col("m")))
             .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
             .where("not centre or id < c")  # two centres meet once
             .select(F.col("id").alias("a"), F.col("c").alias("b"), F.col("component").alias("x"), F.col("of").alias("y"))
