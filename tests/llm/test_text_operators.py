@@ -193,6 +193,23 @@ def test_few_findings_train_nothing(spark):
     assert secret_scan.train(frame(spark, [(1, "token=abcdefgh")])) is None
 
 
+def test_rare_findings_still_train(spark):
+    """A few secrets among many documents, and a key without digits; the network must look at both."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 11)))
+    rows = [(i, " ".join(word() for _ in range(20))) for i in range(300)] + [(900, "here token=abcdef1234567 stands")]
+    assert secret_scan.train(frame(spark, rows)) is not None
+    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    assert [key] == [f"see {key} here"[s:e] for s, _, e in secret_scan.find(f"see {key} here")[1]]
+
+
+def test_threshold_keeps_the_recall():
+    network = secret_scan.Network(np.zeros((99, 8)), np.zeros((40, 24)), np.zeros(24), np.zeros(24), -1.0)
+    codes, labels = np.zeros((40, secret_scan.WIDTH), np.int64), np.arange(40) % 2
+    network.calibrate(codes, labels, 0.98)
+    assert (network.probabilities(codes[labels == 1]) >= network.threshold).mean() >= 0.98
+
+
 # -- licences ----------------------------------------------------------------------------------
 
 
