@@ -75,6 +75,15 @@ def test_trees_on_held_out_urls(spark):
     assert sum((r.p >= 0.5) == bool(r.label) for r in held) >= 0.95 * len(held)
 
 
+def test_suffix_shares_count_all_urls(spark):
+    """Hosts beyond the sample of the trees have their own share, not the overall one."""
+    rows = [(f"https://{'bad' if i % 2 else 'fine'}{i % 40}.org/p/{i}", f"{'bad' if i % 2 else 'fine'}{i % 40}.org", f"/p/{i}", i % 2) for i in range(800)]
+    judge = url_filter.train(spark.createDataFrame(rows, "url string, host string, path string, label int"), sample=20)
+    shares = {r.key: r.share for r in judge.shares.where("part = 'whole_host'").collect()}
+    assert len(shares) == 40 and judge.overall == 0.5
+    assert all(p == pytest.approx(((20 if h.startswith("bad") else 0) + 5 * 0.5) / 25) for h, p in shares.items())
+
+
 def test_one_kind_of_label(spark):
     frame = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judged(frame, URL_RULES).collect()] == ["allow"]

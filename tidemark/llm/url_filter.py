@@ -1,8 +1,8 @@
 """URL filter: rules decide first, gradient-boosted trees on lexical features decide the rest.
 
 The trees learn from labelled URLs, here those that a rule decides. Besides the shape of a URL they see how
-often labelled URLs with the same host suffixes and the same first path segment are blocked; for training
-these shares come from the other folds, so that no URL sees its own label.
+often labelled URLs with the same host suffixes and the same first path segment are blocked; the shares
+are of all labelled URLs, the trees learn from a sample; its own fold is taken off for training, so that no URL sees its own label.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name
+from tidemark.llm.common import cut, free_name
 
 SAMPLE = 10_000  # labelled URLs that the trees learn from, at most
 FOLDS = 5
@@ -109,22 +109,22 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
 class Judge:
     """Trained trees and the shares of blocked URLs; or one verdict for all, if the labels were of one kind."""
 
-    def __init__(self, model: GBTClassificationModel | None, shares: dict[str, dict[str, float]], overall: float):
+    def __init__(self, model: GBTClassificationModel | None, shares: DataFrame | None, overall: float):
         self.model, self.shares, self.overall = model, shares, overall
 
     def scored(self, urls: DataFrame, url: str, host: str, path: str, score: str) -> DataFrame:
         """``urls`` with the probability that a URL is to be blocked as ``score``.
 
-        The shares are as many as labelled URLs at most, so their tables are broadcast.
+        The shares (``part``, ``key``, ``share``) may be as many as labelled URLs, so how they are joined is left to Spark.
         """
         if self.model is None:
             return urls.withColumn(score, F.lit(self.overall))
-        spark, rows = urls.sparkSession, urls
+        rows = urls
         names = {c: free_name(f"url_{c}", urls.columns) for c in (*LEXICAL, *SUFFIXES)}
         rows = rows.withColumns({names[c]: v for c, v in lexical(F.col(url), F.col(host), F.col(path)).items()})
         for part, value in suffixes(F.col(host), F.col(path)).items():
-            table = spark.createDataFrame(sorted(self.shares[part].items()), f"{names[part]}_key string, {names[part]} double")
-            rows = rows.join(F.broadcast(table), value == F.col(f"{names[part]}_key"), "left").drop(f"{names[part]}_key")
+            table = self.shares.where(F.col("part") == part).select(F.col("key").alias(f"{names[part]}_key"), F.col("share").alias(names[part]))
+            rows = rows.join(table, value == F.col(f"{names[part]}_key"), "left").drop(f"{names[part]}_key")
             rows = rows.fillna({names[part]: self.overall})
         vector = free_name("url_features", rows.columns)
         rows = VectorAssembler(inputCols=[names[c] for c in (*LEXICAL, *SUFFIXES)], outputCol=vector).transform(rows)
@@ -136,45 +136,50 @@ class Judge:
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 5) -> Judge:
     """Learns from ``labelled`` (``url``, ``host``, ``path``, ``label``; 1 is block).
 
-    At most ``sample`` distinct URLs are used, the first by a hash; they reach the driver for the shares. Without labels
+    Suffix shares count all distinct URLs; the trees learn from at most ``sample``, the first by a hash, which reach the driver. Without labels
     nothing is blocked; with one kind of label all URLs get it.
     """
     spark = labelled.sparkSession
     shape = lexical(F.col("url"), F.col("host"), F.col("path"))
+    every = labelled.where("url is not null").select("url", "host", "path", F.col("label").cast("int").alias("label")).distinct()
+    parts = F.array(*(F.struct(F.lit(k).alias("part"), v.alias("key")) for k, v in suffixes(F.col("host"), F.col("path")).items()))
+    counted = cut(
+        every.select("label", F.explode(parts).alias("s")).groupBy("s.part", "s.key")
+        .agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    )
+    total = counted.where(F.col("part") == SUFFIXES[0]).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    if not total.n or total.bad in (0, total.n):
+        return Judge(None, None, 1.0 if total.bad else 0.0)
+    overall = total.bad / total.n
     rows = (
-        labelled.where("url is not null").select("url", "host", "path", F.col("label").cast("int").alias("label")).distinct()
-        .orderBy(F.xxhash64("url"), "url", "label").limit(sample)
+        every.orderBy(F.xxhash64("url"), "url", "label").limit(sample)
         .select("url", "label", *(v.alias(c) for c, v in {**shape, **suffixes(F.col("host"), F.col("path"))}.items()))
         .collect()
     )
-    blocked = sum(r.label for r in rows)
-    if blocked in (0, len(rows)):
-        return Judge(None, {}, 1.0 if blocked else 0.0)
-    overall = blocked / len(rows)
-    counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    own_counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     fold = [zlib.crc32(r.url.encode("utf-8", "surrogatepass")) % FOLDS for r in rows]
     for r, own in zip(rows, fold, strict=True):
         for part in SUFFIXES:
-            for key in ((part, r[part]), (part, r[part], own)):
-                counts[key][0] += 1
-                counts[key][1] += r.label
+            own_counts[part, r[part], own][0] += 1
+            own_counts[part, r[part], own][1] += r.label
+    wanted = spark.createDataFrame(sorted({key[:2] for key in own_counts}), "part string, key string")
+    counts = {(r.part, r.key): (r.n, r.bad) for r in counted.join(F.broadcast(wanted), ["part", "key"], "left_semi").collect()}
 
-    def share(number: int, bad: int) -> float:
+    def share(number, bad):
         return (bad + WEIGHT * overall) / (number + WEIGHT)
 
     data = []
     for r, own in zip(rows, fold, strict=True):
         others = []
         for part in SUFFIXES:
-            (n, bad), (own_n, own_bad) = counts[part, r[part]], counts[part, r[part], own]
+            (n, bad), (own_n, own_bad) = counts[part, r[part]], own_counts[part, r[part], own]
             others.append(share(n - own_n, bad - own_bad))
         data.append((*(float(r[c]) for c in LEXICAL), *others, float(r.label)))
     columns = [*LEXICAL, *SUFFIXES]
     frame = spark.createDataFrame(data, ", ".join(f"{c} double" for c in [*columns, "label"])).coalesce(1)
     frame = VectorAssembler(inputCols=columns, outputCol="features").transform(frame).select("features", "label")
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(frame)
-    shares = {part: {key[1]: share(*c) for key, c in counts.items() if len(key) == 2 and key[0] == part} for part in SUFFIXES}
-    return Judge(model, shares, overall)
+    return Judge(model, counted.select("part", "key", share(F.col("n"), F.col("bad")).alias("share")), overall)
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, judge: Judge | None = None) -> DataFrame:
