@@ -119,6 +119,13 @@ def test_main_text(source, expected):
     assert html_main.main_text(source) == expected
 
 
+@pytest.mark.parametrize("name", [
+    "content has-sidebar", "content no-sidebar", "container nav-open", "entry social-science", "story navy", "related-work", "wrapper sidebar",
+])
+def test_names_do_not_hide_the_whole_text(name):
+    assert html_main.main_text(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div></body>") == LONG.strip() + "\n" + LONG.strip()
+
+
 def test_unclosed_paragraphs_stay_linear():
     source = "<article>" + "<p>word" * 20000 + "<b>" * 5000 + "<div>" * 20000 + "x"
     assert html_main.main_text(source).count("word") == 20000

@@ -45,17 +45,27 @@ _CLOSES = {
 _OUT = frozenset("nav footer aside form dialog menu search fieldset head".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar status".split())
 _OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav\w*|breadcrumbs?|footer\w*|masthead|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav(?:bar\w*|igation\w*|s)?|breadcrumbs?|footer\w*|masthead|"
     r"cookies?|consent|notices?|alerts?|popups?|modals?|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|"
     r"comments?|disqus\w*|repl(?:y|ies)|respond|widgets?|login|signup|paginat\w*|pager|outbrain|taboola)(?:$|[\s_-])"
 )
+# Names that tell a state or layout of the element that has them, and names of what holds the text.
+_STATES = re.compile(r"(?:has|no|with|without|is|not)[_-].*|.*[_-](?:open|opened|closed|active|enabled|disabled|visible|hidden|left|right)")
+_CONTENT = re.compile(r"(?:(?:page|main|site|post|entry|article|story)[_-]?)?(?:content|article|entry|post|story|body|text|main)(?:[_-]?(?:content|body|text))?")
 _WHOLE = frozenset(("article", "main"))
 
 
+def _named_out(names: str) -> bool:
+    """Whether a class or id names something beside the text, and none names the text itself."""
+    words = [w for w in names.split() if not _STATES.fullmatch(w)]
+    return not any(_CONTENT.fullmatch(w) for w in words) and _OUT_NAMES.search(" ".join(words)) is not None
+
+
 class Page:
     """Elements as parallel lists, in page order, and the shown blocks of text with the element each is in."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
+        self.by_name = by_name  # whether classes and ids tell what is left out
         self.tags, self.parents = ["html"], [-1]
         self.blocks: list[tuple[int, str, float]] = []  # element, text, share of it in links
         self.stack = [0]
@@ -103,14 +113,15 @@ class Page:
         if not self.hidden and (tag in _OUT or (tag == "header" and not inside) or (attributes and tag not in _WHOLE and self._left_out(tag, attributes))):
             self.hidden = self.stack[-1]
 
-    @staticmethod
-    def _left_out(tag: str, attributes: str) -> bool:
+    def _left_out(self, tag: str, attributes: str) -> bool:
         values = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
             return True
         if tag in ("html", "body"):
             return False
-        return values.get("role", "") in _OUT_ROLES or any(_OUT_NAMES.search(values.get(k, "")) for k in ("class", "id"))
+        if values.get("role", "") in _OUT_ROLES:
+            return True
+        return self.by_name and _named_out(values.get("class", "") + " " + values.get("id", ""))
 
     def _text(self, text: str) -> None:
         if not self.hidden and text:
@@ -222,7 +233,9 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    return Page(source).main_text() if source else ""
+    if not source:
+        return ""
+    return Page(source).main_text() or Page(source, by_name=False).main_text()  # names may hide all there is
 
 
 def extract(pages: DataFrame) -> DataFrame:
