@@ -230,6 +230,20 @@ def test_sentences_and_rules():
     assert names("") == ([], [])
 
 
+def test_names_in_sentences_and_further_clauses():
+    scanner, known = licenses.Scanner(licenses.SENTENCES, licenses.RULES), licenses.SENTENCES
+    bsd = " ".join(known[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+
+    def names(text):
+        return [n for n, _, _ in scanner.licences(scanner.sentences(text))]
+
+    for holder in ("the copyright holder", "the University of California, Berkeley", "Example Inc."):
+        assert names(bsd + " 3. " + known["bsd-names"].replace("{}", holder)) == ["BSD-3-Clause"]
+    assert names(bsd + " THIS SOFTWARE IS PROVIDED BY X.") == ["BSD-2-Clause"]
+    assert names(bsd + " 3. Neither the name of X may be used in other ways.") == []
+    assert names(known["isc-grant"] + "\n" + known["mpl2-notice"] + "\n" + known["gpl2-grant"]) == ["ISC", "MPL-2.0", "GPL-2.0-or-later"]
+
+
 def test_licences_of_all_documents(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r.doc_id: r.text for r in documents.collect()}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import sliced
 
+# Braces stand for one to ``GAP`` words of a name; at the end of a sentence for whatever follows.
+GAP = 16
 # Sentences of public licence texts and of usual notices.
 SENTENCES = {
     "mit-notice": "Released under the MIT License.",
@@ -58,9 +60,41 @@ SENTENCES = {
         "disclaimer in the documentation and/or other materials provided with the distribution."
     ),
     "bsd-names": (
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "Neither the name of {} nor the names of its contributors may be used to endorse or promote products "
         "derived from this software without specific prior written permission."
     ),
+    "bsd-names-2": (
+        "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-further": "Neither the name {}",
+    "gpl2-grant": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."
+    ),
+    "lgpl21-grant": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl3-grant": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "lgpl3-grant-2": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl3-grant": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "unlicense-grant": "This is free and unencumbered software released into the public domain.",
+    "apache-title": "Apache License Version 2.0, January 2004",
 }
 
 # Licence names and the sequences that stand for them.
@@ -81,10 +115,25 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names-2"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-2.0-or-later", ["gpl2-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant-2"]),
+    ("AGPL-3.0-or-later", ["agpl3-grant"]),
+    ("MPL-2.0", ["mpl2-notice"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("Apache-2.0", ["apache-title"]),
 ]
 
+# A licence is not named where one of these sentences follows: it has a clause more.
+NOT_BEFORE = {"BSD-2-Clause": {"bsd-names", "bsd-names-2", "bsd-advertising", "bsd-further"}}
+
 _WORD = re.compile(r"[a-z0-9]+")
+_GAP = "0gap0"
 _BREAK = re.compile(r"\n|[.!?;:](?:\s|$)")
 
 
@@ -99,15 +148,29 @@ class Scanner:
         self.by_word: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
         needed = set()
         for name, sentence in sentences.items():
-            words = normalised(sentence)
+            words = normalised(sentence.replace("{}", f" {_GAP} "))
             self.by_word[words[0]].append((name, words))
-            needed.add(max(words, key=lambda w: (len(w), w)))
+            needed.add(max((w for w in words if w != _GAP), key=lambda w: (len(w), w)))
         for known in self.by_word.values():
             known.sort(key=lambda k: (-len(k[1]), k[0]))
         # A text without any of these words holds no known sentence.
         self.needed = sorted(needed)
         self.rules = sorted(rules, key=lambda r: (-len(r[1]), r[0]))
 
+    @staticmethod
+    def _end(words: list[tuple[str, int, int]], at: int, known: list[str], closes: list[bool]) -> int | None:
+        """Where a sentence that starts at a word ends, if it fits; gaps as short as they can be."""
+        for k, w in enumerate(known):
+            if w == _GAP:
+                if k == len(known) - 1:
+                    return at
+                ends = (Scanner._end(words, at + n, known[k + 1 :], closes) for n in range(1, GAP + 1))
+                return next((end for end in ends if end is not None), None)
+            if at >= len(words) or words[at][0] != w:
+                return None
+            at += 1
+        return at if closes[at - 1] else None
+
     def sentences(self, text: str) -> list[tuple[str, int, int]]:
         """Name, start and end of the known sentences, leftmost and longest first, without overlap.
 
@@ -126,10 +189,10 @@ class Scanner:
             step = 1
             if opens[i]:
                 for name, known in self.by_word.get(words[i][0], ()):
-                    end = i + len(known)
-                    if end <= len(words) and closes[end - 1] and all(words[i + k][0] == w for k, w in enumerate(known)):
+                    end = self._end(words, i, known, closes)
+                    if end is not None:
                         found.append((name, words[i][1], words[end - 1][2]))
-                        step = len(known)
+                        step = end - i
                         break
             i += step
         return found
@@ -139,7 +202,8 @@ class Scanner:
         names, out, i = [n for n, _, _ in found], [], 0
         while i < len(names):
             for licence, sequence in self.rules:
-                if names[i : i + len(sequence)] == sequence:
+                after = names[i + len(sequence) : i + len(sequence) + 1]
+                if names[i : i + len(sequence)] == sequence and not NOT_BEFORE.get(licence, set()).intersection(after):
                     out.append((licence, found[i][1], found[i + len(sequence) - 1][2]))
                     i += len(sequence)
                     break
