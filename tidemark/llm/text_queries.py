@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, licenses, quality, secret_scan
+from tidemark.llm import bpe, byte_bpe, licenses, quality, secret_scan
 from tidemark.llm.registry import query, table
 
 
@@ -31,3 +31,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence sentences of every document and the licences they stand for."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, digest of the ids and digest of the decoded bytes of every document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.tokenized(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
