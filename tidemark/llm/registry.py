@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # The modules register their queries when they are imported.
-from tidemark.llm import corpus_queries, page_queries, text_queries  # noqa: E402, F401
+from tidemark.llm import corpus_queries, page_queries, text_queries, vector_queries  # noqa: E402, F401
