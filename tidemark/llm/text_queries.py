@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, byte_bpe, licenses, quality, secret_scan
+from tidemark.llm import bpe, byte_bpe, licenses, periodic_runs, quality, secret_scan
 from tidemark.llm.registry import query, table
 
 
@@ -38,3 +38,9 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded bytes of every document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.tokenized(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, with repetitions planted in every tenth."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
