@@ -59,15 +59,10 @@ def test_long_pieces(piece):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.binary(min_size=97, max_size=400))
-def test_heap_merges_like_the_loop(piece):
-    byte_loop = byte_bpe.merged
-    limit, byte_bpe.LONG_PIECE = byte_bpe.LONG_PIECE, 10_000
-    try:
-        slow = byte_loop(piece, SPEC["ranks"])
-    finally:
-        byte_bpe.LONG_PIECE = limit
-    assert byte_bpe._merged_long(piece, SPEC["ranks"]) == slow
+@given(st.lists(st.one_of(st.binary(min_size=1, max_size=96), st.text("aab ", min_size=1, max_size=60).map(str.encode)), min_size=1, max_size=20))
+def test_many_pieces_at_once_merge_like_one(pieces):
+    expected = [np.array(byte_bpe.merged_long(p, SPEC["ranks"]), "<u4").tobytes() for p in pieces]
+    assert ENCODER.merge(pieces) == expected
 
 
 def texts():
@@ -90,11 +85,13 @@ def test_glued_chunks_are_whole(spark):
     frame = spark.createDataFrame([(1, "one two " * 20 + "z" * 500 + " three four" * 20)], "doc_id long, text string")
     shared = spark.sparkContext.broadcast(SPEC)
     chunks = byte_bpe.cut_chunks(frame, 40, 8)
-    found = byte_bpe.seams(chunks, shared, 8)
+    splits = byte_bpe.split(chunks, shared, 8)
+    found = byte_bpe.seams(splits)
     assert found.where("last is null and own is not null").count() > 8
-    joined = byte_bpe.glued(chunks, found)
-    assert joined.count() < chunks.count()
-    assert byte_bpe.seams(joined, shared, 8).where("last is null and own is not null").count() == 0
+    joined, gone = byte_bpe.glued(chunks, found)
+    assert joined.count() < gone.count() < chunks.count()
+    rest = splits.join(gone, ["row", "no"], "left_anti").select(*splits.columns)
+    assert byte_bpe.seams(rest.union(byte_bpe.split(joined, shared, 8))).where("last is null and own is not null").count() == 0
 
 
 def test_parts_decode_to_the_text(spark):

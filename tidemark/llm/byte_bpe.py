@@ -32,12 +32,14 @@ LONG_PIECE = 96  # bytes; longer ones are merged with a heap and not kept
 IDS_AT_ONCE = 1 << 16
 NEVER = 1 << 60
 
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _CHUNKS = "row long, doc_id long, no int, start int, own int, text string"
+_SPLITS = "row long, no int, start int, own int, head array<int>, tail array<int>"
 _PARTS = "row long, doc_id long, no int, ids binary"
 
 
-def _class_of(escape: str) -> str:
-    """The characters that ``escape`` stands for in the library that the ids must agree with, as ranges for a set.
+def _class_of(escape: str, last: int) -> str:
+    """The characters up to ``last`` that ``escape`` stands for in the library that the ids must agree with, as ranges for a set.
 
     Unicode grows, and engines follow at different times; so the library itself is asked, over all characters at once.
     """
@@ -45,14 +47,15 @@ def _class_of(escape: str) -> str:
     probe = tiktoken.Encoding("probe", pat_str=escape, mergeable_ranks=single, special_tokens={})
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     points = np.array([ord(c) for c in bytes(probe.encode_ordinary(every)).decode("utf-8")])
+    points = points[points <= last]
     cuts = np.flatnonzero(np.diff(points) != 1)
     firsts, lasts = points[np.append(0, cuts + 1)], points[np.append(cuts, len(points) - 1)]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True))
 
 
-def plain_pattern(pattern: str) -> str:
-    """``pattern`` with its character classes spelled out, so that it doesn't depend on the engine that runs it."""
-    ranges = {name: _class_of(name) for name in set(re.findall(r"\\p\{\w+\}|\\s", pattern.replace(r"\S", r"\s")))}
+def plain_pattern(pattern: str, last: int = 0x10FFFF) -> str:
+    """``pattern`` with its character classes spelled out, so that it doesn't depend on the engine that runs it; for texts up to ``last``."""
+    ranges = {name: _class_of(name, last) for name in set(re.findall(r"\\p\{\w+\}|\\s", pattern.replace(r"\S", r"\s")))}
     out, inside = [], False
     for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
         if part in ranges:
@@ -76,30 +79,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def load(path: str, pattern: str) -> dict:
-    """Ranks and the spelled-out pattern; fit for a broadcast."""
-    return {"ranks": load_ranks(path), "pattern": plain_pattern(pattern)}
-
-
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece: the neighbours whose union has the lowest rank merge first, the leftmost of equal ones."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    if len(piece) > LONG_PIECE:
-        return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        own = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        lowest = min(own)
-        if lowest == NEVER:
-            break
-        at = own.index(lowest)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same with a heap of pairs over a linked list, in n log n."""
+    """Ranks, the pairs that merge and the spelled-out pattern; fit for a broadcast."""
+    ranks = load_ranks(path)
+    pairs = {}
+    for token, rank in ranks.items():
+        for at in range(1, len(token)):
+            left, right = ranks.get(token[:at]), ranks.get(token[at:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+    return {
+        "ranks": ranks, "keys": keys, "products": np.array([pairs[k] for k in keys.tolist()], np.int64),
+        "single": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
+        "pattern": plain_pattern(pattern), "narrow": plain_pattern(pattern, 0xFFFF),
+    }
+
+
+def merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece, with a heap of pairs over a linked list, in n log n.
+
+    The neighbours whose union has the lowest rank merge first, the leftmost of equal ones.
+    """
     size = len(piece)
     end = list(range(1, size + 1))  # of the part that starts here; 0: no part starts here
     before = list(range(-1, size))
@@ -128,29 +128,86 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PieceMerger:
+    """Merges many pieces at once: in each step every piece merges its first pair of lowest rank."""
+
+    def __init__(self, spec: dict):
+        self.keys, self.single = np.append(spec["keys"], np.iinfo(np.int64).max), spec["single"]
+        self.products = np.append(spec["products"], NEVER)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left << 32 | right
+        at = np.searchsorted(self.keys, pairs)
+        return np.where(self.keys[at] == pairs, self.products[at], NEVER)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (of a byte or more), as little-endian 32-bit integers."""
+        sizes = np.array([len(p) for p in pieces])
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        of = np.repeat(np.arange(len(pieces)), sizes)
+        ranks = np.full(len(ids), NEVER)  # of the pair that starts here
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        ranks[inner] = self._ranks(ids[inner], ids[inner + 1])
+        done = []
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            counts = np.diff(np.append(starts, len(ids)))
+            lowest = np.repeat(np.minimum.reduceat(ranks, starts), counts)
+            ready = lowest == NEVER
+            if ready.any():
+                done.append((of[ready], ids[ready]))
+                ids, of, ranks, lowest = (x[~ready] for x in (ids, of, ranks, lowest))
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == lowest)
+            at = at[np.append(True, of[at[1:]] != of[at[:-1]])]
+            ids[at] = ranks[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, of, ranks = ids[stay], of[stay], ranks[stay]
+            at = at - np.arange(len(at))
+            for near in (at, at[at > 0] - 1):
+                pair = (near + 1 < len(ids)) & (of[near] == of[np.minimum(near + 1, len(of) - 1)])
+                ranks[near[~pair]] = NEVER
+                ranks[near[pair]] = self._ranks(ids[near[pair]], ids[near[pair] + 1])
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        packed = ids[np.argsort(of, kind="stable")].astype("<u4").tobytes()
+        cuts = np.append(0, np.cumsum(np.bincount(of, minlength=len(pieces)))).tolist()
+        return [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Encoder:
     """Pre-tokens and ids of texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, spec: dict):
-        self.ranks, self.pieces = spec["ranks"], re.compile(spec["pattern"])
+        self.ranks, self.merge = spec["ranks"], PieceMerger(spec)
+        self.wide, self.narrow = re.compile(spec["pattern"]), re.compile(spec["narrow"])
         self.known: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text. Sets without characters beyond U+FFFF are looked up much faster."""
+        return (self.wide if _BEYOND.search(text) else self.narrow).findall(text)
+
     def boundaries(self, text: str) -> np.ndarray:
         """Where pre-tokens start and end, when the text is split from its first character."""
-        return np.append(0, np.cumsum([len(p) for p in self.pieces.findall(text)], dtype=np.int64))
+        return np.append(0, np.cumsum([len(p) for p in self.pieces(text)], dtype=np.int64))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Pieces of ordinary length are merged for all texts together and remembered (a bounded number)."""
+        rows = [self.pieces(t or "") for t in texts]
+        wanted = set().union(*rows)
+        if len(self.known) + len(wanted) > CACHED_PIECES:
+            self.known = {}
+        new = {p: p.encode("utf-8") for p in wanted.difference(self.known)}
+        short = [p for p, data in new.items() if len(data) <= LONG_PIECE]
+        if short:
+            self.known.update(zip(short, self.merge([new[p] for p in short]), strict=True))
+        long = {p: np.array(merged_long(data, self.ranks), "<u4").tobytes() for p, data in new.items() if len(data) > LONG_PIECE}
+        ids_of = self.known.__getitem__ if not long else lambda p: long[p] if p in long else self.known[p]
+        return [b"".join(map(ids_of, pieces)) for pieces in rows]
 
     def encode(self, text: str | None) -> bytes:
-        pieces = self.pieces.findall(text or "")
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known, new = {}, set(pieces)
-        long: dict[str, bytes] = {}
-        for piece in new:
-            data = piece.encode("utf-8")
-            kept = self.known if len(data) <= LONG_PIECE else long
-            kept[piece] = np.array(merged(data, self.ranks), "<u4").tobytes()
-        table = {**self.known, **long} if long else self.known
-        return b"".join(map(table.__getitem__, pieces))
+        return self.encode_all([text])[0]
 
 
 class Decoder:
@@ -171,7 +228,7 @@ def _whole(documents: DataFrame, shared, chunk: int) -> DataFrame:
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in sliced(batches):
-            ids = pa.array([encoder.encode(t) for t in batch.column(2).to_pylist()], pa.binary())
+            ids = pa.array(encoder.encode_all(batch.column(2).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), ids], names=["row", "doc_id", "no", "ids"])
 
     short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
@@ -204,12 +261,9 @@ def cut_chunks(documents: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP)
     return written(rows.mapInArrow(run, _CHUNKS).repartition("row", "no"), "bpe-chunks")
 
 
-def seams(chunks: DataFrame, shared, overlap: int) -> DataFrame:
-    """``row, no, own, first, last``: where each chunk's pieces begin and end, as positions in the text.
-
-    ``last`` is the first boundary in the overlap that the chunk and the next one share, ``first`` that of the chunk before;
-    null where there is none, and at the end of a text.
-    """
+def split(chunks: DataFrame, shared, overlap: int) -> DataFrame:
+    """``row, no, start, own, head, tail``: boundaries of each chunk in the overlap with the chunk before and in that with the next,
+    as positions in the text."""
 
     def run(batches):
         encoder = Encoder(shared.value)
@@ -225,42 +279,51 @@ def seams(chunks: DataFrame, shared, overlap: int) -> DataFrame:
             arrays = [*kept, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "no", "start", "own", "head", "tail"])
 
-    split = chunks.select("row", "no", "start", "own", "text").mapInArrow(
-        run, "row long, no int, start int, own int, head array<int>, tail array<int>"
-    )
+    return written(chunks.select("row", "no", "start", "own", "text").mapInArrow(run, _SPLITS), "bpe-splits")
+
+
+def seams(splits: DataFrame) -> DataFrame:
+    """``row, no, own, first, last``: where each chunk's pieces begin and end, as positions in the text.
+
+    ``last`` is the first boundary in the overlap that the chunk and the next one share, ``first`` that of the chunk before;
+    null where there is none, and at the end of a text.
+    """
     order = Window.partitionBy("row").orderBy("no")  # a row per chunk, without its text
-    stitched = split.withColumn("last", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
+    stitched = splits.withColumn("last", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
     first = F.when(F.col("start") == 0, F.lit(0)).otherwise(F.lag("last").over(order))
-    return stitched.withColumn("first", first).select("row", "no", "own", "first", "last")
+    return written(stitched.withColumn("first", first).select("row", "no", "own", "first", "last"), "bpe-seams")
 
 
-def glued(chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """Chunks without a common boundary as one, together with those that have theirs."""
+def glued(chunks: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks without a common boundary as one, from the last before them that has its own; and ``row, no`` of all that went into these."""
     order = Window.partitionBy("row").orderBy("no")
-    group = F.sum(F.col("first").isNotNull().cast("int")).over(order)
-    groups = found.select("row", "no", group.alias("group"))
+    groups = found.select("row", "no", F.sum(F.col("first").isNotNull().cast("int")).over(order).alias("group"))
+    many = groups.withColumn("members", F.count("*").over(Window.partitionBy("row", "group"))).where("members > 1").select("row", "no", "group")
     parts = F.array_sort(F.collect_list(F.struct("no", "start", "own", "text", "doc_id")))
-    by_group = chunks.join(groups, ["row", "no"]).groupBy("row", "group").agg(parts.alias("parts"))
+    by_group = chunks.join(many, ["row", "no"]).groupBy("row", "group").agg(parts.alias("parts"))
     text = F.expr("array_join(transform(parts, (x, i) -> if(i = size(parts) - 1, x.text, substring(x.text, 1, x.own))), '')")
     own = F.expr("if(element_at(parts, -1).own is null, null, element_at(parts, -1).start + element_at(parts, -1).own - parts[0].start)")
     together = by_group.select("row", F.expr("parts[0].doc_id"), F.expr("parts[0].no"), F.expr("parts[0].start"), own.alias("own"), text.alias("text"))
-    return written(together.toDF(*chunks.columns), "bpe-chunks")
+    return written(together.toDF(*chunks.columns), "bpe-chunks"), many.select("row", "no")
 
 
 def _parts(documents: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     """Ids of the texts of several chunks, a row per chunk."""
     chunks = cut_chunks(documents, chunk, overlap)
+    splits = split(chunks, shared, overlap)
     while True:
-        found = written(seams(chunks, shared, overlap), "bpe-seams")
+        found = seams(splits)
         if found.where("last is null and own is not null").isEmpty():
             break
-        chunks = glued(chunks, found)
+        new, gone = glued(chunks, found)
+        chunks = chunks.join(gone, ["row", "no"], "left_anti").select(*chunks.columns).union(new)
+        splits = splits.join(gone, ["row", "no"], "left_anti").select(*splits.columns).union(split(new, shared, overlap))
 
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in sliced(batches):
             rows = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True)
-            ids = [encoder.encode(text[first - start : None if last is None else last - start]) for start, text, first, last in rows]
+            ids = encoder.encode_all([text[first - start : None if last is None else last - start] for start, text, first, last in rows])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["row", "doc_id", "no", "ids"])
 
     pieces = chunks.join(found.select("row", "no", "first", "last"), ["row", "no"])
