@@ -1,4 +1,4 @@
-"""Text baselines: lexicon scores and TF-IDF terms."""
+"""Text baselines: lexicon scores, with and without valence rules, and TF-IDF terms."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
 from tidemark.functions.text import bind, clean_social, tokens, weight_sum
+from tidemark.functions.valence import valence
 
 
 def lexicon_score(texts: DataFrame, key: str, text: str, lexicon: Mapping[str, float]) -> DataFrame:
@@ -20,6 +21,15 @@ def lexicon_score(texts: DataFrame, key: str, text: str, lexicon: Mapping[str, f
     )
 
 
+def valence_score(texts: DataFrame, key: str, text: str, lexicon: Mapping[str, float], **words) -> DataFrame:
+    """``compound`` in [-1, 1] and the shares ``pos``, ``neg``, ``neu`` of every text by the valence rules; one row per text, no shuffle.
+
+    NULL, empty and blank texts score 0 throughout. ``words`` may replace the boosters and negations, see :func:`functions.valence.valence`.
+    """
+    scored = texts.select(key, valence(F.col(text), lexicon, **words).alias("_"))
+    return scored.select(key, *(F.col(f"_.{n}").alias(n) for n in ("compound", "pos", "neg", "neu")))
+
+
 def tfidf(texts: DataFrame, key: str, text: str, common_terms: int = 10_000) -> DataFrame:
     """tf * log((N + 1) / (df + 1)) of every term of every text.
 

@@ -60,6 +60,67 @@ def event_study(returns: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
     return joined.groupBy("Ticker", "day_offset").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"))
 
 
+def market_return(returns: DataFrame) -> DataFrame:
+    """Equally weighted mean return of all assets of a day."""
+    return returns.groupBy("Date").agg(F.avg("r").alias("market"))
+
+
+def abnormal_returns(
+    returns: DataFrame, events: DataFrame, market: DataFrame, k: int = 3, estimation: tuple[int, int] = (-120, -11), least_days: int = 20
+) -> DataFrame:
+    """Returns around events less what the market model expects: ``Ticker, event_day, day_offset, r, expected, abnormal, t, cumulated, cumulated_t``.
+
+    For every event, ``r = alpha + beta * market`` is fitted by least squares to the days of the ``estimation`` window (offsets from
+    the event day, both included) on which asset and market have a return. ``t`` is the abnormal return over the residual deviation (n - 2
+    degrees of freedom), ``cumulated`` the sum over the days up to here on which there is a return, with ``cumulated_t`` for as many
+    independent days. Events with fewer than ``least_days`` days, or a market that never moves in them, have NULL
+    from ``expected`` on; a fit without residuals has NULL t values. Events on the same day count once; days
+    without a return have no row; NULL returns are no returns. ``returns`` and ``market`` hold one row per key.
+
+    Events meet returns by asset and day, so no asset's days are gathered in one task.
+    """
+    first, last = estimation
+    if not first <= last < -k:
+        raise ValueError("the estimation window must end before the event window")
+    days = events.select("Ticker", F.col("Date").alias("event_day")).where("Ticker is not null and event_day is not null").distinct()
+    pairs = returns.select("Ticker", "Date", "r").where("r is not null").join(market.select("Date", "market").where("market is not null"), "Date")
+
+    def around(start: int, end: int) -> DataFrame:
+        offsets = days.withColumn("day_offset", F.explode(F.sequence(F.lit(start), F.lit(end))))
+        return offsets.withColumn("Date", F.date_add("event_day", F.col("day_offset"))).join(pairs, ["Ticker", "Date"])
+
+    fits = around(first, last).groupBy("Ticker", "event_day").agg(
+        F.count("*").alias("days"), F.regr_slope("r", "market").alias("beta"), F.regr_intercept("r", "market").alias("alpha"),
+        F.regr_syy("r", "market").alias("syy"), F.regr_sxy("r", "market").alias("sxy"),
+    )
+    residual = F.col("syy") - F.col("beta") * F.col("sxy")
+    residual = F.when(residual > 1e-12 * F.col("syy"), residual)  # below it is rounding
+    fits = fits.where((F.col("days") >= max(least_days, 3)) & F.col("beta").isNotNull()).select(
+        "Ticker", "event_day", "alpha", "beta", F.sqrt(residual / (F.col("days") - 2)).alias("s")
+    )
+    own = around(-k, k).join(fits, ["Ticker", "event_day"], "left")
+    own = own.withColumn("expected", F.col("alpha") + F.col("beta") * F.col("market")).withColumn("abnormal", F.col("r") - F.col("expected"))
+    so_far = Window.partitionBy("Ticker", "event_day").orderBy("day_offset")  # at most 2k + 1 rows
+    summed, number = F.sum("abnormal").over(so_far), F.count("abnormal").over(so_far)
+    own = own.withColumns({"cumulated": summed, "_days": number})
+    return own.select(
+        "Ticker", "event_day", "day_offset", "r", "expected", "abnormal", ratio(F.col("abnormal"), F.col("s")).alias("t"),
+        "cumulated", ratio(F.col("cumulated"), F.col("s") * F.sqrt("_days")).alias("cumulated_t"),
+    )
+
+
+def average_abnormal(abnormal: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Mean abnormal and cumulated return over events by day offset, with t values across the events."""
+
+    def t(column: str) -> Column:
+        return ratio(F.avg(column) * F.sqrt(F.count(column)), F.nullif(F.stddev_samp(column), F.lit(0.0)))
+
+    return abnormal.where("abnormal is not null").groupBy(*groups, "day_offset").agg(
+        F.count("*").alias("events"), F.avg("abnormal").alias("mean_abnormal"), t("abnormal").alias("t"),
+        F.avg("cumulated").alias("mean_cumulated"), t("cumulated").alias("cumulated_t"),
+    )
+
+
 def fold_bounds(first: Column, last: Column, mode: str = "rolling", folds: int = FOLDS) -> Column:
     """Array of folds ending at ``last``: train and test bounds, both ends included."""
     if mode not in ("rolling", "expanding"):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
+from tidemark.operators.selection import crossing
 from tidemark.session import parameter_frame
 
 # Weight bound, fee ranges and slippage in basis points, days per year.
@@ -39,6 +40,81 @@ def audit_weights(weights: DataFrame, bound: float = MAX_WEIGHT, groups: Sequenc
     )
 
 
+def project_weights(
+    weights: DataFrame, low: float = -MAX_WEIGHT, high: float = MAX_WEIGHT, groups: Sequence[str] = ("Date",), w: str = "w"
+) -> DataFrame:
+    """The nearest weights (least squares) that lie in ``[low, high]`` and sum to 1 in every group: ``w``, and ``feasible``.
+
+    They are the given weights less one shift per group, cut to the bounds. As the shift grows, an asset leaves the upper bound at
+    one point and meets the lower one at another; between these points the sum falls linearly, so the shift
+    follows from the point before which the sum is still above 1. That point is selected by counts
+    (:func:`selection.crossing`), which sorts no group in one task.
+
+    Weights that are NULL, NaN or infinite stay NULL and do not count as assets. A group of too few or too many assets for the bounds is
+    not feasible, its weights are NULL. Equal weights stay equal; repeated rows are assets of their own.
+    """
+    if not low <= high:
+        raise ValueError(f"no weight between {low} and {high}")
+    keys = list(groups)
+    raw = F.col(w).cast("double")
+    usable = F.when(~F.isnan(raw) & (F.abs(raw) < float("inf")), raw)
+    assets = weights.withColumn(w, usable)
+    sizes = assets.groupBy(*keys).agg(F.count(w).alias("_n"))
+    feasible = (F.col("_n") * low <= 1) & (F.col("_n") * high >= 1) & (F.col("_n") > 0)
+    sizes = sizes.withColumn("feasible", feasible)
+    same_day = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_key{i}") for i, k in enumerate(keys)]
+    marks = [f"_key{i}" for i in range(len(keys))]
+    points = F.array(F.struct((F.col(w) - high).alias("at"), F.lit(-1.0).alias("slope")), F.struct((F.col(w) - low).alias("at"), F.lit(1.0).alias("slope")))
+    sizes = sizes.select(*same_day, "_n", "feasible")
+    turns = assets.where(F.col(w).isNotNull()).select(*same_day, F.inline(points)).join(sizes.where("feasible"), marks)
+
+    def sum_at(at: Column, totals: Mapping[str, Column]) -> Column:
+        return F.col("_n") * high + totals["slope"] * at - totals["moment"]
+
+    measures = {"slope": F.col("slope"), "moment": F.col("slope") * F.col("at")}
+    found = crossing(turns, marks, "at", measures, lambda at, totals: sum_at(at, totals) <= 1, carried=["_n"])
+    # Before this point the sum is n * high + slope * shift - moment.
+    shift = F.coalesce(F.try_divide(F.col("moment") + 1 - F.col("_n") * high, F.nullif(F.col("slope"), F.lit(0.0))), F.col("at"))
+    shifts = found.select(*marks, shift.alias("_shift"))
+    cut = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(w) - F.col("_shift")))
+    tagged = assets.select("*", *same_day).join(sizes.drop("_n"), marks, "left").join(shifts, marks, "left")
+    return tagged.withColumn(w, F.when(F.col(w).isNotNull() & F.col("_shift").isNotNull(), cut)).drop(*marks, "_shift")
+
+
+def tail_risk(returns: DataFrame, levels: Sequence[float] = (0.9, 0.95, 0.99), group: str = "K", r: str = "net") -> DataFrame:
+    """Value at risk and mean loss in the tail (CVaR) of every group at every level, both as losses.
+
+    The tail is the worst ``1 - level`` share of the ``n`` returns; where that is no whole number of them, the next one counts in
+    part, so ties and small groups need no rule of their own. The boundary is selected by counts (:func:`selection.crossing`): no
+    group is sorted in one task. NULL and NaN returns do not count; a group without any other has no row.
+    """
+    if not all(0 < x < 1 for x in levels):
+        raise ValueError(f"levels must lie between 0 and 1: {levels}")
+    kept = returns.select(F.col(group).alias("_group"), F.col(r).cast("double").alias("_r")).where("_r is not null and not isnan(_r)")
+    # Each level is selected on its own; rows are copied before the join with the groups' bounds, after which most are gone.
+    each = F.explode(F.array(*(F.lit(float(x)) for x in levels))).alias("level")
+    sizes = kept.groupBy("_group").agg(F.count("*").alias("n"))
+    tail = F.round(F.col("n") * (1 - F.col("level")), 9)  # 0.1 * 30 must not be a little more than 3
+    sizes = sizes.select("_group", "n", each).withColumn("_tail", tail)
+    groups = sizes.select(F.coalesce(F.col("_group").cast("string"), F.lit("\0")).alias("_key"), F.col("_group").alias(group), "level", "n", "_tail")
+    rows = kept.select(F.coalesce(F.col("_group").cast("string"), F.lit("\0")).alias("_key"), "_r").join(groups, "_key")
+    measures = {"count": F.lit(1.0), "total": F.col("_r")}
+    found = crossing(rows, ["_key", "level"], "_r", measures, lambda at, t: t["count"] >= F.col("_tail"), carried=[group, "n", "_tail"])
+    rest = (F.col("_tail") - F.col("count")) * F.col("_r")
+    return found.select(
+        group, "level", F.col("n").alias("days"), (-F.col("_r")).alias("var"), (-(F.col("total") + rest) / F.col("_tail")).alias("cvar")
+    )
+
+
+def tail_reward(returns: DataFrame, lambdas: Sequence[float], level: float = 0.95, group: str = "K", r: str = "net") -> DataFrame:
+    """Mean return minus lambda times its CVaR, for every lambda: the risk-averse counterpart of :func:`reward_sweep`."""
+    means = returns.where(~F.isnan(r)).groupBy(F.col(group).alias("_g")).agg(F.avg(r).alias("mean"))
+    risks = tail_risk(returns, [level], group, r)
+    both = risks.join(means, F.col(group).eqNullSafe(F.col("_g")))
+    each = both.withColumn("lambda", F.explode(F.array(*map(F.lit, lambdas))))
+    return each.select(group, "lambda", (F.col("mean") - F.col("lambda") * F.col("cvar")).alias("reward"))
+
+
 def trades(weights: DataFrame) -> DataFrame:
     """Change of weight per asset and day, including assets that left the portfolio.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import valence
+from tidemark.functions.text import SPACE as S
 from tidemark.operators import bars as bars_ops
 from tidemark.operators import baselines, evaluation, features, graph
 from tidemark.operators import macro as macro_ops
@@ -110,6 +112,47 @@ def lexicon_score(t: Tables):
     return _rounded(baselines.lexicon_score(t.documents, "doc_id", "text", TEST_LEXICON), "mean_score")
 
 
+_CAPITALS = "(w = upper(w) AND w <> lower(w))"
+_BOOSTERS = "MAP {" + ", ".join(f"'{w}': {x}" for w, x in valence.BOOSTERS.items()) + "}"
+_NEGATIONS = "(" + ", ".join(f"'{w}'" for w in valence.NEGATIONS) + ")"
+
+
+def _valence_step(p: int) -> str:
+    """The weight after the word ``p`` places before has raised, lowered or turned it."""
+    v, damp = f"v{p - 1}", (1.0, 0.95, 0.9)[p - 1]
+    never = {1: "false", 2: "l2 = 'never' AND l1 IN ('so', 'this')", 3: "l3 = 'never' AND (l2 IN ('so', 'this') OR l1 IN ('so', 'this'))"}[p]
+    doubt = {1: "false", 2: "l2 = 'without' AND l1 = 'doubt'", 3: "l3 = 'without' AND (l2 = 'doubt' OR l1 = 'doubt')"}[p]
+    raised = f"({v} + CASE WHEN b{p} IS NULL THEN 0 ELSE {damp} * (CASE WHEN {v} < 0 THEN -b{p} ELSE b{p} END + CASE WHEN NOT (up{p} AND mixed) THEN 0 WHEN {v} > 0 THEN 0.733 ELSE -0.733 END) END)"
+    return (
+        f"CASE WHEN l{p} IS NULL OR k{p} THEN {v} WHEN {never} THEN 1.25 * {raised} WHEN {doubt} THEN {raised} "
+        f"WHEN l{p} IN {_NEGATIONS} OR contains(l{p}, 'n''t') THEN -0.74 * {raised} ELSE {raised} END AS v{p}"
+    )
+
+
+@query("vader_score", f"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(trim(regexp_replace(coalesce(text, ''), '[{S}]+', ' ', 'g')), ' ') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS raw FROM split),
+bare AS (SELECT doc_id, pos, CASE WHEN length(trim(raw, '{valence.PUNCTUATION.replace("'", "''")}')) <= 2 THEN raw
+  ELSE trim(raw, '{valence.PUNCTUATION.replace("'", "''")}') END AS w FROM words WHERE raw <> ''),
+known AS (SELECT *, lower(w) AS l, {_CAPITALS} AS up, lower(w) IN ({UP}, {DOWN}) AS k,
+  CASE WHEN lower(w) IN ({UP}) THEN 1.0 WHEN lower(w) IN ({DOWN}) THEN -1.0 END AS x, {_BOOSTERS}[lower(w)] AS b FROM bare),
+near AS (SELECT *, {', '.join(f"lag(l, {p}) OVER o AS l{p}, lag(up, {p}) OVER o AS up{p}, lag(k, {p}) OVER o AS k{p}, lag(b, {p}) OVER o AS b{p}" for p in (1, 2, 3))},
+  count_if(up) OVER d BETWEEN 1 AND count(*) OVER d - 1 AS mixed, min(pos) FILTER (l = 'but') OVER d AS but
+  FROM known WINDOW o AS (PARTITION BY doc_id ORDER BY pos), d AS (PARTITION BY doc_id)),
+s0 AS (SELECT *, CAST(CASE WHEN x IS NULL OR b IS NOT NULL THEN 0 WHEN up AND mixed THEN x + sign(x) * 0.733 ELSE x END AS DOUBLE) AS v0 FROM near),
+s1 AS (SELECT *, {_valence_step(1)} FROM s0), s2 AS (SELECT *, {_valence_step(2)} FROM s1), s3 AS (SELECT *, {_valence_step(3)} FROM s2),
+least_said AS (SELECT doc_id, CASE WHEN v0 = 0 THEN 0 ELSE v3 * CASE WHEN l1 = 'least' AND NOT k1 AND coalesce(l2 NOT IN ('at', 'very'), true) THEN -0.74 ELSE 1 END END
+  * CASE WHEN but IS NULL OR pos = but THEN 1 WHEN pos < but THEN 0.5 ELSE 1.5 END AS v FROM s3),
+sums AS (SELECT doc_id, sum(v) AS s FROM least_said GROUP BY doc_id),
+marks AS (SELECT doc_id, least(len(text) - len(replace(text, '!', '')), 4) * 0.292 + CASE len(text) - len(replace(text, '?', '')) WHEN 0 THEN 0 WHEN 1 THEN 0
+  WHEN 2 THEN 0.36 WHEN 3 THEN 0.54 ELSE 0.96 END AS m FROM split),
+total AS (SELECT m.doc_id, coalesce(s, 0) + coalesce(sign(s), 0) * m AS t FROM marks m LEFT JOIN sums USING (doc_id))
+SELECT doc_id, round(t / sqrt(t * t + 15), 6) AS compound FROM total""")
+def vader_score(t: Tables):
+    scored = baselines.valence_score(t.documents, "doc_id", "text", TEST_LEXICON)
+    return _rounded(scored.select("doc_id", "compound"), "compound")
+
+
 @query("tfidf_top_terms", f"""
 WITH words AS (SELECT doc_id, unnest(list_filter(string_split(lower({social_sql('text')}), ' '), lambda w: w <> '')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
@@ -174,6 +217,24 @@ def weight_audit(t: Tables):
     return _rounded(portfolio.audit_weights(_weights(t)), "min_w", "max_w", "sum_w")
 
 
+# The sum at every point where a weight meets a bound; between two points it is linear.
+@query("weight_project", with_entities(f"""
+, {_FORECASTS}, points AS (SELECT Date, unnest([forecast - 0.3, forecast + 0.3]) AS x FROM forecasts),
+sums AS (SELECT p.Date, p.x, sum(greatest(-0.3, least(0.3, f.forecast - p.x))) AS s FROM (SELECT DISTINCT Date, x FROM points) p
+  JOIN forecasts f ON f.Date = p.Date GROUP BY p.Date, p.x),
+around AS (SELECT Date, max(x) FILTER (s >= 1) AS a, min(x) FILTER (s <= 1) AS b, min(s) FILTER (s >= 1) AS sa, max(s) FILTER (s <= 1) AS sb
+  FROM sums GROUP BY Date),
+shifts AS (SELECT Date, CASE WHEN sa = sb THEN a ELSE a + (sa - 1) * (b - a) / (sa - sb) END AS shift FROM around),
+sizes AS (SELECT Date, count(*) BETWEEN 4 AND 1e9 AS feasible FROM forecasts GROUP BY Date)
+SELECT CAST(f.Date AS VARCHAR) AS Date, Ticker, round(forecast, 6) AS raw, feasible,
+  CASE WHEN feasible THEN round(greatest(-0.3, least(0.3, forecast - shift)), 6) END AS w
+FROM forecasts f JOIN sizes z ON z.Date = f.Date LEFT JOIN shifts s ON s.Date = f.Date""", "bars_long"))
+def weight_project(t: Tables):
+    """Forecasts as weights, moved to the nearest that keep the bounds and sum to 1."""
+    raw = _forecasts(t).withColumn("w", F.col("forecast"))
+    return _rounded(portfolio.project_weights(raw).withColumn("raw", F.col("forecast")), "w", "raw").select("Date", "Ticker", "raw", "feasible", "w")
+
+
 @query("portfolio_return", with_entities(f"""
 , {_NET} SELECT CAST(K AS INTEGER) AS K, CAST(Date AS VARCHAR) AS Date, round(gross, 6) AS gross, round(cost, 6) AS cost,
   round(net, 6) AS net FROM net""", "bars_long"))
@@ -198,6 +259,26 @@ def risk_metrics(t: Tables):
     return _rounded(portfolio.risk_metrics(_net(t)), "sharpe", "sortino", "max_drawdown", digits=4)
 
 
+LEVELS = [0.9, 0.95, 0.99]
+_TAILS = f"""{_NET}, sorted AS (SELECT K, net, row_number() OVER (PARTITION BY K ORDER BY net) AS i, count(*) OVER (PARTITION BY K) AS n FROM net),
+marked AS (SELECT *, round(n * (1 - level), 9) AS m FROM sorted, (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in LEVELS)}]) AS level)),
+tails AS (SELECT K, level, max(n) AS days, -min(net) FILTER (i >= m) AS var, -sum(net * greatest(0, least(1, m - i + 1))) / max(m) AS cvar
+  FROM marked GROUP BY K, level)"""
+
+
+@query("cvar_metrics", with_entities(f"""
+, {_TAILS} SELECT CAST(K AS INTEGER) AS K, level, days, round(var, 6) AS var, round(cvar, 6) AS cvar FROM tails""", "bars_long"))
+def cvar_metrics(t: Tables):
+    return _rounded(portfolio.tail_risk(_net(t), LEVELS), "var", "cvar")
+
+
+@query("cvar_reward", with_entities(f"""
+, {_TAILS} SELECT CAST(t.K AS INTEGER) AS K, l AS lambda, round((SELECT avg(net) FROM net WHERE net.K = t.K) - l * cvar, 6) AS reward
+FROM tails t, (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in LAMBDAS)}]) AS l) WHERE level = 0.95""", "bars_long"))
+def cvar_reward(t: Tables):
+    return _rounded(portfolio.tail_reward(_net(t), LAMBDAS), "reward")
+
+
 # -- evaluation -------------------------------------------------------------------------------
 
 REGIMES = [
@@ -234,6 +315,44 @@ def event_study(t: Tables):
     return _rounded(evaluation.event_study(bars_ops.daily_returns(t.bars), days), "mean_r")
 
 
+# Offsets of the estimation window, and days an event needs there; the test bars span one month.
+ESTIMATION, LEAST_DAYS = (-20, -4), 6
+_ABNORMAL = f"""{SHORT}, {ARTICLE_TEXTS}, {NEWS_FLAGS},
+market AS (SELECT Date, avg(r) AS m FROM returns GROUP BY Date),
+both_r AS (SELECT Ticker, x.Date, r, m FROM returns x JOIN market USING (Date)),
+days AS (SELECT Ticker, Date AS d FROM flags WHERE Event_Flag = 1),
+fits AS (SELECT e.Ticker, d, count(*) AS n, regr_slope(r, m) AS beta, regr_intercept(r, m) AS alpha,
+  sqrt(greatest(regr_syy(r, m) - regr_slope(r, m) * regr_sxy(r, m), 0) / nullif(count(*) - 2, 0)) AS s
+  FROM days e JOIN both_r b ON b.Ticker = e.Ticker AND b.Date - d BETWEEN {ESTIMATION[0]} AND {ESTIMATION[1]}
+  GROUP BY e.Ticker, d HAVING count(*) >= {LEAST_DAYS}),
+abnormal AS (SELECT b.Ticker, e.d, CAST(b.Date - e.d AS INTEGER) AS k, r - (alpha + beta * m) AS ar, s
+  FROM days e JOIN both_r b ON b.Ticker = e.Ticker AND b.Date - e.d BETWEEN -3 AND 3 LEFT JOIN fits f ON f.Ticker = e.Ticker AND f.d = e.d),
+cumulated AS (SELECT *, sum(ar) OVER w AS car, count(ar) OVER w AS l FROM abnormal WINDOW w AS (PARTITION BY Ticker, d ORDER BY k))"""
+
+
+@query("abnormal_returns", with_entities(f"""
+, {_ABNORMAL} SELECT Ticker, CAST(d AS VARCHAR) AS event_day, k AS day_offset, round(ar, 6) AS abnormal, round(ar / s, 4) AS t,
+  round(car, 6) AS cumulated, round(car / (s * sqrt(l)), 4) AS cumulated_t FROM cumulated""", "bars", "articles"))
+def abnormal_returns(t: Tables):
+    out = _rounded(_rounded(_abnormal(t), "abnormal", "cumulated"), "t", "cumulated_t", digits=4)
+    return out.drop("r", "expected")
+
+
+@query("average_abnormal", with_entities(f"""
+, {_ABNORMAL} SELECT k AS day_offset, count(*) AS events, round(avg(ar), 6) AS mean_abnormal,
+  round(avg(ar) * sqrt(count(ar)) / stddev_samp(ar), 4) AS t, round(avg(car), 6) AS mean_cumulated,
+  round(avg(car) * sqrt(count(car)) / stddev_samp(car), 4) AS cumulated_t FROM cumulated WHERE ar IS NOT NULL GROUP BY k""", "bars", "articles"))
+def average_abnormal(t: Tables):
+    out = evaluation.average_abnormal(_abnormal(t))
+    return _rounded(_rounded(out, "mean_abnormal", "mean_cumulated"), "t", "cumulated_t", digits=4)
+
+
+def _abnormal(t: Tables):
+    days = news_ops.daily_events(t.articles, TEST_KEYWORDS).where("Event_Flag = 1")
+    returns = bars_ops.daily_returns(t.bars)
+    return evaluation.abnormal_returns(returns, days, evaluation.market_return(returns), 3, ESTIMATION, LEAST_DAYS)
+
+
 def _folds_sql(mode: str) -> str:
     start = "test_start - INTERVAL 18 MONTH" if mode == "rolling" else "lo"
     return f"""ends AS (SELECT min(Date) AS lo, max(Date) AS hi FROM bars_long),
