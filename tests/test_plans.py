@@ -28,6 +28,8 @@ def test_no_cross_joins_or_global_windows(spark, name):
 
 def test_library_collects_nothing():
     for file in PACKAGE.rglob("*.py"):
+        if "llm" in file.relative_to(PACKAGE).parts:  # the training-data operators have a test of their own
+            continue
         source = file.read_text()
         for banned in (".collect()", "toPandas", "localCheckpoint", "crossJoin", ".toLocalIterator"):
             assert banned not in source, (file, banned)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources import files
 
@@ -24,6 +25,22 @@ def test_bars_by_header(spark, tmp_path):
     assert (bad.Open, bad.Close) == (3.0, None)
 
 
+def test_header_names(value):
+    for line, names in [("a,b", ["a", "b"]), (",a,,", ["", "a", "", ""]), ('"a,b","c ""d""",e', ["a,b", 'c "d"', "e"]), ("", [""]), ('"",x', ["", "x"])]:
+        assert value(files.header_names(F.lit(line))) == names
+
+
+def test_files_are_read_once_whatever_their_headers(spark, tmp_path):
+    """Many layouts, an index column without a name and a repeated name; one scan for the headers and one for the rows."""
+    for i in range(12):
+        extra = "".join(f",x{j}" for j in range(i))
+        put(tmp_path / f"T{i}-USD", "a.csv", f",Close,Date{extra},Close\n0,{i}.5,2024-01-01{',' * i},9\n")
+    rows = files.read_bars(spark, f"{tmp_path}/*/*.csv")
+    assert {r.Ticker: r.Close for r in rows.collect()} == {f"T{i}-USD": i + 0.5 for i in range(12)}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert files.csv_by_header(spark, f"{tmp_path}/*/*.csv")[1][:3] == ["", "Close", "Date"]
+
+
 def test_universe_by_header(spark, tmp_path):
     put(tmp_path, "u.csv", "Ticker,Coin Name,X-Spot-Id\nBTC,Bitcoin,s1\n")
     row = files.read_universe(spark, str(tmp_path)).first()

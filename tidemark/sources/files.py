@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import csv
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -30,32 +28,35 @@ def file_name() -> Column:
     return F.url_decode(F.col("_metadata.file_name"))
 
 
+def header_names(header: Column) -> Column:
+    """Names in a CSV header line; quotes around a name go, doubled ones inside become one."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), header), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), bare(c)).otherwise(c))
+
+
 def csv_by_header(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Rows of CSV files as text, by the names in each file's own header; and all names that occur.
+    """Rows of CSV files as text, by the names in each file's own header; and all names that occur, sorted.
 
-    Files may order or lack columns as they like: those with the same header line are read together. The
-    header lines cost a pass over the first block of every file. Quotes are doubled inside quotes, which
-    may hold line breaks, so a file is read by one task. ``file_path`` is the file of a row.
+    Files may order or lack columns as they like: all are read once, by position, and a row's cells are looked up by the names of
+    its file. The header lines cost a pass over the first block of every file; what comes to the driver is one row
+    with the distinct names and the widest file. Of a name that a file repeats, the first column counts. Quotes are doubled inside
+    quotes, which may hold line breaks, so a file is read by one task. ``file_path`` is the file of a row.
     """
     lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
         F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("n"), "value"
     )
-    heads = lines.groupBy("file_path").agg(F.regexp_replace(F.min_by("value", "n"), "^\ufeff|\r$", "").alias("header"))
-    layouts = sorted(r.header for r in heads.select("header").distinct().collect())  # one row per layout
-    frames, names = [], []
-    for header in layouts:
-        columns = next(csv.reader([header]), [])
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-        reader = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True)
-        cells = {name: F.col(f"c{i}") for i, name in reversed(list(enumerate(columns)))}
-        rows = reader.csv(path).select(*(c.alias(n) for n, c in cells.items()), F.col("_metadata.file_path").alias("file_path"))
-        if len(layouts) > 1:
-            rows = rows.join(heads.where(F.col("header") == header).select("file_path"), "file_path", "left_semi")
-        frames.append(rows)
-        names += [c for c in columns if c not in names]
-    if not frames:
+    first = F.regexp_replace(F.min_by("value", "n"), "^\ufeff|\r$", "")
+    heads = lines.groupBy("file_path").agg(header_names(first).alias("_names"))
+    found = heads.agg(F.max(F.size("_names")).alias("width"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_names")))).alias("names")).first()
+    if not found.width:
         return spark.createDataFrame([], "file_path string"), []
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames), names
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(found.width)])
+    reader = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True)
+    cells = reader.csv(path).select(F.array(*schema.names).alias("_cells"), F.col("_metadata.file_path").alias("file_path"))
+    place = {n: F.array_position("_names", n).cast("int") - 1 for n in found.names}
+    values = [F.when(at >= 0, F.get("_cells", at)).alias(n) for n, at in place.items()]
+    return cells.join(heads, "file_path").select(*values, "file_path"), found.names
 
 
 def _typed(rows: DataFrame, schema: str) -> list[Column]:
