@@ -38,6 +38,34 @@ def test_constant_series_and_gaps(spark):
     assert graph.edges(graph.rolling_correlation(returns(spark, {"A": flat, "B": up}))).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_blocks_give_the_same_correlations(spark, block):
+    """With days missing at the ends and inside, constant windows, ties, a lone asset, and one with fewer days than a window."""
+    rng = np.random.default_rng(5)
+    table = {f"T{i}": rng.normal(size=90).tolist() for i in range(9)}
+    table["FLAT"], table["STEP"] = [0.1] * 90, [0.1] * 40 + [0.2] * 50
+    table["LATE"], table["GONE"] = [None] * 30 + rng.normal(size=60).tolist(), rng.normal(size=50).tolist()
+    table["GAPS"] = [None if rng.random() < 0.3 else x for x in rng.normal(size=90).tolist()]
+    table["HOLE"] = rng.normal(size=30).tolist() + [None] * 40 + rng.normal(size=20).tolist()
+    table["FEW"], table["COPY"] = [1.0, 2.0, 4.0], table["T0"]
+    frame = returns(spark, table)
+    want = {(r.a, r.b, r.Date): (r.rho, r.ra, r.rb) for r in graph.rolling_correlation(frame).where("abs(rho) >= 0.2").collect()}
+    rows = graph.block_correlation(frame, block=block).collect()
+    got = {(r.a, r.b, r.Date): (r.rho, r.ra, r.rb) for r in rows}
+    assert len(rows) == len(got) and set(got) == set(want) and len(want) > 1000
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_blocks_join_no_rows(spark):
+    frame = returns(spark, {"A": [1, 2, 3]})
+    text = graph.block_correlation(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text
+    odd = frame.selectExpr("Ticker", "Date", "if(Date > '2024-01-01', null, r) as r")
+    assert graph.block_correlation(odd).collect() == [] and graph.block_correlation(frame.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="threshold"):
+        graph.block_correlation(frame, 0)
+
+
 def test_edges_are_mirrored(spark):
     rhos = spark.sql("SELECT 'A' AS a, 'B' AS b, DATE'2024-01-01' AS Date, -0.2D AS rho, 1.0D AS ra, 3.0D AS rb")
     got = {(r.src, r.dst, r.dst_r) for r in graph.edges(rhos).collect()}

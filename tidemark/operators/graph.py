@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from tidemark.functions.numbers import ratio
 WINDOW_DAYS = 7
 EDGE_THRESHOLD = 0.2
 
+ASSETS_PER_BLOCK = 256
+WINDOWS_AT_ONCE = 32
+_PAIRS = "a string, b string, Date date, rho double, ra double, rb double"
+
 
 def rolling_correlation(returns: DataFrame, n: int = WINDOW_DAYS) -> DataFrame:
     """Correlation of every two assets over the last ``n`` days on which both have a return.
@@ -28,6 +37,103 @@ def rolling_correlation(returns: DataFrame, n: int = WINDOW_DAYS) -> DataFrame:
     return full.select("a", "b", "Date", F.when(F.col("rho").isNotNull(), F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))).alias("rho"), "ra", "rb")
 
 
+class _Block:
+    """Returns of some assets on the days of a grid, and the standardised windows of those without a gap inside."""
+
+    def __init__(self, series: list[tuple[str, np.ndarray, np.ndarray]], grid: np.ndarray, n: int):
+        self.names = np.array([name for name, _, _ in series], object)
+        self.r = np.full((len(grid), len(series)), np.nan)
+        for column, (_, days, r) in enumerate(series):
+            self.r[np.searchsorted(grid, days), column] = r
+        held = ~np.isnan(self.r)
+        first, last = held.argmax(0), len(grid) - held[::-1].argmax(0)
+        self.gaps = held.sum(0) < last - first
+        self.n = n
+
+    def windows(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that end on the days ``start`` to ``end`` of the grid as unit vectors, and which of them are whole and not constant."""
+        view = np.lib.stride_tricks.sliding_window_view(self.r[start - self.n + 1 : end], self.n, axis=0)
+        return _unit(view)
+
+
+def _unit(view: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last axis centred and scaled to length 1, zeros where it can't be; and where it can."""
+    good = ~np.isnan(view).any(-1) & (view.max(-1) != view.min(-1))
+    centred = np.where(good[..., None], view - view.mean(-1, keepdims=True), 0.0)
+    return centred / np.where(good, np.sqrt((centred * centred).sum(-1)), 1.0)[..., None], good
+
+
+def _block_pairs(left: _Block, right: _Block, grid: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Correlations of the assets of two blocks from the threshold on; of one block with itself each pair once."""
+    n, upper = left.n, left.names[:, None] < right.names[None, :]
+    wanted = upper if left is right else np.ones_like(upper)
+    whole = wanted & ~left.gaps[:, None] & ~right.gaps[None, :]
+
+    def rows(a, b, day, rho):
+        ra, rb, names_a, names_b = left.r[day, a], right.r[day, b], left.names[a], right.names[b]
+        turn = ~upper[a, b]
+        ra, rb = np.where(turn, rb, ra), np.where(turn, ra, rb)
+        names_a, names_b = np.where(turn, names_b, names_a), np.where(turn, names_a, names_b)
+        values = [pa.array(names_a, pa.string()), pa.array(names_b, pa.string()), pa.array(grid[day], pa.int32()).cast(pa.date32())]
+        return pa.RecordBatch.from_arrays([*values, *map(pa.array, (np.clip(rho, -1, 1), ra, rb))], names=["a", "b", "Date", "rho", "ra", "rb"])
+
+    for start in range(n - 1, len(grid), WINDOWS_AT_ONCE):
+        end = min(start + WINDOWS_AT_ONCE, len(grid))
+        (x, x_good), (y, y_good) = left.windows(start, end), right.windows(start, end)
+        rho = x @ y.transpose(0, 2, 1)
+        day, a, b = np.nonzero((np.abs(rho) >= threshold) & whole & x_good[:, :, None] & y_good[:, None, :])
+        if len(day):
+            yield rows(a, b, day + start, rho[day, a, b])
+    # Where an asset has gaps, the last common days are those of the pair.
+    for a, b in zip(*np.nonzero(wanted & ~whole)):
+        days = np.flatnonzero(~np.isnan(left.r[:, a]) & ~np.isnan(right.r[:, b]))
+        if len(days) >= n:
+            (x, x_good), (y, y_good) = (_unit(np.lib.stride_tricks.sliding_window_view(r[days], n)) for r in (left.r[:, a], right.r[:, b]))
+            rho = (x * y).sum(-1)
+            hit = np.flatnonzero((np.abs(rho) >= threshold) & x_good & y_good)
+            if len(hit):
+                yield rows(np.full(len(hit), a), np.full(len(hit), b), days[hit + n - 1], rho[hit])
+
+
+def block_correlation(
+    returns: DataFrame, threshold: float = EDGE_THRESHOLD, n: int = WINDOW_DAYS, block: int = ASSETS_PER_BLOCK
+) -> DataFrame:
+    """The pairs of :func:`rolling_correlation` whose correlation is at least ``threshold`` in size, without a join of rows.
+
+    An asset's days become one row; assets are dealt to blocks of about ``block``, and every two blocks meet in one task, where the
+    correlations of a span of days are one matrix product of standardised windows. Only pairs over the threshold leave the task. A
+    series is sent once per block instead of a row per asset and day. Pairs with an asset that has days missing inside
+    its life are taken one by one. NULL returns are missing days; constant windows have no correlation; ``returns`` holds a row per asset and day.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold above 0, or use rolling_correlation")
+    kept = returns.where("r is not null and not isnan(r) and Ticker is not null and Date is not null")
+    points = F.array_sort(F.collect_list(F.struct("Date", "r")))
+    series = kept.groupBy("Ticker").agg(points["Date"].alias("days"), points["r"].alias("rs"))
+    blocks = F.ceil(kept.agg(F.count_distinct("Ticker")).scalar() / block).cast("int")
+    mine = F.pmod(F.xxhash64("Ticker"), F.greatest(blocks, F.lit(1))).cast("int")
+    met = series.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
+    met = met.select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "Ticker", "days", "rs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+                for at, (p, q, own, ticker) in enumerate(keys):
+                    days = batch.column(4)[at].values.cast(pa.int32()).to_numpy()
+                    yield (p, q), own, (ticker, days, batch.column(5)[at].values.to_numpy())
+
+        for (p, q), members in groupby(rows(), key=lambda row: row[0]):
+            sides: dict[int, list] = {p: [], q: []}
+            for _, own, one in members:
+                sides[own].append(one)
+            grid = np.unique(np.concatenate([days for side in sides.values() for _, days, _ in side]))
+            made = {own: _Block(side, grid, n) for own, side in sides.items()}
+            yield from _block_pairs(made[p], made[q], grid, threshold)
+
+    return met.repartition("p", "q").sortWithinPartitions("p", "q", "mine").mapInArrow(run, _PAIRS)
+
+
 def edges(correlations: DataFrame, threshold: float = EDGE_THRESHOLD) -> DataFrame:
     """Pairs at or above the threshold, in both directions."""
     strong = correlations.where(F.abs("rho") >= threshold)

@@ -55,6 +55,14 @@ def corr_edges(t: Tables):
     return _rounded(graph.edges(_correlations(t)), "rho").select("src", "dst", "Date", "rho")
 
 
+@query("block_corr", with_entities(f"""
+, {_PAIRS}, {_EDGES} SELECT src, dst, CAST(Date AS VARCHAR) AS Date, round(rho, 6) AS rho FROM edges""", "bars"))
+def block_corr(t: Tables):
+    """The same edges from matrix products; two assets per block, so that blocks meet on small tables, too."""
+    found = graph.block_correlation(bars_ops.daily_returns(t.bars), block=2)
+    return _rounded(graph.edges(found), "rho").select("src", "dst", "Date", "rho")
+
+
 @query("neighbor_mean", with_entities(f"""
 , {_PAIRS}, {_EDGES} SELECT src AS Ticker, CAST(Date AS VARCHAR) AS Date, count(*) AS degree,
   round(avg(dst_r), 6) AS neighbour_r, round(sum(rho * dst_r) / sum(abs(rho)), 6) AS weighted_r

@@ -10,6 +10,7 @@ from tidemark.operators import bars as bars_ops
 from tidemark.operators import comments as comment_ops
 from tidemark.operators import master as master_ops
 from tidemark.operators import sentiment as sent
+from tidemark.operators import wordpiece
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
 from tidemark.schemas import RAW_COMMENT
@@ -150,6 +151,48 @@ def text_chunks(t: Tables):
     return rows.select("doc_id", "chunk_no", F.size("c").alias("n_tokens"), F.array_join("c", " ").alias("chunk"))
 
 
+# A vocabulary from the texts themselves: letters (but x and 7), words and endings that make up a fixed share of all words, so that
+# their number is bounded whatever the data.
+_PIECES = """
+words AS (SELECT doc_id, unnest(list_filter(string_split(lower({clean}), ' '), lambda w: w <> '')) AS word FROM documents),
+uses AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+letters AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM uses),
+endings AS (SELECT right(word, 3) AS e, sum(n) AS n FROM uses WHERE length(word) >= 4 GROUP BY 1),
+vocabulary AS (SELECT c AS token FROM letters WHERE c NOT IN ('x', '7') UNION SELECT '##' || c FROM letters WHERE c NOT IN ('x', '7')
+  UNION SELECT word FROM uses WHERE n * 5000 > (SELECT sum(n) FROM uses) UNION SELECT '##' || e FROM endings WHERE n * 1000 > (SELECT sum(n) FROM uses)),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM uses WHERE length(word) <= 100),
+spans AS (SELECT word, pos, unnest(range(1, least(length(word) - pos + 2, 25))) AS len FROM places),
+best AS (SELECT word, pos, max(len) AS len FROM spans JOIN vocabulary ON token = CASE WHEN pos = 1 THEN '' ELSE '##' END || substr(word, pos, len) GROUP BY word, pos),
+walk AS (SELECT word, CAST(1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS p FROM uses
+  UNION ALL SELECT w.word, w.pos + b.len, list_append(p, CASE WHEN w.pos = 1 THEN '' ELSE '##' END || substr(w.word, w.pos, b.len))
+  FROM walk w JOIN best b ON b.word = w.word AND b.pos = w.pos),
+cut AS (SELECT word, coalesce(max(p) FILTER (pos = length(word) + 1), ['[UNK]']) AS p FROM walk GROUP BY word),
+numbered AS (SELECT doc_id, row_number() OVER () AS i, word FROM words),
+texts AS (SELECT doc_id, flatten(list(p ORDER BY i)) AS p FROM numbered JOIN cut USING (word) GROUP BY doc_id),
+chunks AS (SELECT doc_id, unnest(range(0, CAST(ceil(len(p) / 462.0) AS BIGINT))) AS chunk_no, p FROM texts)"""
+
+
+def piece_vocabulary(t: Tables):
+    """Letters, frequent words and frequent endings of the cleaned texts."""
+    words = t.documents.select(F.explode(text.tokens(F.lower(text.clean_social(F.col("text"))))).alias("word"))
+    uses = words.groupBy("word").agg(F.count("*").alias("n"))
+    total = uses.agg(F.sum("n"))
+    letters = uses.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> '' and c not in ('x', '7')").distinct()
+    endings = uses.where("length(word) >= 4").groupBy(F.right("word", F.lit(3)).alias("e")).agg(F.sum("n").alias("n"))
+    often = uses.where(F.col("n") * 5000 > total.scalar()).select(F.col("word").alias("token"))
+    ends = endings.where(F.col("n") * 1000 > total.scalar()).select(F.concat(F.lit("##"), "e"))
+    return often.union(ends).union(letters).union(letters.select(F.concat(F.lit("##"), "c")))
+
+
+@query("wordpiece_chunks", f"""
+WITH RECURSIVE {_PIECES.format(clean=social_sql('text'))}
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(p[chunk_no * 462 + 1:chunk_no * 462 + 512]) AS INTEGER) AS n_pieces,
+  replace(array_to_string(list_filter(p[chunk_no * 462 + 1:chunk_no * 462 + 512], lambda x: x <> '[UNK]'), ' '), ' ##', '') AS chunk FROM chunks""")
+def wordpiece_chunks(t: Tables):
+    rows = t.documents.select("doc_id", text.clean_social(F.col("text")).alias("clean"))
+    return wordpiece.wordpiece_chunks(rows, "doc_id", "clean", piece_vocabulary(t))
+
+
 # -- sentiment --------------------------------------------------------------------------------
 
 
