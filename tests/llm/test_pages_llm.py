@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -119,6 +120,42 @@ def test_main_text(source, expected):
     assert html_main.main_text(source) == expected
 
 
+TEXT = LONG.strip()
+REMARK = "I do not agree, at all, with what is said here, and would rather, if I may, add much more, as follows. " * 3
+
+
+@pytest.mark.parametrize(("source", "expected"), [
+    # readers' comments, in the layouts of blogs
+    (f"<article><p>{LONG}</p></article><div id='comments'><ol class='comment-list'><li><article class='comment-body'><p>{REMARK}</p></article></ol></div>", TEXT),
+    (f"<div class='post'><p>{LONG}</p></div><div id='comments'><article class='comment-body'><p>{REMARK}</p></article></div>", TEXT),
+    (f"<article class='post comments-open'><p>{LONG}</p><article class='comment'><p>{REMARK}</p></article><p>end</p></article>", TEXT + "\nend"),
+    (f"<main><article><p>{LONG}</p></article><article id='comment-7' class='comment'><p>{REMARK}</p></article></main>", TEXT),
+    # several articles, and one around others
+    (f"<div><article><p>{LONG}</p></article><article><p>{LONG}b</p></article><article><a href=x>more</a></article></div>", TEXT + "\n" + TEXT + " b"),
+    (f"<article><h2>T</h2><article><p>{LONG}</p></article><p>end</p></article>", "T\n" + TEXT + "\nend"),
+    # what is closed by itself or never
+    (f"<article><svg viewBox='0'/><p>{LONG}</p><svg><path d='x'/><text>no</text></svg><p>b</p></article>", TEXT + "\nb"),
+    (f"<article><button>Click <p>{LONG}</p><select><option>x<p>b</p><svg><p>c</p></article>", TEXT + "\nb\nc"),
+    # inline elements that are not shown
+    (f"<article><p>a <span style='display: none'>no <span>no</span> no</span>b <span class='advert'>no</span><ins class='adsbygoogle'>no</ins>c</p><p><i hidden>no</p><p>{LONG}</p></article>", "a b c\n" + TEXT),
+    # an element named for its content is taken whole
+    (f"<div class='content'><section><p>{LONG * 4}</p></section><section><h2>H</h2><p>short</p></section><ul><li>one<li>two</ul></div><div><p>x</p></div>",
+     (LONG * 4).strip() + "\nH\nshort\none\ntwo"),
+    (f"<div><div><p>{LONG * 4}</p></div><ul><li>one of the list, not short</li></ul><ul><li><a href=x>menu of links and links</a></ul></div>", (LONG * 4).strip() + "\none of the list, not short"),
+])
+def test_what_is_text_and_what_is_not(source, expected):
+    assert html_main.main_text(f"<html><body>{source}</body></html>") == expected
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "section", "li", "ul><li", "span", "table><tr><td"])
+def test_deep_nesting_is_linear(tag):
+    """Elements that are never closed, text at every level, and end tags that fit nothing."""
+    started = time.time()
+    source = f"<{tag}>word, " * 20_000 + "</main></h3></dl>" * 5000
+    assert html_main.main_text(source).count("word") >= 1
+    assert time.time() - started < 10
+
+
 @pytest.mark.parametrize("name", [
     "content has-sidebar", "content no-sidebar", "container nav-open", "entry social-science", "story navy", "related-work", "wrapper sidebar",
 ])
