@@ -16,6 +16,7 @@ from tidemark import schemas
 from tidemark.functions.json_text import flat_json
 from tidemark.operators.common import only_best
 from tidemark.operators.news import search_docs, unify_articles
+from tidemark.sources.json_split import array_elements
 
 
 def folder_name() -> Column:
@@ -89,7 +90,7 @@ def read_bars(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def _whole_files(spark: SparkSession, glob: str, pattern: str) -> DataFrame:
-    """One row per file. A JSON array cannot be split; write large feeds to Parquet once after reading."""
+    """One row per file, which must fit into a task; :func:`split_records` reads files of any size."""
     text = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(glob)
     return text.select(folder_name().alias("Ticker"), file_name().alias("file"), "value")
 
@@ -138,11 +139,18 @@ def json_records(files: DataFrame) -> DataFrame:
     return files.select("Ticker", "file", "value").mapInArrow(cut, "Ticker string, file string, idx long, record string, error string")
 
 
+def split_records(spark: SparkSession, glob: str, pattern: str, keep: Column | None = None) -> DataFrame:
+    """The columns of :func:`json_records`, from files that are read in ranges: a file of any size is the work of many tasks."""
+    rows = array_elements(spark, glob, pattern, keep)
+    file = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    return rows.select(folder_of(F.col("path")).alias("Ticker"), file.alias("file"), "idx", "record", "error")
+
+
 def _comment_records(spark: SparkSession, folders: str, raw: bool, pattern: str) -> DataFrame:
-    files = _whole_files(spark, folders, pattern).where(~F.col("file").contains("_merge_"))
+    merged = F.element_at(F.split("path", "/"), -1).contains("_merge_")
     schema = f"struct<{schemas.RAW_COMMENT if raw else schemas.COMMENT}, _corrupt_record: string>"
     parsed = F.from_json("record", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = json_records(files).withColumn("c", parsed)
+    rows = split_records(spark, folders, pattern, ~merged).withColumn("c", parsed)
     broken = F.when(F.col("c._corrupt_record").isNotNull() | F.col("c").isNull(), "not a comment")
     return rows.withColumn("error", F.coalesce("error", broken))
 
@@ -167,7 +175,7 @@ def read_comment_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _day_records(spark: SparkSession, folders: str, pattern: str) -> DataFrame:
-    rows = json_records(_whole_files(spark, folders, pattern))
+    rows = split_records(spark, folders, pattern)
     # Names are told apart by case; files have either.
     text = F.coalesce(F.get_json_object("record", "$.Date"), F.get_json_object("record", "$.date"))
     comments = F.from_json(F.get_json_object("record", "$.comments"), f"array<struct<{schemas.COMMENT}>>")
@@ -187,7 +195,7 @@ def unreadable_days(spark: SparkSession, folders: str, pattern: str = "*_merge_c
 
 
 def _article_records(spark: SparkSession, folders: str, pattern: str) -> DataFrame:
-    rows = json_records(_whole_files(spark, folders, pattern)).withColumn("Ticker", ticker_of_news_file(F.col("file")))
+    rows = split_records(spark, folders, pattern).withColumn("Ticker", ticker_of_news_file(F.col("file")))
     broken = F.when(~F.coalesce(F.schema_of_variant(F.try_parse_json("record")).startswith("OBJECT"), F.lit(False)), "not an article")
     return rows.withColumn("error", F.coalesce("error", broken))
 
