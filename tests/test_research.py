@@ -179,3 +179,37 @@ def test_fused_rows_mark_absent_blocks(spark):
     frame = spark.sql("SELECT 1.5D AS a, CAST(NULL AS INT) AS b, CAST(NULL AS DOUBLE) AS c")
     row = features.fuse(frame, {"one": ["a", "b"], "two": ["c"]}).first()
     assert (row.x, row.has_one, row.has_two) == ([1.5, 0.0, 0.0], 1, 0)
+
+
+def smoothed(table, links, mixing, hops):
+    """The same hops as matrix products."""
+    names = sorted(table)
+    weights = np.zeros((len(names),) * 2)
+    for a, b, rho in links:
+        weights[names.index(a), names.index(b)] += abs(rho)
+    own = np.array([table[n] for n in names])
+    total = weights.sum(1)
+    x = own
+    for _ in range(hops):
+        mean = np.divide(weights @ x, total, out=own.copy(), where=total > 0)
+        x = np.where(total > 0, (1 - mixing) * own + mixing * mean, own)
+    return dict(zip(names, x, strict=True))
+
+
+def test_values_spread_until_they_settle(spark):
+    draw = np.random.default_rng(8)
+    names = [f"T{i}" for i in range(12)]
+    table = {n: float(x) for n, x in zip(names, draw.normal(size=12))}
+    links = [(a, b, float(draw.uniform(-1, 1))) for i, a in enumerate(names[:11]) for b in names[i + 1 : 11] if a == "T0" or draw.random() < 0.3]
+    links += [(b, a, rho) for a, b, rho in links]  # T0 is a hub, T11 has no neighbour
+    frame = spark.createDataFrame([(a, b, START, rho) for a, b, rho in links], "src string, dst string, Date date, rho double")
+    values = spark.createDataFrame([(n, START, x) for n, x in table.items()] + [("NONE", START, None)], "Ticker string, Date date, r double")
+    rows = graph.graph_smooth(frame, values, 0.5, 1e-9).collect()
+    hops = rows[0].hops
+    assert 5 < hops < 50 and {r.Ticker: r.smooth for r in rows} == pytest.approx(smoothed(table, links, 0.5, 200), abs=1e-8)
+    two = graph.graph_smooth(frame, values, 0.8, 0.0, most_hops=2).collect()
+    assert {r.hops for r in two} == {2} and {r.Ticker: r.smooth for r in two} == pytest.approx(smoothed(table, links, 0.8, 2))
+    alone = graph.graph_smooth(frame.limit(0), values).collect()
+    assert {r.Ticker: r.smooth for r in alone} == pytest.approx(table) and alone[0].hops == 1
+    with pytest.raises(ValueError, match="mixing"):
+        graph.graph_smooth(frame, values, 1.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, html, text
+from tidemark.operators import keywords
 from tidemark.operators import master as master_ops
 from tidemark.operators import news as news_ops
 from tidemark.operators import pages as page_ops
@@ -69,6 +70,17 @@ def event_keyword_counts(t: Tables):
     return news_ops.keyword_counts(t.articles, TEST_KEYWORDS)
 
 
+@query("keyword_automaton", """
+WITH vocabulary AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS keyword FROM benchmark),
+usable AS (SELECT keyword FROM vocabulary WHERE regexp_full_match(keyword, '\\p{L}+') AND length(keyword) > 2),
+words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS keyword FROM documents)
+SELECT keyword, count(DISTINCT doc_id) AS texts, count(*) AS hits FROM words JOIN usable USING (keyword) GROUP BY keyword""")
+def keyword_automaton(t: Tables):
+    """Every word of the benchmark as a keyword of the documents."""
+    vocabulary = t.benchmark.select(F.explode(F.split(F.lower("text"), f"[^{text.WORD}]+")).alias("keyword"))
+    return keywords.hit_counts(keywords.keyword_hits(t.documents, "doc_id", "text", vocabulary), "doc_id")
+
+
 @query("daily_event", with_entities(f"""
 , {ARTICLE_TEXTS}, {NEWS_FLAGS} SELECT Ticker, CAST(Date AS VARCHAR) AS Date, Event_Flag FROM flags""", "articles"))
 def daily_event(t: Tables):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import listing
 from tidemark.operators import macro as macro_ops
 from tidemark.operators import pages as page_ops
+from tidemark.operators import scan
 from tidemark.operators import universe as universe_ops
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
@@ -59,6 +60,18 @@ def macro_ffill(t: Tables):
     return macro_ops.monthly_table(t.macro_long, TEST_SERIES)
 
 
+@query("carried_fill", with_entities("""
+, spine AS (SELECT date, series_id FROM (SELECT DISTINCT date FROM macro_long), (SELECT DISTINCT series_id FROM macro_long))
+SELECT s.series_id, CAST(s.date AS VARCHAR) AS date, last_value(value IGNORE NULLS) OVER (PARTITION BY s.series_id ORDER BY s.date) AS value
+FROM spine s LEFT JOIN macro_long m ON m.series_id = s.series_id AND m.date = s.date""", "macro_long"))
+def carried_fill(t: Tables):
+    """Every series on every date, filled by a scan over ranges of the dates."""
+    ids = list(TEST_SERIES.values())
+    spine = t.macro_long.select("date").distinct().withColumn("series_id", F.explode(F.array(*map(F.lit, ids))))
+    gaps = spine.join(t.macro_long, ["series_id", "date"], "left")
+    return scan.carried_fill(gaps, ["series_id"], "date", ["value"], ranges=12).select("series_id", "date", "value")
+
+
 @query("macro_asof", with_entities(f"""
 , {MACRO_FILLED} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(f.date AS VARCHAR) AS macro_date, {', '.join(TEST_SERIES)}
 FROM bars_long b ASOF LEFT JOIN filled f ON b.Date >= f.date + 10""", "bars_long", "macro_long"))

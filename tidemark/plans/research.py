@@ -11,7 +11,7 @@ from tidemark.operators import baselines, evaluation, features, graph
 from tidemark.operators import macro as macro_ops
 from tidemark.operators import master as master_ops
 from tidemark.operators import news as news_ops
-from tidemark.operators import portfolio
+from tidemark.operators import portfolio, scan
 from tidemark.plans.press import ARTICLE_TEXTS, NEWS_DAILY, NEWS_FLAGS, NEWS_SCORED, TEST_KEYWORDS, press_features
 from tidemark.plans.reference_data import MACRO_FILLED, TEST_SERIES
 from tidemark.plans.registry import query
@@ -71,6 +71,22 @@ def neighbor_mean(t: Tables):
     return _rounded(graph.neighbour_mean(graph.edges(_correlations(t))), "neighbour_r", "weighted_r")
 
 
+def _hop(i: int) -> str:
+    return f"""h{i} AS (SELECT o.Ticker, o.Date, o.r, CASE WHEN sum(abs(e.rho)) IS NULL THEN o.r
+  ELSE 0.5 * o.r + 0.5 * sum(abs(e.rho) * h.x) / sum(abs(e.rho)) END AS x
+  FROM returns o LEFT JOIN (edges e JOIN h{i - 1} h ON h.Ticker = e.dst AND h.Date = e.Date) ON e.src = o.Ticker AND e.Date = o.Date GROUP BY o.Ticker, o.Date, o.r)"""
+
+
+@query("graph_smooth", with_entities(f"""
+, {_PAIRS}, {_EDGES}, h0 AS (SELECT Ticker, Date, r, r AS x FROM returns), {', '.join(_hop(i) for i in (1, 2, 3))}
+SELECT Ticker, CAST(Date AS VARCHAR) AS Date, round(x, 6) AS smooth FROM h3""", "bars"))
+def graph_smooth(t: Tables):
+    """Returns after three hops over the correlation graph of their day."""
+    returns = bars_ops.daily_returns(t.bars)
+    found = graph.graph_smooth(graph.edges(_correlations(t)), returns, tolerance=0.0, most_hops=3)
+    return _rounded(found.select("Ticker", "Date", "smooth"), "smooth")
+
+
 TAUS, CREDS = [0.0, 0.1, 0.2, 0.3, 0.5], [0.4, 0.5, 0.6, 0.7, 0.8]
 
 
@@ -287,6 +303,14 @@ def cvar_reward(t: Tables):
     return _rounded(portfolio.tail_reward(_net(t), LAMBDAS), "reward")
 
 
+@query("wealth_curve", with_entities(f"""
+, {_NET}, wealth AS (SELECT *, sum(ln(1 + net)) OVER (PARTITION BY K ORDER BY Date) AS l FROM net),
+peaks AS (SELECT *, greatest(max(l) OVER (PARTITION BY K ORDER BY Date), 0) AS p FROM wealth)
+SELECT CAST(K AS INTEGER) AS K, CAST(Date AS VARCHAR) AS Date, round(exp(l - p) - 1, 6) AS fall FROM peaks""", "bars_long"))
+def wealth_curve(t: Tables):
+    return _rounded(scan.wealth_curve(_net(t), ranges=16).select("K", "Date", "fall"), "fall")
+
+
 # -- evaluation -------------------------------------------------------------------------------
 
 REGIMES = [
