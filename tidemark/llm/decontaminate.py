@@ -19,13 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, sliced
+from tidemark.llm.common import cut, free_name, sliced, written
 from tidemark.llm.near_dedup import text_key
 
 WINDOW = 10
 DOCUMENTS_PER_ROW = 512
 BYTES_PER_ROW = 4 << 20  # of text, after which a row is closed
 BLOCK_WORDS = 500_000  # of the test set, looked up at a time
+PIECE_WORDS = 20_000  # of an item, kept together
 
 # A-Z to a-z; ASCII characters that are no letter or digit to a space.
 _FOLD = bytes(
@@ -93,33 +94,62 @@ def build_index(documents: DataFrame, gap: int = 4 * WINDOW) -> DataFrame:
     return cut(documents.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text"))).mapInArrow(run, _INDEX))
 
 
-def test_blocks(items: DataFrame, window: int, words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Windows of the test set (``item_id``, ``text``) with the item's name, in blocks of about ``words`` words.
+def test_pieces(items: DataFrame, window: int) -> DataFrame:
+    """``bucket_key, name, words, n``: the test set (``item_id``, ``text``) in pieces of bounded size that hold each of its windows once.
 
-    Items without words have no window; a null ``item_id`` is named ``null``.
+    ``words`` are joined by blanks, ``n`` counts them. Items without words have no piece; a null ``item_id`` is named ``null``.
     """
-    block, size = [], 0
-    for item_id, text in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        found = words_of(text)
-        for start in range(max(1, len(found) - window + 1) if found else 0):
-            block.append(("null" if item_id is None else item_id, found[start : start + window]))
-            size += window
-        if size >= words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+
+    def run(batches):
+        for batch in sliced(batches):
+            rows = {"bucket_key": [], "name": [], "words": [], "n": []}
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = words_of(text)
+                for start in range(0, max(1, len(found) - window + 1) if found else 0, PIECE_WORDS):
+                    piece = found[start : start + PIECE_WORDS + window - 1]
+                    rows["bucket_key"].append(start)
+                    rows["name"].append("null" if name is None else name)
+                    rows["words"].append(b" ".join(piece))
+                    rows["n"].append(len(piece))
+            types = [pa.int64(), pa.string(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+
+    return items.select(F.col("item_id").cast("string").alias("name"), "text").mapInArrow(run, "bucket_key long, name string, words binary, n long")
+
+
+def test_blocks(items: DataFrame, window: int, words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+    """Pieces of the test set in blocks of about ``words`` words, which the driver holds and broadcasts one at a time.
+
+    Tasks cut the pieces and count words per bucket; the driver sees one row per bucket (four a block), then the rows of
+    the buckets that fill a block.
+    """
+    pieces = written(test_pieces(items, window), "test-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    buckets = max(16, 4 * (total // words + 1))
+    bucket = F.pmod(F.xxhash64("name", "bucket_key", "words"), F.lit(buckets))
+    sizes = sorted(tuple(r) for r in pieces.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).limit(buckets).collect())
+    start, held = 0, 0
+    for i, (number, n) in enumerate(sizes):
+        held += n
+        if held >= words or i == len(sizes) - 1:
+            block = pieces.where(bucket.between(start, number)).select("name", "words")
+            yield [(r.name, bytes(r.words)) for r in block.limit(held).collect()]  # a piece has a word at least
+            start, held = number + 1, 0
 
 
 class _Windows:
     """The windows of a block, their terms numbered, grouped by length."""
 
-    def __init__(self, windows: list[tuple[str, list[bytes]]]):
+    def __init__(self, pieces: list[tuple[str, bytes]], window: int):
         self.numbers = _Numbers()
-        self.by_length: dict[int, tuple[np.ndarray, list[str]]] = {}
-        for length in sorted({len(w) for _, w in windows}):
-            own = [(name, [self.numbers[x] for x in w]) for name, w in windows if len(w) == length]
-            self.by_length[length] = np.array([w for _, w in own]), [name for name, _ in own]
+        rows: dict[int, list[np.ndarray]] = {}
+        names: dict[int, list[str]] = {}
+        for name, words in pieces:
+            ids = np.array([self.numbers[x] for x in words.split(b" ")])
+            own = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+            rows.setdefault(own.shape[1], []).append(own)
+            names.setdefault(own.shape[1], []).extend([name] * len(own))
+        self.by_length = {length: (np.concatenate(rows[length]), names[length]) for length in sorted(rows)}
 
 
 def _found(windows: _Windows, terms: bytes, counts: bytes, postings: bytes, slack: int) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -151,12 +181,12 @@ def _found(windows: _Windows, terms: bytes, counts: bytes, postings: bytes, slac
                 yield names[w], length, at
 
 
-def matches(index: DataFrame, windows: list[tuple[str, list[bytes]]], slack: int = 0, gap: int = 4 * WINDOW) -> DataFrame:
+def matches(index: DataFrame, pieces: list[tuple[str, bytes]], window: int = WINDOW, slack: int = 0, gap: int = 4 * WINDOW) -> DataFrame:
     """``block, place, items, spans`` of every document with a window in it; spans are ``[start, end)`` of words."""
-    shared = index.sparkSession.sparkContext.broadcast(windows)
+    shared = index.sparkSession.sparkContext.broadcast(pieces)  # a block: each word once, windows are cut in the tasks
 
     def run(batches):
-        ready = _Windows(shared.value)
+        ready = _Windows(shared.value, window)
         for batch in sliced(batches, 4):
             rows = {"block": [], "place": [], "items": [], "spans": []}
             for block, n_words, *packed in zip(*batch.columns, strict=True):
@@ -192,7 +222,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     """
     gap = 2 * (window + slack) + 2
     index = build_index(documents, gap)
-    parts = [cut(matches(index, block, slack, gap)) for block in test_blocks(items, window, block_words)]
+    parts = [cut(matches(index, block, window, slack, gap)) for block in test_blocks(items, window, block_words)]
     rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("place", "row")).select(
         "block", F.col("place").cast("long").alias("place"), F.col("row.doc_ids").alias("doc_id"),
         F.col("row.text_keys").alias("text_key"), F.col("row.n_words").alias("n_words"),
