@@ -9,7 +9,7 @@ pattern has a posterior probability of being good.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +137,8 @@ USUAL = {GOOD: 0.96, BAD: 0.01, DOUBTFUL: 0.03}  # votes on a good document, bef
 UNSEEN = 0.005  # part of the bad documents in which no rule finds fault though all of them vote
 HELD = 2.0  # the odds that the beliefs about a pattern's faults keep, at most
 ROUNDS = 100
+STARTING_SHARES = (0.05, 0.15, 0.3, 0.5, 0.7)  # of bad documents, at the starts of the independent model
+INDEPENDENT_ROUNDS = 5  # times as many for the independent model, which converges slowly where rules err often
 
 
 def _logit(p: float) -> float:
@@ -163,18 +165,125 @@ def _trusted(rule: int, counts: Mapping[tuple[int, ...], int]) -> bool:
 
 
 def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior probability of good for each pattern of votes, from the patterns' counts.
+    """Posterior probability of good for each pattern of votes, from the patterns' counts; patterns are at most 4 to the number of rules.
 
-    Expectation-maximisation: by turns, the documents' posteriors follow from how likely each vote of each rule is
-    on good documents and on each kind of bad ones, and these likelihoods from the posteriors. There are as many
-    kinds of bad documents as rules, one for the fault that each sees, as junk of one kind often pleases all other rules.
+    Two models are fitted by expectation-maximisation. In one, all rules judge independently, each with its own accuracy on good and on bad documents:
+    lone bad votes of rules that err often are outvoted. In the other bad documents are of kinds, one for
+    the fault that each rule sees, and rules for other faults are pleased with them: then bad votes hardly meet, and that they don't is no
+    evidence against them. The first is taken where it makes the counts likelier, for its number of parameters (AIC), than the
+    second and than the strict form of that, in which a rule that sees nothing votes as on good documents. A missing vote says nothing.
+    """
+    if not sum(counts.values()):
+        return {}
+    rules, most = len(next(iter(counts))), len(counts) - 1  # no model can use more parameters than tell the patterns apart
+    free = sum(max(len({p[rule] for p in counts} - {NO_VOTE}) - 1, 0) for rule in range(rules))
+    best, fit = _kinds_model(counts, rounds)
+    score = max(fit - min((rules + 1) * free + rules, most), _exclusive_fit(counts, rounds) - min(2 * free + rules, most))
+    for start in _starts(counts):
+        independent, fit = _independent_model(counts, start, rounds)
+        fit -= min(2 * free + 1, most)
+        if independent and fit > score:
+            best, score = independent, fit
+    return best
+
+
+def _starts(counts: Mapping[tuple[int, ...], int]) -> Iterator[dict[tuple[int, ...], float]]:
+    """First posteriors of good for the independent model: the documents with most fault found, for several shares of bad ones."""
+    if len(next(iter(counts))) < 3:
+        return  # two rules' accuracies can't be told from their agreement
+
+    def fault(p: tuple[int, ...]) -> float:
+        cast = [vote for vote in p if vote != NO_VOTE]
+        return sum(BELIEF.get(vote, 0.0) for vote in cast) / len(cast) if cast else 0.0
+
+    ordered = sorted(counts, key=lambda p: (-fault(p), p))
+    total = sum(counts.values())
+    for share in STARTING_SHARES:
+        good, seen = {}, 0
+        for p in ordered:
+            good[p] = 0.1 if seen < share * total else 0.9
+            seen += counts[p]
+        yield good
+
+
+def _independent_model(
+    counts: Mapping[tuple[int, ...], int], good: dict[tuple[int, ...], float], rounds: int
+) -> tuple[dict[tuple[int, ...], float], float]:
+    """Posteriors and log-likelihood of two classes with independent votes; nothing if hardly a rule tells them apart the right way round.
+
+    Each rule's votes on a class keep one document of a weak belief that all votes can happen.
+    """
+    n_rules, total = len(next(iter(counts))), sum(counts.values())
+    cast = {p: [(rule, vote) for rule, vote in enumerate(p) if vote != NO_VOTE] for p in counts}
+    fit = -math.inf
+    for _ in range(INDEPENDENT_ROUNDS * rounds):
+        votes = [{(rule, vote): 1 / 3 for rule in range(n_rules) for vote in (GOOD, BAD, DOUBTFUL)} for _ in range(2)]
+        for p, n in counts.items():
+            for key in cast[p]:
+                votes[0][key] += n * good[p]
+                votes[1][key] += n * (1 - good[p])
+        for one in votes:
+            for rule in range(n_rules):
+                whole = sum(one[rule, vote] for vote in (GOOD, BAD, DOUBTFUL))
+                for vote in (GOOD, BAD, DOUBTFUL):
+                    one[rule, vote] /= whole
+        share = (sum(n * good[p] for p, n in counts.items()) + 1) / (total + 2)
+        before, fit, good = fit, 0.0, {}
+        for p, n in counts.items():
+            on_good = math.log(share) + sum(math.log(votes[0][key]) for key in cast[p])
+            on_bad = math.log(1 - share) + sum(math.log(votes[1][key]) for key in cast[p])
+            top = max(on_good, on_bad)
+            both = top + math.log(math.exp(on_good - top) + math.exp(on_bad - top))
+            good[p] = math.exp(on_good - both)
+            fit += n * both
+        if fit - before < 1e-7 * total:
+            break
+    right = sum(votes[1][rule, GOOD] < votes[0][rule, GOOD] for rule in range(n_rules))
+    return (good, fit) if 2 * right > n_rules else ({}, fit)
+
+
+def _exclusive_fit(counts: Mapping[tuple[int, ...], int], rounds: int) -> float:
+    """Log-likelihood of kinds of bad documents in which one rule each has its own votes and all others vote as on good ones."""
+    n_rules, total, votes = len(next(iter(counts))), sum(counts.values()), (GOOD, BAD, DOUBTFUL)
+    cast = {p: [(rule, vote) for rule, vote in enumerate(p) if vote != NO_VOTE] for p in counts}
+    usual = {(rule, vote): USUAL[vote] for rule in range(n_rules) for vote in votes}
+    own = {(rule, vote): {GOOD: 0.02, BAD: 0.9, DOUBTFUL: 0.08}[vote] for rule, vote in usual}
+    sizes, fit = [0.9] + [0.1 / n_rules] * n_rules, -math.inf  # good documents, then the kinds
+    for _ in range(INDEPENDENT_ROUNDS * rounds):
+        on_usual, on_own, number = dict.fromkeys(usual, 1 / 3), dict.fromkeys(own, 1 / 3), [1.0] * (n_rules + 1)
+        before, fit = fit, 0.0
+        for p, n in counts.items():
+            clear = math.prod(usual[key] for key in cast[p])
+            likely = [sizes[0] * clear] + [0.0] * n_rules
+            for rule, vote in cast[p]:
+                likely[rule + 1] = sizes[rule + 1] * clear * own[rule, vote] / usual[rule, vote]
+            whole = max(sum(likely), 1e-300)
+            fit += n * math.log(whole)
+            parts = [n * x / whole for x in likely]
+            number = [a + b for a, b in zip(number, parts, strict=True)]
+            for key in cast[p]:
+                on_own[key] += parts[key[0] + 1]
+                on_usual[key] += n - parts[key[0] + 1]
+        for table, sums in ((usual, on_usual), (own, on_own)):
+            for rule in range(n_rules):
+                whole = sum(sums[rule, vote] for vote in votes)
+                table.update({(rule, vote): sums[rule, vote] / whole for vote in votes})
+        sizes = [x / sum(number) for x in number]
+        if fit - before < 1e-7 * total:
+            break
+    return fit
+
+
+def _kinds_model(counts: Mapping[tuple[int, ...], int], rounds: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """Posteriors and log-likelihood with as many kinds of bad documents as rules, one for the fault that each sees.
+
+    By turns, the documents' posteriors follow from how likely each vote of each rule is
+    on good documents and on each kind of bad ones, and these likelihoods from the posteriors.
     In a small part of the bad documents (``UNSEEN`` where all rules vote, more where fewer do) no rule sees
-    one. A missing vote says nothing. The beliefs, for rules that the others don't contradict, give the
+    one. The beliefs, for rules that the others don't contradict, give the
     start; afterwards likelihoods keep ``BELIEF_WEIGHT`` documents of them, and a pattern with faults odds of ``HELD`` at most.
     """
     total = sum(counts.values())
-    if not total:
-        return {}
     patterns = sorted(counts)
     n_rules, kinds = len(patterns[0]), (GOOD, BAD, DOUBTFUL)
     believed = {rule for rule in range(n_rules) if _trusted(rule, counts)}
@@ -204,9 +313,10 @@ def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) ->
                 votes[key] /= sums[key[:-1]]
         share = (sum(counts[p] * good[p] for p in patterns) + BELIEF_WEIGHT / 2) / (total + BELIEF_WEIGHT)
         share = min(max(share, 0.01), 0.99)
-        before, good = good, {}
+        before, good, fit = good, {}, 0.0
         for p in patterns:
             odds = _logit(share)
+            clean = share * math.prod(on_good[key] for key in cast[p])
             if faults[p]:
                 clear = math.prod(on_good[rule, GOOD] for rule, _ in cast[p])
                 likely = {kind: size[kind] / sum(size) * math.prod(on_bad[(kind, *key)] for key in cast[p]) for kind in faults[p]}
@@ -216,9 +326,11 @@ def label_model(counts: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) ->
                 odds -= math.log(unseen[p])
             good[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
             of_kind[p] = {kind: (1 - good[p]) * x / bad for kind, x in likely.items()} if faults[p] else {}
+            hidden = unseen[p] * math.prod(on_good[key] for key in cast[p])
+            fit += counts[p] * math.log(max(clean + (1 - share) * (sum(likely.values()) if faults[p] else hidden), 1e-300))
         if max(abs(good[p] - before[p]) for p in patterns) < 1e-4:
             break
-    return good
+    return good, fit
 
 
 def _scored(documents: DataFrame, kept: list[str]) -> tuple[DataFrame, dict[str, str]]:
