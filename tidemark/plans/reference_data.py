@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import listing
 from tidemark.operators import macro as macro_ops
 from tidemark.operators import pages as page_ops
-from tidemark.operators import scan
+from tidemark.operators import profile, scan
 from tidemark.operators import universe as universe_ops
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
@@ -72,6 +72,24 @@ def carried_fill(t: Tables):
     return scan.carried_fill(gaps, ["series_id"], "date", ["value"], ranges=12).select("series_id", "date", "value")
 
 
+@query("sketch_profile", """
+SELECT c AS column, count(*) AS rows, count(*) AS filled, true AS distinct_close, CASE WHEN c <> 'o_orderpriority' THEN true END AS median_close
+FROM orders, (SELECT unnest(['o_custkey', 'o_totalprice', 'o_orderpriority']) AS c) GROUP BY c""")
+def sketch_profile(t: Tables):
+    """Columns of all orders from sketches of their days: counts, and whether distinct values and median are within the stated error."""
+    columns = ["o_custkey", "o_totalprice", "o_orderpriority"]
+    found = profile.profile(profile.merged(profile.daily_sketches(t.orders, "o_orderdate", columns)), [0.5])
+    estimates = found.select("column", "rows", "filled", "distinct", F.col("quantiles")[0].alias("median"))
+    values = t.orders.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), F.col(c).try_cast("double").alias("x")) for c in columns))))
+    exact = values.join(estimates.select("column", "median"), "column").groupBy("column").agg(
+        F.count_distinct("v").alias("exact"), F.avg((F.col("x") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("x") <= F.col("median")).cast("double")).alias("upto")
+    )
+    close = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(0.08) * F.col("exact"), F.lit(1))
+    return estimates.join(exact, "column").select(
+        "column", "rows", "filled", close.alias("distinct_close"), ((F.col("below") <= 0.525) & (F.col("upto") >= 0.475)).alias("median_close")
+    )
+
+
 @query("macro_asof", with_entities(f"""
 , {MACRO_FILLED} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(f.date AS VARCHAR) AS macro_date, {', '.join(TEST_SERIES)}
 FROM bars_long b ASOF LEFT JOIN filled f ON b.Date >= f.date + 10""", "bars_long", "macro_long"))
