@@ -68,9 +68,10 @@ def running_sum(frame: DataFrame, keys: Sequence[str], order: str, value: str, r
 def wealth_curve(returns: DataFrame, group: str = "K", r: str = "net", ranges: int | None = None) -> DataFrame:
     """``group, Date, wealth, peak, fall``: compounded wealth of every portfolio from 1 on, its highest value so far and the fall from it.
 
-    The curve behind :func:`portfolio.risk_metrics`; the start counts as a peak. Days without a return keep the wealth.
+    The curve behind :func:`portfolio.risk_metrics`; the start counts as a peak. Days without a return keep the wealth, and so,
+    as in these metrics, does a return of -1 or less, which has no logarithm.
     """
-    logs = returns.select(group, "Date", F.log1p(r).alias("_log"))
+    logs = returns.select(group, "Date", F.when(F.col(r) > -1, F.log1p(r)).alias("_log"))
     found = running_sum(logs, [group], "Date", "_log", ranges)
     peak = F.greatest(F.col("top"), F.lit(0.0))
     return found.select(group, "Date", F.exp("total").alias("wealth"), F.exp(peak).alias("peak"), (F.exp(F.col("total") - peak) - 1).alias("fall"))

@@ -304,7 +304,7 @@ def cvar_reward(t: Tables):
 
 
 @query("wealth_curve", with_entities(f"""
-, {_NET}, wealth AS (SELECT *, sum(ln(1 + net)) OVER (PARTITION BY K ORDER BY Date) AS l FROM net),
+, {_NET}, wealth AS (SELECT *, sum(CASE WHEN net > -1 THEN ln(1 + net) ELSE 0 END) OVER (PARTITION BY K ORDER BY Date) AS l FROM net),
 peaks AS (SELECT *, greatest(max(l) OVER (PARTITION BY K ORDER BY Date), 0) AS p FROM wealth)
 SELECT CAST(K AS INTEGER) AS K, CAST(Date AS VARCHAR) AS Date, round(exp(l - p) - 1, 6) AS fall FROM peaks""", "bars_long"))
 def wealth_curve(t: Tables):
