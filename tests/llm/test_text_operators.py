@@ -227,6 +227,48 @@ def test_rare_findings_still_train(spark):
     assert [key] == [f"see {key} here"[s:e] for s, _, e in secret_scan.find(f"see {key} here")[1]]
 
 
+def public_keys(kind, n=100):
+    """Keys of shapes that services publish, made apart from the training's own."""
+    draw = random.Random(kind)
+    low, num = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = low + low.upper() + num
+    of = lambda letters, size: "".join(draw.choice(letters) for _ in range(size))
+    make = {
+        "github": lambda: f"export GH ghp_{of(every, 36)} now",
+        "stripe": lambda: f"charge with sk_live_{of(every, 24)}, then",
+        "slack": lambda: f"bot xoxb-{of(num, 12)}-{of(num, 12)}-{of(every, 24)} posts",
+        "jwt": lambda: f"Bearer eyJhbGciOiJIUzI1NiJ9.eyJ{of(every, 50)}.{of(every + '-_', 43)}\nnext",
+        "url_password": lambda: f"from postgres://admin:{of(every, 12)}@db.inner.org/main read",
+    }[kind]
+    return [make() for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["github", "slack", "jwt", "url_password"])
+def test_kinds_that_training_has_not_seen(spark, kind):
+    network = secret_scan.train(frame(spark, secret_texts()), without=(kind,))
+    found = secret_scan.judged(public_keys(kind), network)
+    assert sum(not base and bool(spans) for base, spans, _ in found) >= 0.9 * len(found)
+
+
+def test_what_only_looks_like_a_key(spark):
+    network = secret_scan.train(frame(spark, secret_texts()))
+    plain = [
+        "id 123e4567-e89b-12d3-a456-426614174000 here", "see src/main/resources/application.properties", "mail to ann.smith@mail4.example.com today",
+        "call get_user_profile_by_name(x)", "https://www.example.com/articles/reading-list?page=3", "at 2024-01-12T10:22:31 it", "=" * 60,
+        "class AbstractOrderRepositoryFactory:", "Donaudampfschifffahrtsgesellschaft", "import java.util.concurrent.atomic",
+    ]
+    assert sum(bool(spans) for _, spans, _ in secret_scan.judged(plain, network)) <= 1
+    for kind in ("github", "stripe", "slack", "jwt", "url_password"):
+        assert sum(bool(spans) for _, spans, _ in secret_scan.judged(public_keys(kind), network)) >= 95
+
+
+def test_candidates_around_other_spans():
+    text = "a" * 20 + ".AKIA" + "B2" * 8 + "." + "c" * 20 + ". ftp://u:pass.word.long@x"
+    assert [text[s:e] for s, _, e in secret_scan.find(text)[1]] == ["a" * 20, "c" * 20, "pass.word.long"]
+    many = " ".join(f"token=abcdef{i} {i:016d}x" for i in range(20_000))  # linear in spans
+    assert len(secret_scan.find(many)[1]) == 20_000
+
+
 def test_threshold_keeps_the_recall():
     network = secret_scan.Network(np.zeros((99, 8)), np.zeros((40, 24)), np.zeros(24), np.zeros(24), -1.0)
     codes, labels = np.zeros((40, secret_scan.WIDTH), np.int64), np.arange(40) % 2
