@@ -85,6 +85,31 @@ def test_suffix_shares_count_all_urls(spark):
     assert all(p == pytest.approx(((20 if h.startswith("bad") else 0) + 5 * 0.5) / 25) for h, p in shares.items())
 
 
+def test_lexical_features_matter_on_held_out_hosts(spark):
+    """Many parameters and digits are blocked by rules for single hosts; the trees must see it in hosts that no rule names."""
+    def page(i, domain):
+        bad = i % 2
+        tail = f"item{i * 7919}?a={i}&b={i}&c={i}" if bad else "about-us"
+        return f"http://h{i % 50 * 2 + bad}.{domain}/{tail}", bad
+
+    pages = [page(i, "known.org") for i in range(400)]
+    held = [page(i, "other.io") for i in range(400)]
+    rules = [("block" if n % 2 else "allow", f"h{n}.known.org/") for n in range(100)]
+    rows = [(i, u) for i, (u, _) in enumerate(pages + held)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judged(frame, rules).collect()}
+    right = [(out[400 + i].verdict == "block") == bool(bad) for i, (_, bad) in enumerate(held)]
+    assert all(out[400 + i].rule is None for i in range(400)) and sum(right) >= 0.95 * len(right)
+
+
+def test_what_a_rule_names_is_unknown_to_the_trees(spark):
+    rows = [(f"http://a{i % 20}.net/{'es' if i % 2 else 'xx'}/{i}", f"a{i % 20}.net", f"/{'es' if i % 2 else 'xx'}/{i}", "net/es/" if i % 2 else f"a{i % 20}.net/", i % 2) for i in range(200)]
+    judge = url_filter.train(spark.createDataFrame(rows, "url string, host string, path string, rule string, label int"))
+    keys = {(r.part, r.key) for r in judge.shares.collect()}
+    assert ("last_label", "net") not in keys and ("first_segment", "es") not in keys and ("first_segment", "xx") in keys
+    assert {("whole_host", f"a{i}.net") for i in range(1, 20, 2)} <= keys and ("whole_host", "a0.net") not in keys
+
+
 def test_one_kind_of_label(spark):
     frame = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judged(frame, URL_RULES).collect()] == ["allow"]

@@ -1,13 +1,13 @@
 """URL filter: rules decide first, gradient-boosted trees on lexical features decide the rest.
 
 The trees learn from labelled URLs, here those that a rule decides. Besides the shape of a URL they see how
-often labelled URLs with the same host suffixes and the same first path segment are blocked; the shares
-are of all labelled URLs, the trees learn from a sample; its own fold is taken off for training, so that no URL sees its own label.
+often labelled URLs with the same host suffixes and the same first path segment are blocked. The shares are of
+all labelled URLs, the trees learn from a sample. For training the hosts of a fold are taken off, so that no URL sees labels of
+its own host, and what a rule itself names counts as unknown in the URLs it labels: else the trees would only repeat the rules.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name
+from tidemark.llm.common import cut, free_name, written
 
 SAMPLE = 10_000  # labelled URLs that the trees learn from, at most
 FOLDS = 5
@@ -30,6 +30,7 @@ LEXICAL = (
     "has_fragment", "is_https",
 )
 SUFFIXES = ("last_label", "last_two", "whole_host", "first_segment")
+PARENT = {"last_two": "last_label", "whole_host": "last_two"}  # whose share stands in where a suffix has no labels
 
 
 def _rest(url: Column) -> Column:
@@ -106,6 +107,16 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def _not_named(parts: dict[str, Column], rule: Column) -> dict[str, Column]:
+    """The parts, null where the rule's host has them as a suffix or where the rule names a path."""
+    domain, tail = F.substring_index(rule, "/", 1), F.regexp_extract(rule, "^[^/]*/(.*)$", 1)
+    out = {}
+    for part, value in parts.items():
+        named = tail != "" if part == "first_segment" else (domain == value) | domain.endswith(F.concat(F.lit("."), value))
+        out[part] = F.when(~F.coalesce(named, F.lit(False)), value)
+    return out
+
+
 class Judge:
     """Trained trees and the shares of blocked URLs; or one verdict for all, if the labels were of one kind."""
 
@@ -125,7 +136,8 @@ class Judge:
         for part, value in suffixes(F.col(host), F.col(path)).items():
             table = self.shares.where(F.col("part") == part).select(F.col("key").alias(f"{names[part]}_key"), F.col("share").alias(names[part]))
             rows = rows.join(table, value == F.col(f"{names[part]}_key"), "left").drop(f"{names[part]}_key")
-            rows = rows.fillna({names[part]: self.overall})
+            parent = F.col(names[PARENT[part]]) if part in PARENT else F.lit(self.overall)
+            rows = rows.withColumn(names[part], F.coalesce(names[part], parent))
         vector = free_name("url_features", rows.columns)
         rows = VectorAssembler(inputCols=[names[c] for c in (*LEXICAL, *SUFFIXES)], outputCol=vector).transform(rows)
         model = self.model.copy().setFeaturesCol(vector).setPredictionCol("").setRawPredictionCol("").setProbabilityCol(vector + "_p")
@@ -134,52 +146,53 @@ class Judge:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 5) -> Judge:
-    """Learns from ``labelled`` (``url``, ``host``, ``path``, ``label``; 1 is block).
+    """Learns from ``labelled`` (``url``, ``host``, ``path``, ``label``; 1 is block; ``rule``, if there, is what gave the label).
 
     Suffix shares count all distinct URLs; the trees learn from at most ``sample``, the first by a hash, which reach the driver. Without labels
     nothing is blocked; with one kind of label all URLs get it.
     """
     spark = labelled.sparkSession
-    shape = lexical(F.col("url"), F.col("host"), F.col("path"))
-    every = labelled.where("url is not null").select("url", "host", "path", F.col("label").cast("int").alias("label")).distinct()
-    parts = F.array(*(F.struct(F.lit(k).alias("part"), v.alias("key")) for k, v in suffixes(F.col("host"), F.col("path")).items()))
+    rule = F.col("rule") if "rule" in labelled.columns else F.lit(None).cast("string")
+    every = labelled.where("url is not null").select("url", "host", "path", rule.alias("rule"), F.col("label").cast("int").alias("label")).distinct()
+    parts = _not_named(suffixes(F.col("host"), F.col("path")), F.col("rule"))
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    listed = F.array(F.struct(F.lit("").alias("part"), F.lit("").alias("key")), *(F.struct(F.lit(k).alias("part"), v.alias("key")) for k, v in parts.items()))
     counted = cut(
-        every.select("label", F.explode(parts).alias("s")).groupBy("s.part", "s.key")
+        every.select("label", fold.alias("fold"), F.explode(listed).alias("s")).where("s.key is not null").groupBy("s.part", "s.key", "fold")
         .agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
     )
-    total = counted.where(F.col("part") == SUFFIXES[0]).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    total = counted.where("part = ''").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not total.n or total.bad in (0, total.n):
         return Judge(None, None, 1.0 if total.bad else 0.0)
     overall = total.bad / total.n
+    shape = lexical(F.col("url"), F.col("host"), F.col("path"))
     rows = (
         every.orderBy(F.xxhash64("url"), "url", "label").limit(sample)
-        .select("url", "label", *(v.alias(c) for c, v in {**shape, **suffixes(F.col("host"), F.col("path"))}.items()))
+        .select("label", fold.alias("fold"), *(v.alias(c) for c, v in {**shape, **parts}.items()))
         .collect()
     )
-    own_counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-    fold = [zlib.crc32(r.url.encode("utf-8", "surrogatepass")) % FOLDS for r in rows]
-    for r, own in zip(rows, fold, strict=True):
-        for part in SUFFIXES:
-            own_counts[part, r[part], own][0] += 1
-            own_counts[part, r[part], own][1] += r.label
-    wanted = spark.createDataFrame(sorted({key[:2] for key in own_counts}), "part string, key string")
-    counts = {(r.part, r.key): (r.n, r.bad) for r in counted.join(F.broadcast(wanted), ["part", "key"], "left_semi").collect()}
+    wanted = spark.createDataFrame(sorted({(part, r[part]) for r in rows for part in SUFFIXES if r[part] is not None}), "part string, key string")
+    counts: dict[tuple, dict[int, tuple[int, int]]] = defaultdict(dict)
+    for r in counted.join(F.broadcast(wanted), ["part", "key"], "left_semi").collect():  # at most FOLDS for every part of the sample
+        counts[r.part, r.key][r.fold] = r.n, r.bad
 
     def share(number, bad):
         return (bad + WEIGHT * overall) / (number + WEIGHT)
 
     data = []
-    for r, own in zip(rows, fold, strict=True):
-        others = []
+    for r in rows:
+        seen: dict[str, float] = {}
         for part in SUFFIXES:
-            (n, bad), (own_n, own_bad) = counts[part, r[part]], own_counts[part, r[part], own]
-            others.append(share(n - own_n, bad - own_bad))
-        data.append((*(float(r[c]) for c in LEXICAL), *others, float(r.label)))
+            others = [c for own, c in counts.get((part, r[part]), {}).items() if own != r.fold]
+            parent = seen[PARENT[part]] if part in PARENT else overall
+            seen[part] = share(sum(n for n, _ in others), sum(bad for _, bad in others)) if others else parent
+        data.append((*(float(r[c]) for c in LEXICAL), *(seen[p] for p in SUFFIXES), float(r.label)))
     columns = [*LEXICAL, *SUFFIXES]
     frame = spark.createDataFrame(data, ", ".join(f"{c} double" for c in [*columns, "label"])).coalesce(1)
     frame = VectorAssembler(inputCols=columns, outputCol="features").transform(frame).select("features", "label")
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(frame)
-    return Judge(model, counted.select("part", "key", share(F.col("n"), F.col("bad")).alias("share")), overall)
+    summed = counted.where("part <> ''").groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return Judge(model, summed.select("part", "key", share(F.col("n"), F.col("bad")).alias("share")), overall)
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, judge: Judge | None = None) -> DataFrame:
@@ -187,14 +200,15 @@ def judged(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, judg
 
     A rule's verdict holds; where none fits, block from ``threshold`` on. Without a ``judge`` one is
     trained on the URLs that rules decide. Null URLs, and those without ``://``, have an empty host and path and are judged
-    by the trees. Repeated rows are judged alike; other columns are not read.
+    by the trees. Repeated rows are judged alike, URLs of any length whole; an empty table gives an empty one; other columns are not read.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     split = split.select("*", rule.alias("rule"), verdict.alias("ruled"))
     if judge is None:
-        judge = train(split.where("rule is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("label")))
+        split = written(split, "urls")  # read for the shares, the sample and the verdicts
+        judge = train(split.where("rule is not null").select("url", "host", "path", "rule", (F.col("ruled") == "block").cast("int").alias("label")))
     scored = judge.scored(split, "url", "host", "path", "p_block")
     by_trees = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_trees).alias("verdict"), "p_block")
