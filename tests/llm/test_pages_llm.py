@@ -102,12 +102,13 @@ def test_lexical_features_matter_on_held_out_hosts(spark):
     assert all(out[400 + i].rule is None for i in range(400)) and sum(right) >= 0.95 * len(right)
 
 
-def test_what_a_rule_names_is_unknown_to_the_trees(spark):
-    rows = [(f"http://a{i % 20}.net/{'es' if i % 2 else 'xx'}/{i}", f"a{i % 20}.net", f"/{'es' if i % 2 else 'xx'}/{i}", "net/es/" if i % 2 else f"a{i % 20}.net/", i % 2) for i in range(200)]
-    judge = url_filter.train(spark.createDataFrame(rows, "url string, host string, path string, rule string, label int"))
+def test_what_a_rule_names_has_no_share(spark):
+    rows = [(f"http://a{i % 20}.net/{'es' if i % 2 else 'xx'}/{i}", f"a{i % 20}.net", f"/{'es' if i % 2 else 'xx'}/{i}", i % 2) for i in range(200)]
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, label int")
+    judge = url_filter.train(labelled, rules=[("block", "net/es/"), ("allow", "a0.net/")])
     keys = {(r.part, r.key) for r in judge.shares.collect()}
-    assert ("last_label", "net") not in keys and ("first_segment", "es") not in keys and ("first_segment", "xx") in keys
-    assert {("whole_host", f"a{i}.net") for i in range(1, 20, 2)} <= keys and ("whole_host", "a0.net") not in keys
+    hosts = {f"a{i}.net" for i in range(1, 20)}
+    assert keys == {("whole_host", h) for h in hosts} | {("last_two", h) for h in hosts} | {("first_segment", "xx")}
 
 
 def test_one_kind_of_label(spark):

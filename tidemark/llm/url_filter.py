@@ -3,7 +3,7 @@
 The trees learn from labelled URLs, here those that a rule decides. Besides the shape of a URL they see how
 often labelled URLs with the same host suffixes and the same first path segment are blocked. The shares are of
 all labelled URLs, the trees learn from a sample. For training the hosts of a fold are taken off, so that no URL sees labels of
-its own host, and what a rule itself names counts as unknown in the URLs it labels: else the trees would only repeat the rules.
+its own host, and suffixes and segments that a rule names have no share at all: else the trees would only repeat the rules.
 """
 
 from __future__ import annotations
@@ -107,14 +107,17 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _not_named(parts: dict[str, Column], rule: Column) -> dict[str, Column]:
-    """The parts, null where the rule's host has them as a suffix or where the rule names a path."""
-    domain, tail = F.substring_index(rule, "/", 1), F.regexp_extract(rule, "^[^/]*/(.*)$", 1)
-    out = {}
-    for part, value in parts.items():
-        named = tail != "" if part == "first_segment" else (domain == value) | domain.endswith(F.concat(F.lit("."), value))
-        out[part] = F.when(~F.coalesce(named, F.lit(False)), value)
-    return out
+def _unnamed(parts: dict[str, Column], rules: Sequence[Rule]) -> dict[str, Column]:
+    """The parts, null where they are a rule's first segment, its host or a suffix of that."""
+    named: dict[str, set[str]] = {part: set() for part in SUFFIXES}
+    for _, text in rules:
+        domain, _, tail = text.partition("/")
+        labels = domain.split(".")
+        named["last_label"].add(labels[-1])
+        named["last_two"].add(".".join(labels[-2:]))
+        named["whole_host"].update(".".join(labels[i:]) for i in range(len(labels)))
+        named["first_segment"].update([tail.split("/")[0]] if tail else [])
+    return {part: F.when(~value.isin(sorted(named[part])), value) if named[part] else value for part, value in parts.items()}
 
 
 class Judge:
@@ -145,16 +148,15 @@ class Judge:
         return rows.select(*(F.col(f"`{c}`") for c in urls.columns), vector_to_array(vector + "_p")[1].alias(score))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 5) -> Judge:
-    """Learns from ``labelled`` (``url``, ``host``, ``path``, ``label``; 1 is block; ``rule``, if there, is what gave the label).
+def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 5, rules: Sequence[Rule] = ()) -> Judge:
+    """Learns from ``labelled`` (``url``, ``host``, ``path``, ``label``; 1 is block). ``rules`` are those that gave the labels, if any did.
 
     Suffix shares count all distinct URLs; the trees learn from at most ``sample``, the first by a hash, which reach the driver. Without labels
     nothing is blocked; with one kind of label all URLs get it.
     """
     spark = labelled.sparkSession
-    rule = F.col("rule") if "rule" in labelled.columns else F.lit(None).cast("string")
-    every = labelled.where("url is not null").select("url", "host", "path", rule.alias("rule"), F.col("label").cast("int").alias("label")).distinct()
-    parts = _not_named(suffixes(F.col("host"), F.col("path")), F.col("rule"))
+    every = labelled.where("url is not null").select("url", "host", "path", F.col("label").cast("int").alias("label")).distinct()
+    parts = _unnamed(suffixes(F.col("host"), F.col("path")), rules)
     fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
     listed = F.array(F.struct(F.lit("").alias("part"), F.lit("").alias("key")), *(F.struct(F.lit(k).alias("part"), v.alias("key")) for k, v in parts.items()))
     counted = cut(
@@ -208,7 +210,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, judg
     split = split.select("*", rule.alias("rule"), verdict.alias("ruled"))
     if judge is None:
         split = written(split, "urls")  # read for the shares, the sample and the verdicts
-        judge = train(split.where("rule is not null").select("url", "host", "path", "rule", (F.col("ruled") == "block").cast("int").alias("label")))
+        judge = train(split.where("rule is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("label")), rules=rules)
     scored = judge.scored(split, "url", "host", "path", "p_block")
     by_trees = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_trees).alias("verdict"), "p_block")
