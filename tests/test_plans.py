@@ -10,7 +10,7 @@ from tidemark.plans.tables import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(entry.__file__).parent / "tidemark"
-WRITES = {"universe_scan", "bars_scan", "comments_scan", "master_publish", "category_scan", "comment_days_scan", "daily_sentiment_stream"}
+WRITES = {"universe_scan", "bars_scan", "comments_scan", "master_publish", "category_scan", "comment_days_scan", "daily_sentiment_stream", "master_stream"}
 
 
 def plan(frame):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.dates import day_epoch
+from tidemark.functions.dates import day_epoch, epoch_date
+from tidemark.functions.numbers import polarity
 from tidemark.operators import bars as bars_ops
 from tidemark.operators import comments as comment_ops
 from tidemark.operators import master as master_ops
@@ -13,7 +14,7 @@ from tidemark.operators import universe as universe_ops
 from tidemark.operators import sentiment as sent
 from tidemark.plans.press import NEWS_DAILY, NEWS_FLAGS, NEWS_SCORED, press_features
 from tidemark.plans.registry import query
-from tidemark.plans.social import TEST_LEXICON, raw_comments, social_sql, verdicts_sql
+from tidemark.plans.social import SOCIAL_DAILY, TEST_LEXICON, raw_comments, social_sql, verdicts_sql
 from tidemark.plans.tables import Tables, with_entities
 from tidemark.session import shared_dir
 from tidemark.sources import files, sinks
@@ -114,3 +115,35 @@ def daily_sentiment_stream(t: Tables):
     daily.publish(daily.daily_sentiment_stream(scored), table, state)
     out = daily.current(t.spark.read.parquet(table))
     return out.withColumns({c: F.round(c, 6) for c in ("Sent_Confidence", "Sent_NormScore")})
+
+
+@query("master_stream", with_entities(f"""
+, {SOCIAL_DAILY} SELECT b.Ticker, CAST(b.Date AS VARCHAR) AS Date, Close, CAST(cum AS BIGINT) AS Sent_CumScore,
+  round(conf, 6) AS Sent_Confidence, n AS Sent_TextCount, round(cum / n, 6) AS Sent_NormScore
+FROM bars b LEFT JOIN daily d ON b.Ticker = d.Ticker AND b.Date = d.Date
+WHERE b.Ticker IN (SELECT Ticker FROM daily)""", "bars", "scored_snippets"))
+def master_stream(t: Tables):
+    """Bars and scored texts land as files and are joined as streams; a later marker in both feeds closes their days."""
+    quotes, texts, table, state = (shared_dir(t.spark, p) for p in ("quotes", "texts", "master", "state"))
+    stamped = F.timestamp_seconds(day_epoch(F.col("Date"))).alias("ts")
+    far = F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts")
+    marker = F.lit("").alias("Ticker")
+    one = t.spark.range(1)
+    score = polarity(F.col("Sentiment")).cast("int").alias("Score")
+    t.bars.select("Ticker", F.col("Close").cast("double"), stamped).write.parquet(quotes)
+    t.scored_snippets.select("Ticker", "Text", score, F.col("Confidence").cast("double"), stamped).write.parquet(texts)
+
+    def advance() -> None:
+        bars = t.spark.readStream.schema("Ticker string, Close double, ts timestamp").parquet(quotes)
+        scored = t.spark.readStream.schema("Ticker string, Text string, Score int, Confidence double, ts timestamp").parquet(texts)
+        daily.publish(daily.master_stream(bars, scored), table, state, mode="append")
+
+    advance()
+    one.select(marker, F.lit(0.0).alias("Close"), far).write.mode("append").parquet(quotes)
+    one.select(marker, F.lit("").alias("Text"), F.lit(0).alias("Score"), F.lit(0.0).alias("Confidence"), far).write.mode("append").parquet(texts)
+    advance()
+    published = t.spark.read.schema(
+        "Ticker string, Close double, ts timestamp, Sent_CumScore bigint, Sent_Confidence double, Sent_TextCount bigint, Sent_NormScore double"
+    ).parquet(table)
+    out = daily.heard(published, t.scored_snippets).withColumn("Date", epoch_date(F.unix_seconds("ts"))).drop("ts")
+    return out.withColumns({c: F.round(c, 6) for c in ("Sent_Confidence", "Sent_NormScore")})

@@ -23,9 +23,8 @@ def drop_copies(comments: DataFrame, stamp: str = "ts", text: str = "Text", dela
     )
 
 
-def daily_sentiment_stream(scored: DataFrame, stamp: str = "ts", delay: str = "2 days") -> DataFrame:
-    """Sentiment columns per ticker and day of a stream of scored texts."""
-    daily = (
+def _daily(scored: DataFrame, stamp: str, delay: str) -> DataFrame:
+    return (
         scored.withWatermark(stamp, delay)
         .groupBy("Ticker", F.window(stamp, "1 day"))
         .agg(
@@ -34,7 +33,11 @@ def daily_sentiment_stream(scored: DataFrame, stamp: str = "ts", delay: str = "2
             F.count("Text").alias("Sent_TextCount"),
         )
     )
-    return daily.select(
+
+
+def daily_sentiment_stream(scored: DataFrame, stamp: str = "ts", delay: str = "2 days") -> DataFrame:
+    """Sentiment columns per ticker and day of a stream of scored texts."""
+    return _daily(scored, stamp, delay).select(
         "Ticker",
         epoch_date(F.unix_seconds("window.start")).alias("Date"),
         "Sent_CumScore",
@@ -44,6 +47,34 @@ def daily_sentiment_stream(scored: DataFrame, stamp: str = "ts", delay: str = "2
     )
 
 
+def master_stream(bars: DataFrame, scored: DataFrame, stamp: str = "ts", delay: str = "2 days") -> DataFrame:
+    """Bars, each once, with the sentiment of their day; NULL where no text of it came. Both sides have ``stamp``.
+
+    A bar appears when no more texts of its day can come, that is when both feeds have moved ``delay`` beyond its day;
+    then its state goes too, as does that of days without a bar. Texts and bars that come later than that are left out, as
+    are NULL stamps. Bars of NULL tickers never meet texts, and texts of NULL tickers don't move their feed on, as Spark filters
+    them before it takes the time. Publish it in ``append`` mode.
+    """
+    daily = _daily(scored.where(F.col(stamp).isNotNull()), stamp, delay)
+    # A stream may have one event time only; after this that is the window.
+    plain = F.timestamp_micros(F.unix_micros(stamp))
+    timed = bars.where(F.col(stamp).isNotNull()).withWatermark(stamp, delay)
+    days = timed.withColumn("window", F.window(stamp, "1 day")).withColumn(stamp, plain)
+    joined = days.join(daily, ["Ticker", "window"], "left_outer")
+    return joined.select(
+        *bars.columns,
+        "Sent_CumScore",
+        "Sent_Confidence",
+        "Sent_TextCount",
+        ratio(F.col("Sent_CumScore"), F.col("Sent_TextCount")).alias("Sent_NormScore"),
+    )
+
+
+def heard(published: DataFrame, scored: DataFrame) -> DataFrame:
+    """Published bars of the tickers that have a text at all, as in the batch master."""
+    return published.join(scored.select("Ticker").distinct(), "Ticker", "left_semi").drop("batch")
+
+
 def publish(stream: DataFrame, table: str, checkpoint: str, mode: str = "update") -> None:
     """Process what has landed and stop. Each batch becomes its own folder under ``table``.
 
