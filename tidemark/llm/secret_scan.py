@@ -2,12 +2,13 @@
 
 Candidates are the spans of three base patterns, which always stay, and what else may be a key: passwords in URLs and long
 runs of key-like characters with a letter, dots within them included. The network (embedding, one convolution, maximum
-over places, logistic output) sees a candidate's characters apart from those around it. It is trained on a bounded sample of
-the labelled findings of all documents, spans of the base patterns against ordinary words and numbers of the same
-documents, and on made-up ones in the text around those: keys of shapes that no pattern knows, and identifiers, paths,
+over places, logistic output) sees a candidate's characters apart from those around it. It is trained on the distinct
+labelled findings of all documents, spans of the base patterns against two ordinary words or numbers of each
+document, and on made-up ones in the text around those: keys of shapes that no pattern knows, and identifiers, paths,
 UUIDs and addresses that are none. All come in upper case too, as text is often shouted, and keys also behind other
-text. Part of the findings is held out; on it the scores are calibrated and the threshold is set to the highest that
-still recalls the wanted share.
+text. A fifth of the findings is held out; on all of it the scores are calibrated and the threshold is set to the highest
+that still recalls the wanted share. The driver trains the start on few findings; where there are more, tasks go on from
+there, each over its part of all findings, and the mean of their weights counts (iterative parameter mixing).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Collection, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import numpy as np
@@ -31,7 +32,9 @@ from tidemark.llm.common import cut, sliced
 
 KINDS = ("assign", "access", "hex", "model")
 MODEL = 3
-MAX_POSITIVES, MAX_NEGATIVES = 1_500, 3_000  # findings that the network learns from, at most
+MAX_POSITIVES, MAX_NEGATIVES = 1_500, 3_000  # findings on the driver, where training starts; tasks go on with all
+PART, ROUNDS = 40_000, 2  # findings of a task's part of the training, about, and how often the parts' weights are mixed
+TEMPERATURES = tuple(float(t) for t in np.geomspace(0.25, 8, 41))
 MADE_UP = 150  # findings of each made-up shape, whatever the documents hold
 RECALL = 0.98
 
@@ -49,6 +52,7 @@ BEFORE, STEP, WIDTH = 24, 48, 88  # characters before a window's own part, of th
 INSIDE = 99  # pad, 95 printable, line break, other ASCII, beyond ASCII
 CLASSES = 2 * INSIDE  # of the candidate, then the same of the text around it
 SIZE, REACH, FILTERS = 8, 5, 32
+WEIGHTS = ("letters", "filters", "bias", "out", "offset")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -139,6 +143,7 @@ class Network:
     offset: float
     temperature: float = 1.0
     threshold: float = 0.5
+    findings: int = 0  # distinct ones of the documents, held-out ones included
 
     def _convolved(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = np.lib.stride_tricks.sliding_window_view(self.letters[codes], REACH, axis=1)  # n, place, letter size, reach
@@ -155,16 +160,17 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(codes) / self.temperature, -30, 30)))
 
     @classmethod
-    def trained(cls, codes: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 8) -> Network:
-        """Adam on the logistic loss, both labels weighted alike."""
+    def trained(
+        cls, codes: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 8, start: Network | None = None
+    ) -> Network:
+        """Adam on the logistic loss, both labels weighted alike; goes on from ``start`` if there is one."""
         draw = np.random.default_rng(seed)
-        net = cls(
+        net = replace(start) if start else cls(
             draw.normal(0, 0.5, (CLASSES, SIZE)), draw.normal(0, (SIZE * REACH) ** -0.5, (SIZE * REACH, FILTERS)),
             np.zeros(FILTERS), draw.normal(0, 0.3, FILTERS), 0.0,
         )
         weights = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-        names = ("letters", "filters", "bias", "out", "offset")
-        first, second, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
+        first, second, step = {k: 0.0 for k in WEIGHTS}, {k: 0.0 for k in WEIGHTS}, 0
         for _ in range(epochs):
             order = draw.permutation(len(codes))
             for start in range(0, len(order), 64):
@@ -185,7 +191,7 @@ class Network:
                     "out": active.T @ error, "offset": error.sum(),
                 }
                 step += 1
-                for k in names:
+                for k in WEIGHTS:
                     first[k] = 0.9 * first[k] + 0.1 * slopes[k]
                     second[k] = 0.999 * second[k] + 0.001 * slopes[k] ** 2
                     move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -199,7 +205,7 @@ class Network:
         def loss(t: float) -> float:
             return float(np.mean(np.logaddexp(0, np.where(labels == 1, -logits, logits) / t)))
 
-        self.temperature = min((float(t) for t in np.geomspace(0.25, 8, 41)), key=loss)
+        self.temperature = min(TEMPERATURES, key=loss)
         found = np.sort(self.probabilities(codes)[labels == 1])
         spare = int((1 - recall) * len(found))
         # Half way from the last finding that must be recalled to the highest score of an ordinary run, if that is lower.
@@ -210,14 +216,9 @@ class Network:
 
 
 def _findings(batches) -> Iterator[pa.RecordBatch]:
-    """Labelled windows: all base spans, and up to two ordinary runs of each document; of a task, those of the smallest hashes."""
-    most = {1: MAX_POSITIVES, 0: MAX_NEGATIVES}
-    kept: dict[int, set[tuple[int, bytes]]] = {1: set(), 0: set()}
-
-    def shorten(label: int) -> None:
-        kept[label] = set(heapq.nsmallest(most[label], kept[label]))
-
+    """Labelled windows: all base spans, and up to two ordinary runs of each document; ``rank`` is a hash of the window."""
     for batch in sliced(batches):
+        kept: dict[int, set[bytes]] = {1: set(), 0: set()}
         for text in batch.column(0):
             text = text.as_py() or ""
             base, others = find(text)
@@ -226,17 +227,10 @@ def _findings(batches) -> Iterator[pa.RecordBatch]:
             plain = [(m.start(), MODEL, m.end()) for m in _ORDINARY.finditer(text) if free(*m.span())]
             plain = heapq.nsmallest(2, plain, key=lambda s: (zlib.crc32(text[s[0] : s[2]].encode("utf-8", "surrogatepass")), s))
             for label, spans in ((1, base), (0, plain)):
-                for span in spans:
-                    window = next(windows(text, span)).astype(np.uint8).tobytes()
-                    kept[label].add((zlib.crc32(window), window))
-        for label in kept:
-            if len(kept[label]) > 4 * most[label]:
-                shorten(label)
-    for label in kept:
-        shorten(label)
-    rows = [(window, label, rank) for label, found in kept.items() for rank, window in found]
-    codes, labels, ranks = zip(*rows, strict=True) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(labels, pa.int32()), pa.array(ranks, pa.int64())], names=["codes", "label", "rank"])
+                kept[label].update(next(windows(text, span)).astype(np.uint8).tobytes() for span in spans)
+        rows = [(window, label, zlib.crc32(window)) for label, found in kept.items() for window in found]
+        codes, labels, ranks = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(labels, pa.int32()), pa.array(ranks, pa.int64())], names=["codes", "label", "rank"])
 
 
 _LOW, _CAPS, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -339,10 +333,68 @@ def _varied(codes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([codes, _UPPER[codes]]), np.concatenate([labels, labels])
 
 
+def _in_parts(findings: DataFrame, number: int, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the codes and labels of every part; parts and the order in them follow from the findings alone."""
+
+    def run(batches):
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("rank", "codes", "label")), strict=True))
+        if rows:
+            yield work(np.stack([np.frombuffer(codes, np.uint8) for _, codes, _ in rows]), np.array([label for *_, label in rows], np.int64))
+
+    return findings.repartition(max(1, -(-number // PART)), "codes").mapInArrow(run, schema)
+
+
+def _mixed(findings: DataFrame, number: int, start: Network, codes: np.ndarray, labels: np.ndarray) -> Network:
+    """Training goes on from ``start`` over all ``findings``: tasks learn from their parts and the made-up ``codes``, their mean weights count."""
+    context, network = findings.sparkSession.sparkContext, start
+    for turn in range(ROUNDS):
+        shared = context.broadcast((network, codes.astype(np.uint8), labels))
+
+        def learn(own: np.ndarray, kinds: np.ndarray, shared=shared, turn=turn) -> pa.RecordBatch:
+            before, more, more_kinds = shared.value
+            varied = _varied(np.concatenate([own, more]), np.concatenate([kinds, more_kinds]))
+            after = Network.trained(*varied, epochs=1, rate=0.002, seed=turn, start=before)
+            weights = np.concatenate([np.ravel(getattr(after, k)) for k in WEIGHTS])
+            return pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"])
+
+        # In the order of their bytes, so that the sum does not depend on which task ends first.
+        parts = sorted((bytes(r.weights), r.n) for r in _in_parts(findings, number, learn, "n long, weights binary").collect())
+        mean = np.average([np.frombuffer(w) for w, _ in parts], axis=0, weights=[n for _, n in parts])
+        at, network = 0, replace(network)
+        for k in WEIGHTS:
+            shape = np.shape(getattr(network, k))
+            size = int(np.prod(shape))
+            setattr(network, k, mean[at : at + size].reshape(shape) if shape else float(mean[at]))
+            at += size
+    return network
+
+
+def _calibrated(held: DataFrame, number: int, network: Network, codes: np.ndarray, labels: np.ndarray, recall: float) -> Network:
+    """:meth:`Network.calibrate` on all ``held`` findings and the made-up ``codes``, without bringing them to the driver."""
+    shared = held.sparkSession.sparkContext.broadcast(network)
+
+    def score(own: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        own, kinds = _varied(own, kinds)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(shared.value.logits(own), pa.float64())], names=["label", "logit"])
+
+    own, kinds = _varied(codes, labels)
+    made = held.sparkSession.createDataFrame(list(zip(kinds.tolist(), network.logits(own).tolist(), strict=True)), "label long, logit double")
+    scores = cut(_in_parts(held, number, score, "label long, logit double").union(made))
+    wrong = F.when(F.col("label") == 1, -F.col("logit")).otherwise(F.col("logit"))
+    losses = [F.avg(F.greatest(wrong / t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(wrong / t)))) for t in TEMPERATURES]
+    *losses, n, ordinary = scores.agg(*losses, F.count_if(F.col("label") == 1), F.max(F.when(F.col("label") == 0, F.col("logit")))).first()
+    lowest = scores.where("label = 1").orderBy("logit").offset(int((1 - recall) * n)).limit(1).first()
+    temperature = TEMPERATURES[int(np.argmin(losses))]
+    sure = lambda logit: float(1 / (1 + np.exp(-np.clip(logit / temperature, -30, 30))))
+    threshold = min(sure(lowest.logit), (sure(lowest.logit) + sure(ordinary)) / 2) if lowest else 0.99
+    return replace(network, temperature=temperature, threshold=threshold)
+
+
 def train(documents: DataFrame, recall: float = RECALL, without: Collection[str] = ()) -> Network | None:
-    """A network from the findings of all documents, however many these are, and ``MADE_UP`` of each made-up shape.
+    """A network from the distinct findings of all documents and ``MADE_UP`` of each made-up shape.
 
-    At most ``MAX_POSITIVES`` and ``MAX_NEGATIVES`` distinct findings, those of the smallest hashes, reach the driver.
+    The driver trains on ``MAX_POSITIVES`` and ``MAX_NEGATIVES`` findings at most, those of the smallest hashes. If there are
+    more, this is only the start: tasks go on over all findings, and temperature and threshold come from all held-out ones.
     Shapes named in ``without`` are not shown, so that recall on an unknown kind can be measured. None without ordinary
     runs; then the base patterns alone decide.
     """
@@ -353,12 +405,19 @@ def train(documents: DataFrame, recall: float = RECALL, without: Collection[str]
     labels = np.array([r.label for r in rows], np.int64)
     if not (labels == 0).any():
         return None
+    number = findings.count()
     codes = np.stack([np.frombuffer(bytes(r.codes), np.uint8).astype(np.int64) for r in rows])
     held = np.array([r.rank % 5 == 0 for r in rows])
     more, kinds, _ = made_up(MADE_UP, codes[labels == 0], without)
-    codes, labels = np.concatenate([codes, more]), np.concatenate([labels, kinds])
-    held = np.concatenate([held, np.arange(len(more)) % 5 == 0])
-    return Network.trained(*_varied(codes[~held], labels[~held])).calibrate(*_varied(codes[held], labels[held]), recall)
+    more_held = np.arange(len(more)) % 5 == 0
+    codes, labels, held = np.concatenate([codes, more]), np.concatenate([labels, kinds]), np.concatenate([held, more_held])
+    network = Network.trained(*_varied(codes[~held], labels[~held]))
+    if number == len(rows):
+        network.calibrate(*_varied(codes[held], labels[held]), recall)
+    else:
+        network = _mixed(findings.where("rank % 5 <> 0"), number, network, more[~more_held], kinds[~more_held])
+        network = _calibrated(findings.where("rank % 5 = 0"), number, network, more[more_held], kinds[more_held], recall)
+    return replace(network, findings=number)
 
 
 def judged(texts: list[str], network: Network | None) -> list[tuple[list[Span], list[Span], float | None]]:
