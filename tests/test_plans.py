@@ -26,6 +26,12 @@ def test_no_cross_joins_or_global_windows(spark, name):
     assert not re.search(r"Window (?!Group)[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*SinglePartition", text)
 
 
+@pytest.mark.parametrize("name", ["listing_fields", "listing_profile"])
+def test_pages_of_one_small_file_are_parsed_by_many_tasks(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert re.search(r"MapInArrow.*REPARTITION_BY_NUM", text, re.DOTALL) and "Exchange RoundRobin" in text
+
+
 def test_library_collects_nothing():
     for file in PACKAGE.rglob("*.py"):
         if "llm" in file.relative_to(PACKAGE).parts:  # the training-data operators have a test of their own

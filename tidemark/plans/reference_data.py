@@ -12,6 +12,7 @@ from tidemark.operators import universe as universe_ops
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
 from tidemark.schemas import SCREENER_COLUMNS
+from tidemark.session import spread
 from tidemark.sources import files
 
 # The test series under published names, so that every rounding rule occurs.
@@ -196,7 +197,7 @@ shown AS (SELECT row_id, category, name, CASE WHEN row_id % 6 = 5 THEN 'TAG' ELS
 
 def listing_pages(t: Tables):
     """A page per part: a table row, or a card on every sixth page, whose table row is too short."""
-    cells = t.listing_cells.withColumn("plain", listing.without_symbol(F.col("c0"), listing.symbol_in(F.col("c0"))))
+    cells = spread(t.listing_cells).withColumn("plain", listing.without_symbol(F.col("c0"), listing.symbol_in(F.col("c0"))))
     cell = lambda c: F.concat(F.lit("<td> <b>"), c, F.lit("</b>\n</td>"))
     row = F.concat(
         F.lit("<table><tr><th>Name</th></tr><tr>"), *(cell(F.col(f"c{i}")) for i in range(5)), F.lit("</tr></table>")

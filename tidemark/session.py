@@ -63,6 +63,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, for work that takes far longer than reading: a narrow table of millions of rows is one small file, so one task.
+
+    Meant for rows that are narrow still, since they are shuffled; nothing else about them changes.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def parameter_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A driver-side parameter list as a DataFrame; its size is checked, so it is safe to broadcast."""
     rows = [tuple(row) for row in rows]
