@@ -26,7 +26,7 @@ def test_no_cross_joins_or_global_windows(spark, name):
     assert not re.search(r"Window (?!Group)[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*SinglePartition", text)
 
 
-@pytest.mark.parametrize("name", ["listing_fields", "listing_profile"])
+@pytest.mark.parametrize("name", ["listing_fields", "listing_profile", "screener_rows", "detail_fields", "found_failed", "table_records"])
 def test_pages_of_one_small_file_are_parsed_by_many_tasks(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
     assert re.search(r"MapInArrow.*REPARTITION_BY_NUM", text, re.DOTALL) and "Exchange RoundRobin" in text

@@ -261,7 +261,7 @@ def coin_pages(t: Tables):
     rank = F.concat(F.lit('<span class="rank">#'), k.cast("string"), F.lit("</span>"))
     change = F.lit('<div class="change">2.5%</div><em data-testid="change">-2.5%</em>')
     # Prices come last: the plain span with a dollar sign must not be an earlier field.
-    return t.supplier.select(
+    return spread(t.supplier.select("s_suppkey")).select(
         F.concat(F.lit("S"), k.cast("string")).alias("Ticker"),
         F.concat(F.lit("<html><body>"), rank, price, F.lit("<div>"), cap, F.lit("</div>"), change, F.lit("</body></html>")).alias("html"),
     )
@@ -308,7 +308,8 @@ def table_records(t: Tables):
         cell(F.col("s_name")), cell(F.col("s_nationkey").cast("string")), more,
         F.lit("</tr><tr><td>total</td><td>0</td></tr></tbody></table></div></section>"),
     )
-    records = page_ops.section_tables(t.supplier.select("s_suppkey", html.alias("html")), "s_suppkey", "html")
+    suppliers = spread(t.supplier.select("s_suppkey", "s_name", "s_nationkey"))
+    records = page_ops.section_tables(suppliers.select("s_suppkey", html.alias("html")), "s_suppkey", "html")
     value = lambda k: F.try_element_at("record", F.lit(k))
     return records.select(
         "s_suppkey", "row_no", value("Holder").alias("holder"), value("Shares").alias("shares"),
@@ -328,7 +329,8 @@ def screener_rows(t: Tables):
         cell(F.col("p_name")), cell(F.col("p_brand")), cell(F.col("p_type")),
         F.when(F.col("p_partkey") % 4 == 0, F.lit("")).otherwise(tail), F.lit("</tr></tbody></table>"),
     )
-    return page_ops.screener_rows(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html")
+    parts = spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return page_ops.screener_rows(parts.select("p_partkey", html.alias("html")), "p_partkey", "html")
 
 
 @query("preview_limit", with_entities("""
