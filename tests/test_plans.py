@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark.plans.tables import Tables
+from tidemark.session import spread_evenly
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(entry.__file__).parent / "tidemark"
@@ -32,6 +33,14 @@ def test_pages_of_one_small_file_are_parsed_by_many_tasks(spark, name):
     assert re.search(r"MapInArrow.*REPARTITION_BY_NUM", text, re.DOTALL) and "Exchange RoundRobin" in text
 
 
+def test_memory_of_sketches_follows_a_bounded_number_of_rows(spark):
+    """More rows make more tasks, and no value is sent to the task of its column's name."""
+    assert [spread_evenly(spark.range(n), 100).rdd.getNumPartitions() for n in (0, 90, 5000)] == [8, 8, 50]
+    assert spread_evenly(spark.range(5000), 100).distinct().count() == 5000
+    text = plan(entry.queries()["sketch_profile"](spark, FOLDER))
+    assert text.count("Exchange RoundRobin") == 3 and "BroadcastHashJoin [column" in text
+
+
 def test_library_collects_nothing():
     for file in PACKAGE.rglob("*.py"):
         if "llm" in file.relative_to(PACKAGE).parts:  # the training-data operators have a test of their own

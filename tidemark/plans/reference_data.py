@@ -12,7 +12,7 @@ from tidemark.operators import universe as universe_ops
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables, with_entities
 from tidemark.schemas import SCREENER_COLUMNS
-from tidemark.session import spread
+from tidemark.session import spread, spread_evenly
 from tidemark.sources import files
 
 # The test series under published names, so that every rounding rule occurs.
@@ -79,10 +79,12 @@ FROM orders, (SELECT unnest(['o_custkey', 'o_totalprice', 'o_orderpriority']) AS
 def sketch_profile(t: Tables):
     """Columns of all orders from sketches of their days: counts, and whether distinct values and median are within the stated error."""
     columns = ["o_custkey", "o_totalprice", "o_orderpriority"]
-    found = profile.profile(profile.merged(profile.daily_sketches(t.orders, "o_orderdate", columns)), [0.5])
+    orders = spread_evenly(t.orders.select("o_orderdate", *columns))
+    found = profile.profile(profile.merged(profile.daily_sketches(orders, "o_orderdate", columns)), [0.5])
     estimates = found.select("column", "rows", "filled", "distinct", F.col("quantiles")[0].alias("median"))
-    values = t.orders.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), F.col(c).try_cast("double").alias("x")) for c in columns))))
-    exact = values.join(estimates.select("column", "median"), "column").groupBy("column").agg(
+    values = orders.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), F.col(c).try_cast("double").alias("x")) for c in columns))))
+    # The estimates have a row per column, so the values stay where they are.
+    exact = values.join(F.broadcast(estimates.select("column", "median")), "column").groupBy("column").agg(
         F.count_distinct("v").alias("exact"), F.avg((F.col("x") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("x") <= F.col("median")).cast("double")).alias("upto")
     )
     close = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(0.08) * F.col("exact"), F.lit(1))

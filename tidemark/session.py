@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_PARAMETER_ROWS = 10_000
+ROWS_OF_A_TASK = 500_000
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,6 +73,14 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def spread_evenly(rows: DataFrame, most: int = ROWS_OF_A_TASK) -> DataFrame:
+    """The rows dealt over tasks of about ``most`` rows, for work whose memory grows with a task's rows: there are more tasks, not larger ones.
+
+    Counts the rows first, which a columnar file answers from its metadata.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)))
+
+
 def parameter_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A driver-side parameter list as a DataFrame; its size is checked, so it is safe to broadcast."""
     rows = [tuple(row) for row in rows]
