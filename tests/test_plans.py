@@ -4,8 +4,11 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.functions import text as words_of
+from tidemark.plans import social
 from tidemark.plans.tables import Tables
 from tidemark.session import spread_evenly
 
@@ -41,6 +44,16 @@ def test_memory_of_sketches_follows_a_bounded_number_of_rows(spark):
     assert text.count("Exchange RoundRobin") == 3 and "BroadcastHashJoin [column" in text
 
 
+def test_texts_are_cleaned_once(spark):
+    """A text's words come from one evaluation of it, a vocabulary from one pass (the total stands in the plan too, with the same exchange)."""
+    words = words_of.tokens(words_of.clean_social(F.col("text")))
+    documents = Tables(spark, FOLDER).documents
+    assert plan(documents.select(words.alias("w"))).count("http[^") == 1
+    vocabulary = social.piece_vocabulary(Tables(spark, FOLDER))
+    assert plan(vocabulary).count("FileScan") <= 3
+    assert spark.createDataFrame([("a b",), ("",), (None,)], "c string").select(words_of.tokens(F.col("c")).alias("w")).collect() == [(["a", "b"],), ([],), (None,)]
+
+
 def test_library_collects_nothing():
     for file in PACKAGE.rglob("*.py"):
         if "llm" in file.relative_to(PACKAGE).parts:  # the training-data operators have a test of their own

@@ -64,7 +64,7 @@ def drop_urls(text: Column, prefix: str = "http") -> Column:
 
 def clean_social(text: Column) -> Column:
     """Comments: ASCII letters and digits only. NULL becomes the empty string."""
-    kept = F.regexp_replace(drop_urls(F.coalesce(text, F.lit(""))), f"[^a-zA-Z0-9{SPACE}]", "")
+    kept = F.regexp_replace(drop_urls(F.coalesce(text, F.lit(""))), f"[^a-zA-Z0-9{SPACE}]+", "")
     return collapse(kept)
 
 
@@ -138,8 +138,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(clean: Column) -> Column:
-    """Words of a cleaned text; no words for an empty one."""
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    """Words of a cleaned text, which has single blanks and none at its edges; no words for an empty one. The text is computed once."""
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def chunk_starts(size: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:

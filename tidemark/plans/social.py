@@ -173,15 +173,24 @@ chunks AS (SELECT doc_id, unnest(range(0, CAST(ceil(len(p) / 462.0) AS BIGINT)))
 
 
 def piece_vocabulary(t: Tables):
-    """Letters, frequent words and frequent endings of the cleaned texts."""
+    """Letters, frequent words and frequent endings of the cleaned texts, all out of one pass over them."""
     words = t.documents.select(F.explode(text.tokens(F.lower(text.clean_social(F.col("text"))))).alias("word"))
     uses = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = uses.agg(F.sum("n"))
-    letters = uses.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> '' and c not in ('x', '7')").distinct()
-    endings = uses.where("length(word) >= 4").groupBy(F.right("word", F.lit(3)).alias("e")).agg(F.sum("n").alias("n"))
-    often = uses.where(F.col("n") * 5000 > total.scalar()).select(F.col("word").alias("token"))
-    ends = endings.where(F.col("n") * 1000 > total.scalar()).select(F.concat(F.lit("##"), "e"))
-    return often.union(ends).union(letters).union(letters.select(F.concat(F.lit("##"), "c")))
+    part = lambda kind, token: F.struct(F.lit(kind).alias("kind"), token.alias("token"))
+    letters = F.transform(F.array_distinct(F.split("word", "")), lambda c: part("letter", c))
+    ending = F.when(F.length("word") >= 4, F.array(part("ending", F.right("word", F.lit(3)))))
+    parts = F.concat(F.array(part("word", F.col("word"))), F.coalesce(ending, F.array().cast("array<struct<kind: string, token: string>>")), letters)
+    found = uses.select("n", F.inline(parts)).groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    # The total reads all columns of the counts too, so that Spark computes them once.
+    total = found.agg(F.sum(F.when(F.col("kind") == "word", F.col("n")))).scalar()
+    often = F.col("n") * F.when(F.col("kind") == "word", 5000).when(F.col("kind") == "ending", 1000) > total
+    usual = (F.col("kind") == "letter") & ~F.col("token").isin("", "x", "7")
+    tokens = (
+        F.when(usual, F.array("token", F.concat(F.lit("##"), "token")))
+        .when((F.col("kind") == "word") & often, F.array("token"))
+        .when((F.col("kind") == "ending") & often, F.array(F.concat(F.lit("##"), "token")))
+    )
+    return found.select(F.explode(tokens).alias("token"))
 
 
 @query("wordpiece_chunks", f"""
