@@ -116,3 +116,23 @@ def test_own_word_lists_and_no_lexicon(value):
     assert value(valence(F.lit("sehr good"), SMALL, boosters={"sehr": 0.5})).compound == pytest.approx(2.4 / math.sqrt(2.4**2 + 15))
     assert value(valence(F.lit("kein good"), SMALL, negations=["kein"])).compound < 0
     assert value(valence(F.lit("good"), {})).compound == 0
+
+
+def test_rules_do_not_run_as_interpreted_lambdas(spark):
+    """Expressions in lambdas cost microseconds a word; the rules are one function over batches, whatever the columns asked for."""
+    frame = spark.createDataFrame([(1, "not good")], "id int, text string")
+    shown = valence_score(frame, "id", "text", LEXICON)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("ArrowEvalPython") == 1 and "lambdafunction" not in shown
+
+
+def test_many_texts_in_a_batch_with_words_forgotten(spark, monkeypatch):
+    """A batch is more than the texts held at a time, and the words known may be forgotten between texts."""
+    from tidemark.functions import valence as rules
+
+    monkeypatch.setattr(rules, "CACHED_WORDS", 3)
+    words = rules._known_words(LEXICON, BOOSTERS, NEGATIONS)
+    texts = [f"a{i} very GOOD, isn't b{i} bad" for i in range(20)]
+    assert [rules._scored(t, words(t.split())) for t in texts] == [pytest.approx(plain(t, LEXICON)) for t in texts]
+    frame = spark.createDataFrame([(i, f"n{i} not good but bad!") for i in range(1000)], "id int, text string").coalesce(1)
+    for row in valence_score(frame, "id", "text", LEXICON).collect():
+        assert tuple(row)[1:] == pytest.approx(plain("n not good but bad!", LEXICON))

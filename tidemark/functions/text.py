@@ -160,25 +160,6 @@ def chunk_arrays(words: Column, length: int = CHUNK_TOKENS, overlap: int = CHUNK
     )
 
 
-def word_weight(lexicon: Mapping[str, float]) -> Callable[[Column], Column]:
-    """Looks up the weight of a word, NULL for unknown ones.
-
-    The lexicon is one constant: entries in buckets by their checksum, so that a word is looked up in the few
-    entries of its bucket, however many there are.
-    """
-    size = max(2 * len(lexicon), 1)
-    buckets: list[list[dict]] = [[] for _ in range(size)]
-    for entry, weight in sorted(lexicon.items()):
-        buckets[zlib.crc32(entry.encode("utf-8")) % size].append({"w": entry, "x": float(weight)})
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w: string, x: double>>>")
-
-    def weight(word: Column) -> Column:
-        bucket = F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(size)).cast("int"))
-        return F.get(F.filter(bucket, lambda e: e["w"] == word), F.lit(0))["x"]
-
-    return weight
-
-
 def weight_sum(words: Column, lexicon: Mapping[str, float]) -> Column:
     """Summed weight of the words; unknown words weigh nothing.
 
