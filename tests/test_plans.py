@@ -54,6 +54,13 @@ def test_texts_are_cleaned_once(spark):
     assert spark.createDataFrame([("a b",), ("",), (None,)], "c string").select(words_of.tokens(F.col("c")).alias("w")).collect() == [(["a", "b"],), ([],), (None,)]
 
 
+def test_term_counts_are_shuffled_once(spark):
+    """Every branch sums the same columns by term, the total too; one that sums fewer would be a shuffle of its own."""
+    shown = plan(entry.queries()["tfidf_top_terms"](spark, FOLDER))
+    assert re.search(r"keys=\[term#\d+\], functions=\[partial_count", shown)
+    assert not re.search(r"keys=\[term#\d+\], functions=\[partial_sum", shown)
+
+
 def test_library_collects_nothing():
     for file in PACKAGE.rglob("*.py"):
         if "llm" in file.relative_to(PACKAGE).parts:  # the training-data operators have a test of their own

@@ -43,7 +43,9 @@ def tfidf(texts: DataFrame, key: str, text: str, common_terms: int = 10_000) ->
     tf = words.where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
     n = texts.agg(F.count("*")).scalar()
-    is_common = F.col("uses") * common_terms > terms.agg(F.sum("uses")).scalar()
+    # The total reads the number of texts too, or it would be a shuffle of its own.
+    total = terms.agg(F.sum(F.when(F.col("df") > 0, F.col("uses")))).scalar()
+    is_common = F.col("uses") * common_terms > total
     idf = F.log((n + 1) / (F.col("df") + 1)).alias("idf")
     common = F.broadcast(terms.where(is_common).select(F.col("term").alias("_common"), idf))
     rare = terms.where(~is_common).select(F.col("term").alias("_key"), idf.alias("rare_idf"))
