@@ -355,11 +355,12 @@ def _mixed(findings: DataFrame, number: int, start: Network, codes: np.ndarray,
             varied = _varied(np.concatenate([own, more]), np.concatenate([kinds, more_kinds]))
             after = Network.trained(*varied, epochs=1, rate=0.002, seed=turn, start=before)
             weights = np.concatenate([np.ravel(getattr(after, k)) for k in WEIGHTS])
-            return pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"])
+            return pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([weights], pa.list_(pa.float64()))], names=["n", "weights"])
 
-        # In the order of their bytes, so that the sum does not depend on which task ends first.
-        parts = sorted((bytes(r.weights), r.n) for r in _in_parts(findings, number, learn, "n long, weights binary").collect())
-        mean = np.average([np.frombuffer(w) for w, _ in parts], axis=0, weights=[n for _, n in parts])
+        places = _in_parts(findings, number, learn, "n long, weights array<double>").select("n", F.posexplode("weights").alias("place", "weight"))
+        means = places.groupBy("place").agg((F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("weight"))
+        # One row, of as many numbers as a network has, however many parts there are.
+        mean = np.array([w for _, w in means.agg(F.array_sort(F.collect_list(F.struct("place", "weight")))).first()[0]])
         at, network = 0, replace(network)
         for k in WEIGHTS:
             shape = np.shape(getattr(network, k))
